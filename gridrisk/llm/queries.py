@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrisk.llm import chat, sharding
+from gridrisk.llm import chat, fingerprints, pii, sharding
 from gridrisk.llm.common import table
 
 
@@ -56,5 +56,37 @@ SELECT conv_id, COUNT(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-QUERIES = {"op2_sharding": op2_sharding, "op7_chat_formatting": op7_chat_formatting}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text of documents."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("email"), count("ip"), count("card"), count("phone"),
+        F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        pii.spans_text(F.col("pii")).alias("spans"),
+    )
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, with their likeness."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    prints = fingerprints.with_fingerprint(docs, F.col("text"), "fp")
+    beside = fingerprints.with_following(prints, "doc_id", {"text": "next_text", "fp": "next_fp"})
+    n = F.char_length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = beside.select("doc_id", "fp", "next_fp", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - third), F.left("next_text", third)).alias("edited"))
+    edited = fingerprints.with_fingerprint(edited, F.col("edited"), "edited_fp")
+    return edited.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.hexed(F.col("fp")).alias("fingerprint"),
+        fingerprints.hexed(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
 ORACLES = {"op7_chat_formatting": OP7_SQL}
