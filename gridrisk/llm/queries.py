@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrisk.llm import chat, fingerprints, pii, sharding
-from gridrisk.llm.common import table
+from gridrisk.llm import chat, fingerprints, pii, quality, sharding, toxicity
+from gridrisk.llm.common import label_fold, table
+
+
+def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("label"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every whole text, learnt from the rows whose id is not in fold 1 of 3."""
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), label_fold(F.col("doc_id"), 3)
+    forest = quality.learn_quality(docs, _labels(spark, sf_dir, "quality"), fold != 1)
+    scored = quality.score_quality(docs, forest)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text with its nearest labelled examples."""
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), label_fold(F.col("doc_id"), 3)
+    index = toxicity.learn_toxicity(docs, _labels(spark, sf_dir, "toxic"), fold != 1)
+    scored = toxicity.score_toxicity(docs, index)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +108,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
+QUERIES = {"op1_quality": op1_quality, "op6_toxicity": op6_toxicity, "op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
 ORACLES = {"op7_chat_formatting": OP7_SQL}
