@@ -2,7 +2,9 @@
 
 The examples are at most ``most_examples`` labelled rows of the learning fold (the least hashes of their ids, toxic ones
 first up to half). Terms are chosen greedily: each next term is the one that occurs in the most toxic examples without a
-term so far, at a precision of at least ``precision``. Texts are vectors of these terms, (1 + ln tf) * idf, unit length.
+term so far, at a precision of at least ``precision``. Terms are words, the stems of longer words, and stems that a
+text repeats.
+Texts are vectors of these terms, (1 + ln tf) * idf, unit length.
 
 For a query the k examples of highest cosine are found exactly: examples lie in blocks, each block knows the highest
 weight of every term, blocks are visited by falling upper bound, and the search ends when no bound exceeds the k-th
@@ -30,8 +32,22 @@ from gridrisk.llm.common import without
 MARKS = ".,;:!?*#$%&\"'()[]|<>~^-_"
 
 
-def terms_of(text: str | None) -> Counter:
-    return Counter(w for x in (text or "").lower().split() if (w := x.strip(MARKS)))
+STEMS = (4, 5, 6, 8)
+OFTEN = (2, 4)
+
+
+def terms_of(text: str | None, openings: set[str] | None = None) -> Counter:
+    """Words without marks at their ends, the stems of longer words (their first letters, ``abcd*``) and stems that
+    occur at least so often as OFTEN lists (``abcd*2``), with their counts. openings: if given, only words whose first
+    4 letters are among them."""
+    words = Counter(w for x in (text or "").lower().split() if (w := x.strip(MARKS)) and (openings is None or w[:4] in openings))
+    stems: Counter = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k] + "*"] += n
+    often = {f"{w}{k}": n for w, n in stems.items() for k in OFTEN if n >= k}
+    return words + stems + Counter(often)
 
 
 def choose_terms(bags: list[Counter], y: np.ndarray, most: int = 256, support: int = 3, precision: float = 0.8) -> list[str]:
@@ -72,6 +88,10 @@ class Index:
     prior: float
     blank: float
 
+    def openings(self) -> set[str]:
+        """The first 4 letters of any word that can hold a term."""
+        return {t[: t.rfind("*")][:4] if "*" in t else t[:4] for t in self.terms}
+
     def vector(self, bag: Counter) -> dict[int, float]:
         raw = {self.terms[w]: (1 + np.log(n)) * self.idf[self.terms[w]] for w, n in bag.items() if w in self.terms}
         norm = np.sqrt(sum(v * v for v in raw.values())) or 1.0
@@ -175,8 +195,9 @@ def score_toxicity(docs: DataFrame, index: Index, text_col: str = "text", eviden
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        openings = own.openings()
         for batch in batches:
-            found = [own.score(own.vector(terms_of(t.as_py()))) for t in batch.column(place)]
+            found = [own.score(own.vector(terms_of(t.as_py(), openings))) for t in batch.column(place)]
             proof = [[{"doc_id": int(own.ids[p]), "cosine": float(c), "label": int(own.y[p])} for p, c in zip(ps[:evidence], cs[:evidence], strict=True)] for _, ps, cs in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _, _ in found], pa.float64()), pa.array(proof, arrow)], names=schema.names)
 
