@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrisk.llm import chat, fingerprints, lm, pii, quality, sharding, toxicity
+from gridrisk.llm import chat, decontamination, fingerprints, lm, pieces, pii, quality, sharding, toxicity
 from gridrisk.llm.common import label_fold, table
 
 
@@ -21,6 +21,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every whole text and what it decodes to."""
+    encoded = pieces.sample_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256", "lossless")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base score and the log-bilinear model's score of every whole text; fold 2 of 7 is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,5 +125,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_lm_scoring": op4_lm_scoring, "op6_toxicity": op6_toxicity, "op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
+QUERIES = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op8_decontamination": op8_decontamination, "op4_lm_scoring": op4_lm_scoring, "op6_toxicity": op6_toxicity, "op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
 ORACLES = {"op7_chat_formatting": OP7_SQL}
