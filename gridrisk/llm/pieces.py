@@ -6,8 +6,8 @@ rank k weighs ``(k + 2) ** -theta``. The draws come from a counter-based generat
 the step, so a row gets the same segmentation in any partitioning and after any retry.
 
 No piece spans a boundary between a word and the blank before the next word, so the lattice of a text is a chain of
-lattices of its chunks (blanks and the word behind them); each distinct chunk is filtered once per task and all chunks
-of a block of texts are sampled together, step by step, with numpy.
+lattices of its chunks (blanks and the word behind them); each distinct chunk of a block of texts is filtered once, all
+chunks together place by place, and all are sampled together step by step, with numpy.
 
 Decoding is lossless for every text: a blank is put before the text as the model asks, characters without a piece go
 through byte pieces, and so does a literal U+2581, which would otherwise decode as a blank.
@@ -21,6 +21,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,120 +39,135 @@ CHUNK = re.compile(r" *[^ ]+| +")
 GIVEN_RANK = 1000
 
 
+#: Units of a lattice are characters that are pieces, by code point, and the bytes of all others, from here on.
+BYTE_UNITS = 0x110000
+TABLE_BITS = 22
+
+
+def _hashed(units: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Hash of a run of units, one unit further than before."""
+    with np.errstate(over="ignore"):
+        return (units.astype(np.uint64) + np.uint64(1)) * GOLD if before is None else mixed(before) * GOLD + units.astype(np.uint64)
+
+
 class Model:
-    """Pieces with blanks for U+2581, their weights and bytes."""
+    """Pieces with blanks for U+2581: by hash of their units the ids, by id the weights and bytes."""
 
     def __init__(self, path: str, theta: float):
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids: dict[str, int] = {}
-        self.log_weight: list[float] = []
         self.raw: list[bytes] = []
-        self.byte_ids = [0] * 256
+        found: list[tuple[list[int], int, float]] = []
         for i in range(own.vocab_size()):
             piece, score = own.id_to_piece(i), own.get_score(i)
-            rank = -score if score > -1e8 else GIVEN_RANK
-            self.log_weight.append(-theta * math.log(rank + 2))
+            weight = -theta * math.log((-score if score > -1e8 else GIVEN_RANK) + 2)
             if own.is_byte(i):
-                self.byte_ids[int(piece[1:-1], 16)] = i
                 self.raw.append(bytes([int(piece[1:-1], 16)]))
+                found.append(([BYTE_UNITS + self.raw[-1][0]], i, 0.0))
             elif own.is_control(i) or own.is_unknown(i):
                 self.raw.append(b"")
             else:
-                self.raw.append(piece.replace(BLANK, " ").encode())
-                self.ids[piece.replace(BLANK, " ")] = i
-        self.longest = max(map(len, self.ids))
+                piece = piece.replace(BLANK, " ")
+                self.raw.append(piece.encode())
+                found.append(([ord(c) for c in piece], i, weight))
+        self.longest = max(len(units) for units, _, _ in found)
+        self.single = np.array(sorted(units[0] for units, _, _ in found if len(units) == 1 and units[0] < BYTE_UNITS))
+        hashes = np.empty(len(found), np.uint64)
+        sizes = np.array([len(units) for units, _, _ in found])
+        for size in range(1, self.longest + 1):
+            own_size, h = np.flatnonzero(sizes == size), None
+            grid = np.array([found[k][0] for k in own_size], np.int64).reshape(-1, size)
+            for column in grid.T:
+                h = _hashed(column, h)
+            hashes[own_size] = mixed(h)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([i for _, i, _ in found], np.int32)[order]
+        self.weights = np.array([w for _, _, w in found])[order]
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
-    def lattice(self, chunk: str) -> tuple[list[int], list[int], list[int], list[float]]:
-        """Places 1 to n of a chunk: how many edges end at each; of all edges in that order the place they come from,
-        their piece and the cumulated share of their place."""
-        ids, weights, longest = self.ids, self.log_weight, self.longest
-        alpha, starts = [0.0], [0]  # per place its log sum; per character the place before it
-        fan, froms, pieces, shares = [], [], [], []
-        for end, char in enumerate(chunk, 1):
-            if char not in ids:
-                for byte in char.encode("utf-8", "surrogatepass"):
-                    fan.append(1)
-                    froms.append(len(alpha) - 1)
-                    pieces.append(self.byte_ids[byte])
-                    shares.append(1.0)
-                    alpha.append(alpha[-1])
-                starts.append(len(alpha) - 1)
-                continue
-            logs = []
-            for start in range(max(0, end - longest), end):
-                piece = ids.get(chunk[start:end])
-                if piece is not None:
-                    froms.append(starts[start])
-                    pieces.append(piece)
-                    logs.append(alpha[starts[start]] + weights[piece])
-            top = max(logs)
-            parts = [math.exp(x - top) for x in logs]
-            total, run = sum(parts), 0.0
-            for x in parts:
-                run += x
-                shares.append(run / total)
-            fan.append(len(logs))
-            alpha.append(top + math.log(total))
-            starts.append(len(alpha) - 1)
-        return fan, froms, pieces, shares
-
-
-class Lattices:
-    """The lattices of distinct chunks side by side, extended as chunks turn up; emptied when they grow too large."""
-
-    MOST = 3_000_000
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}  # chunk -> its number
-        self.last: list[int] = []  # its last place, among all places
-        self.first_edge, self.froms, self.pieces, self.marks = [], [], [], []
-        self.arrays: tuple | None = None
-
-    def __contains__(self, chunk: str) -> bool:
-        return chunk in self.at
-
-    def add(self, chunk: str) -> None:
-        fan, froms, pieces, shares = self.model.lattice(chunk)
-        base = len(self.first_edge)  # place p of the chunk is base + p - 1
-        edge, k = len(self.froms), 0
-        for place, n in enumerate(fan):
-            self.first_edge.append(edge + k)
-            for j in range(k, k + n):
-                self.froms.append(base + froms[j] - 1 if froms[j] else -1)
-                self.marks.append(base + place + min(shares[j], 1.0))
-            self.marks[-1] = base + place + 1.0
-            k += n
-        self.pieces.extend(pieces)
-        self.at[chunk] = len(self.last)
-        self.last.append(len(self.first_edge) - 1)
-        self.arrays = None
-
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        if len(self.froms) > self.MOST:
-            self.clear()
-        for chunk in set(chunks) - self.at.keys():
-            self.add(chunk)
-        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-
-    def frozen(self) -> tuple:
-        if self.arrays is None:
-            self.arrays = np.array(self.last), np.array(self.froms), np.array(self.pieces, np.int32), np.array(self.marks)
-        return self.arrays
-
-
-def draw(lattices: Lattices, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all chunks one after another, and how many each chunk has."""
-    last, froms, pieces, marks = lattices.frozen()
+    def units(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of all chunks one after another, and how many each has."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        place = np.minimum(np.searchsorted(self.single, codes), len(self.single) - 1)
+        odd = np.flatnonzero(self.single[place] != codes)
+        if len(odd):
+            kinds, which = np.unique(codes[odd], return_inverse=True)
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in kinds]
+            wide = np.ones(len(codes), np.int64)
+            wide[odd] = np.array([len(r) for r in raw])[which]
+            ends = np.cumsum(wide)
+            codes = np.repeat(codes, wide)
+            for k, (at, n) in enumerate(zip(ends[odd] - wide[odd], wide[odd], strict=True)):
+                codes[at : at + n] = BYTE_UNITS + np.frombuffer(raw[which[k]], np.uint8).astype(np.int64)
+            sizes = np.add.reduceat(wide, np.cumsum(sizes) - sizes)
+        return codes, sizes
+
+
+def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
+    """The filtered lattices of distinct chunks. A place is the end of a unit. Returns each chunk's last place and, by
+    edge in order of the place it ends at: the place it comes from (-1: the chunk's start), its piece and its mark, the
+    place plus the cumulated share of the edges into it."""
+    units, sizes = model.units(chunks)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(units))  # units from here to the chunk's end
+    inside = np.repeat(sizes, sizes) - left  # units before this one
+    at, h, starts, lengths, places = np.arange(len(units)), None, [], [], []
+    for length in range(1, model.longest + 1):
+        if length > 1:
+            keep = left[at] >= length
+            at, h = at[keep], h[keep]
+        if not len(at):
+            break
+        h = _hashed(units[at + length - 1], h)
+        full = mixed(h)
+        maybe = np.flatnonzero(model.table[(full >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(model.hashes, full[maybe]), len(model.hashes) - 1)
+        hit = model.hashes[place] == full[maybe]
+        starts.append(at[maybe[hit]])
+        lengths.append(np.full(hit.sum(), length))
+        places.append(place[hit])
+    start, length, piece = np.concatenate(starts), np.concatenate(lengths), np.concatenate(places)
+    end = start + length - 1
+    depth = inside[end]
+    order = np.argsort(depth * len(units) + end, kind="stable")  # place by place in all chunks at once
+    start, end, piece, depth = start[order], end[order], piece[order], depth[order]
+    froms = np.where(inside[start] == 0, -1, start - 1)
+    weights, alpha, share = model.weights[piece], np.zeros(len(units) + 1), np.empty(len(start))
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(depth)]])
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        value = np.where(froms[a:b] < 0, 0.0, alpha[froms[a:b]]) + weights[a:b]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(end[a:b]) > 0]))
+        fan = np.diff(np.concatenate([first, [b - a]]))
+        top = np.maximum.reduceat(value, first)
+        part = np.exp(value - np.repeat(top, fan))
+        total = np.add.reduceat(part, first)
+        alpha[end[a:b][first]] = top + np.log(total)
+        run = np.cumsum(part)
+        base = run[first] - part[first]
+        cumulated = (run - np.repeat(base, fan)) / np.repeat(total, fan)
+        cumulated[first + fan - 1] = 1.0
+        share[a:b] = np.minimum(cumulated, 1.0)
+    # Edges into a place are together already: each moves to its place's slot.
+    fans = np.bincount(end, minlength=len(units))
+    runs = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+    within = np.arange(len(end)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(end)]])))
+    slot = (np.cumsum(fans) - fans)[end] + within
+    out = np.empty(len(end), np.int64), np.empty(len(end), np.int32), np.empty(len(end))
+    out[0][slot], out[1][slot], out[2][slot] = froms, model.ids[piece], end + share
+    return ends - 1, *out
+
+
+def draw(lattice: tuple[np.ndarray, ...], numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all chunks (by their numbers) one after another, and how many each chunk has."""
+    last, froms, pieces, marks = lattice
     place, alive = last[numbers], np.arange(len(numbers))
     counts, steps = np.zeros(len(numbers), np.int64), []
     with np.errstate(over="ignore"):
@@ -170,21 +186,32 @@ def draw(lattices: Lattices, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.
     return out, counts
 
 
-def encode_block(lattices: Lattices, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Numbers(dict):
+    """Numbers things from 0 as they turn up."""
+
+    def __missing__(self, thing: str) -> int:
+        n = self[thing] = len(self)
+        return n
+
+
+def encode_block(model: Model, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all texts one after another, and how many each text has."""
-    per_text = [CHUNK.findall(" " + t) if t else [] for t in texts]
+    numbered = Numbers()
+    per_text = [list(map(numbered.__getitem__, CHUNK.findall(" " + t))) if t else [] for t in texts]
     sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
-    chunks = [c for x in per_text for c in x]
-    numbers = lattices.numbers(chunks)
+    if not numbered:
+        return np.empty(0, np.int32), sizes
+    numbers = np.fromiter(chain.from_iterable(per_text), np.int64, sizes.sum())
+    del per_text
     first = np.cumsum(sizes) - sizes
-    index = (np.arange(len(chunks)) - np.repeat(first, sizes)).astype(np.uint64)
+    index = (np.arange(len(numbers)) - np.repeat(first, sizes)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        found, counts = draw(lattices, numbers, mixed(np.repeat(keys, sizes) ^ mixed(index)))
+        found, counts = draw(lattices(model, list(numbered)), numbers, mixed(np.repeat(keys, sizes) ^ mixed(index)))
     whole = np.concatenate([[0], np.cumsum(counts)])
     return found, whole[first + sizes] - whole[first]
 
 
-def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: str = MODEL, theta: float = 1.0, seed: int = 0, block_chars: int = 1_000_000) -> DataFrame:
+def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: str = MODEL, theta: float = 1.0, seed: int = 0, block_chars: int = 4_000_000) -> DataFrame:
     """docs with ``ids`` (the sampled pieces), ``decoded_sha256`` (of the text decoded from them) and ``lossless``
     (the decoded text is the text). Columns of these names are replaced. A text of any length is one lattice chain;
     blocks of about block_chars characters bound the memory of a task beyond that."""
@@ -197,7 +224,6 @@ def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model, theta)
-        lattices = Lattices(own)
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             keys = batch.column(len(batch.columns) - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -207,7 +233,7 @@ def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
                 if held < block_chars and end < len(texts):
                     continue
                 part = texts[start:end]
-                found, counts = encode_block(lattices, part, keys[start:end])
+                found, counts = encode_block(own, part, keys[start:end])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 back = [own.decode(found[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
                 shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
