@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrisk.llm import chat, decontamination, fingerprints, lm, pieces, pii, quality, sharding, toxicity
+from gridrisk.llm import chat, decontamination, fingerprints, jaccard, lm, pieces, pii, quality, sharding, toxicity
 from gridrisk.llm.common import label_fold, table
 
 
@@ -53,6 +53,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -125,5 +130,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op8_decontamination": op8_decontamination, "op4_lm_scoring": op4_lm_scoring, "op6_toxicity": op6_toxicity, "op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
+QUERIES = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op8_decontamination": op8_decontamination, "op4_lm_scoring": op4_lm_scoring, "op6_toxicity": op6_toxicity, "op10_jaccard_join": op10_jaccard_join, "op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
 ORACLES = {"op7_chat_formatting": OP7_SQL}
