@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrisk.llm.common import stored
+from gridrisk.llm.common import discard, stored
 from gridrisk.llm.components import components
 from gridrisk.llm.text import GOLD, Hashes, lower_words, mixed, shingles
 
 WIDTH, SHARE, ROUNDS = 5, 500, 4
-#: Sets of at most this many bytes of candidate keys are broadcast to filter the documents; more are joined by a shuffle.
-BROADCAST_KEYS = 4_000_000
+#: Small tables of keys are broadcast up to this many rows; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -154,11 +154,9 @@ def shared_postings(groups: DataFrame, frequent: tuple[np.ndarray, np.ndarray],
 
 
 def sets_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """keys: key (distinct). Per key its sorted shingles (key, n, shingles), from one row that has it."""
-    if keys.count() * 8 <= BROADCAST_KEYS:
-        wanted = texts.join(F.broadcast(keys), "key", "left_semi")
-    else:
-        wanted = texts.join(keys.hint("shuffle_hash"), "key", "left_semi")
+    """keys: key (distinct). Per key its sorted shingles (key, shingles); rows that are alike and lie in several tasks give
+    it once for each of these."""
+    wanted = texts.join(_hinted(keys), "key", "left_semi")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = Hashes(), set()
@@ -172,49 +170,65 @@ def sets_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
             flat = signed(np.concatenate([s for _, s in held])) if held else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["key", "shingles"])
 
-    found = wanted.select("key", "text").mapInArrow(measure, "key long, shingles array<long>")
-    # Rows that are alike may lie in several tasks: any one of their equal sets stays.
-    return found.dropDuplicates(["key"])
+    return wanted.select("key", "text").mapInArrow(measure, "key long, shingles array<long>")
+
+
+def _hinted(few: DataFrame) -> DataFrame:
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("shuffle_hash")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of class keys whose sets link, exactly."""
+    pairs = stored(pairs, "pairs")
     keys = stored(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
     sets = stored(sets_of(texts, keys), "sets")
     one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(one, "a").join(two, "b")
     inside = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", inside.alias("i"), (F.size("sa") + F.size("sb")).alias("sizes")).where(100 * F.col("i") >= 80 * (F.col("sizes") - F.col("i"))).select("a", "b")
-
-
-def star_pairs(postings: DataFrame, salts: list[int]) -> DataFrame:
-    """postings: shingle, cls, n, comp. Per class and salt the centre, in another component, that shares most shingles.
-    Centres are chosen by shingle and size class; odd salts shift the size classes by half a step."""
-    size_class = lambda s: F.floor(F.log(F.col("n")) / float(np.log(1.25)) + 0.5 * (s % 2))
-    salted = postings.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in salts])))
-    step = F.lit(None)
-    for s in salts:
-        step = F.when(F.col("salt") == s, size_class(s)).otherwise(step)
-    salted = salted.withColumn("size_class", step)
-    centres = salted.groupBy("shingle", "salt", "size_class").agg(F.min(F.struct(F.xxhash64("cls", "salt").alias("h"), F.col("cls").alias("c"), F.col("comp").alias("cc"))).alias("centre"), F.count("*").alias("rows"))
-    centres = centres.where("rows > 1").select("shingle", "salt", "size_class", "centre.c", "centre.cc")
-    near = salted.join(centres, ["shingle", "salt", "size_class"]).where("cls <> c AND comp <> cc")
-    best = near.groupBy("cls", "salt", "c").agg(F.count("*").alias("k")).groupBy("cls", "salt").agg(F.max(F.struct("k", "c")).alias("best"))
+    sized = both.select("a", "b", inside.alias("i"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    out = stored(sized.where(100 * F.col("i") >= 80 * (F.col("sizes") - F.col("i"))).select("a", "b").distinct(), "verified")
+    discard(pairs, keys, sets)
+    return out
+
+
+def _behind(n: str):
+    """Shingles behind the prefix of a set of n."""
+    return F.ceil(F.col(n) * 4 / 5) - 1
+
+
+def star_pairs(postings: DataFrame, salt: int) -> DataFrame:
+    """postings: shingle, cls, n, comp. Per class the centre, in another component, that shares most shingles, if these
+    are enough for sets of equal size. Centres are chosen by shingle and size class; odd salts shift the size classes by
+    half a step."""
+    sized = postings.withColumn("size_class", F.floor(F.log(F.col("n")) / float(np.log(1.25)) + 0.5 * (salt % 2)).cast("int"))
+    first = F.min(F.struct(F.xxhash64("cls", F.lit(salt)).alias("h"), F.col("cls").alias("c"), F.col("comp").alias("cc")))
+    centres = sized.groupBy("shingle", "size_class").agg(first.alias("centre"), F.count("*").alias("rows"))
+    centres = centres.where("rows > 1").select("shingle", "size_class", "centre.c", "centre.cc")
+    near = sized.join(centres, ["shingle", "size_class"]).where("cls <> c AND comp <> cc")
+    counted = near.groupBy("cls", "c").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    enough = counted.where(9 * (F.col("k") + _behind("n")) >= 8 * F.col("n"))
+    best = enough.groupBy("cls").agg(F.max(F.struct("k", "c")).alias("best"))
     return best.select(F.least("cls", "best.c").alias("a"), F.greatest("cls", "best.c").alias("b")).distinct()
 
 
 def rest_pairs(postings: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share a prefix shingle and could link by sizes and counts."""
-    mixed_up = postings.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("shingle")
-    some = stored(postings.join(mixed_up, "shingle", "left_semi"), "rest")
-    one = some.select("shingle", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = some.select("shingle", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    one = postings.select("shingle", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    two = postings.select("shingle", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     near = one.join(two, "shingle").where("a < b AND ca <> cb AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    # In the order, beyond the prefixes lie n - p shingles of either set: what both prefixes share and those must do.
-    behind = lambda n: F.ceil(F.col(n) * 4 / 5) - 1
+    # What two sets share lies in both prefixes or, in the global order, behind the prefix of at least one of them.
     counted = near.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return counted.where(9 * (F.col("k") + F.greatest(behind("na"), behind("nb"))) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    return counted.where(9 * (F.col("k") + F.greatest(_behind("na"), _behind("nb"))) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def unsettled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """postings (shingle, cls, n) with their components, without shingles that only one component posts."""
+    if labels is None:
+        return postings.withColumn("comp", F.col("cls"))
+    placed = postings.join(labels.select("node", "label"), F.col("cls") == F.col("node"), "left").select("shingle", "cls", "n", F.coalesce("label", "cls").alias("comp"))
+    many = placed.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("shingle")
+    return placed.join(many, "shingle", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,27 +243,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = classes.groupBy("n", "pre").agg(F.min(F.struct("cls", "row")).alias("m"), F.count("*").alias("classes"))
     groups = groups.select("n", "pre", F.col("m.cls").alias("gid"), F.col("m.row").alias("row"), F.col("classes").cast("int").alias("classes"))
     ranges = max(16, n_texts // 5_000)
-    posting = shared_postings(prints.select("row", "prefix").join(groups.select("row", "gid", "n", "classes"), "row"), frequent, ranges)
+    posting = shared_postings(prints.select("row", "prefix").join(_hinted(stored(groups.select("row", "gid", "n", "classes"), "groups")), "row"), frequent, ranges)
     posting = stored(posting, "postings")
     members = classes.join(groups.where("classes > 1").select("n", "pre", "gid"), ["n", "pre"]).select("gid", "cls")
     wide = posting.where("classes > 1").join(members, "gid").select("shingle", "cls", "n")
     lone = posting.where("classes = 1").select("shingle", F.col("gid").alias("cls"), "n")
     postings = stored(lone.unionByName(wide), "class-postings")
-    links, labels = None, None
-    for round_ in range(ROUNDS + 1):
-        placed = postings.withColumn("comp", F.col("cls")) if labels is None else _placed(postings, labels)
-        pairs = star_pairs(placed, [2 * round_, 2 * round_ + 1]) if round_ < ROUNDS else rest_pairs(placed)
-        fresh = stored(verified(stored(pairs, "pairs"), texts), "verified")
-        found = not fresh.isEmpty()
-        links = fresh if links is None else stored(links.unionByName(fresh), "all-links")
-        if found:
-            labels = components(links)
-        elif round_ < ROUNDS:
-            # No star finds anything new: only the exhaustive round is left.
-            fresh = stored(verified(stored(rest_pairs(placed), "pairs"), texts), "verified")
-            if not fresh.isEmpty():
-                labels = components(links.unionByName(fresh))
-            break
+    discard(posting)
+    live, links, labels = unsettled(postings, None), None, None
+    for salt in range(ROUNDS + 1):
+        fresh = verified(star_pairs(live, salt) if salt < ROUNDS else rest_pairs(live), texts)
+        if fresh.isEmpty():
+            continue
+        links = fresh if links is None else links.unionByName(fresh)
+        labels = components(links)
+        if salt < ROUNDS:
+            settled, postings = postings, stored(unsettled(postings, labels).select("shingle", "cls", "n"), "unsettled")
+            discard(settled)
+            live = unsettled(postings, labels)
     named = classes.select("n", "sig1", "sig2", "cls")
     if labels is not None:
         named = named.join(labels, F.col("cls") == F.col("node"), "left").select("n", "sig1", "sig2", F.coalesce("label", "cls").alias("component"))
@@ -260,7 +271,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.join(least, "component", "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), "component", F.coalesce("least", "id").alias("component_id"))
 
-
-def _placed(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    joined = postings.join(labels, F.col("cls") == F.col("node"), "left")
-    return joined.select("shingle", "cls", "n", F.coalesce("label", "cls").alias("comp"))
