@@ -1,4 +1,6 @@
 """Registered queries of the gridded risk operators and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gridrisk.plans.oracles import ORACLES
+from gridrisk.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
