@@ -10,9 +10,8 @@ from gridrisk.functions import exprs as E
 TERRAIN = ("grid_id", "date", "month", "elevation", "slope", "aspect_sin", "aspect_cos", "aspect_deg", "tmi_base_n", "tmi_p", "ywi", "Rm", "Ws", "Dr", "Da")
 
 
-def terrain_wind(weather: DataFrame, cells: DataFrame, mode: str = "from") -> DataFrame:
-    """weather: features. mode: whether bearings say where the wind comes 'from' or blows 'to'."""
-    df = weather.select("grid_id", "date", "month", "wind_ws_max", "wind_theta_deg", "effective_humidity").join(cells, "grid_id")
+def _with_terrain(df: DataFrame, mode: str) -> DataFrame:
+    """df (weather features with cell attributes) with terrain and wind scores, row by row."""
     df = df.withColumn("aspect_deg", E.bearing(F.col("aspect_sin"), F.col("aspect_cos")))
     df = df.withColumns({
         "aspect_sin": F.sin(F.radians("aspect_deg")),
@@ -23,8 +22,25 @@ def terrain_wind(weather: DataFrame, cells: DataFrame, mode: str = "from") -> Da
         "tmi_base_n": E.unit(0.5 * E.unit(F.col("elevation") / 1000.0) + 0.5 * ((1.0 - F.cos(F.radians("aspect_deg"))) / 2.0)),
     })
     df = df.withColumn("ywi", F.col("Rm") * F.col("Ws") * F.col("Dr") * F.col("Da"))
-    df = df.withColumn("tmi_p", 0.55 * F.col("tmi_base_n") + 0.25 * E.unit(F.col("slope") / 35.0) + 0.20 * F.col("ywi"))
-    return df.select(*TERRAIN)
+    return df.withColumn("tmi_p", 0.55 * F.col("tmi_base_n") + 0.25 * E.unit(F.col("slope") / 35.0) + 0.20 * F.col("ywi"))
+
+
+def terrain_wind(weather: DataFrame, cells: DataFrame, mode: str = "from") -> DataFrame:
+    """weather: features. mode: whether bearings say where the wind comes 'from' or blows 'to'."""
+    df = weather.select("grid_id", "date", "month", "wind_ws_max", "wind_theta_deg", "effective_humidity").join(cells, "grid_id")
+    return _with_terrain(df, mode).select(*TERRAIN)
+
+
+def in_one_pass(weather: DataFrame, forest: DataFrame, cells: DataFrame, exposure: DataFrame, mode: str = "from") -> DataFrame:
+    """The columns of ``final_dataset`` straight from weather features and static cells: the fact is read and shuffled
+    once and never joined to itself. Every weather cell must be among cells; static rows once per cell."""
+    df = _with_terrain(weather.join(cells, "grid_id"), mode)
+    df = df.join(forest, "grid_id", "left").join(exposure.drop("forest_contact"), "grid_id", "left")
+    weight = F.col("day_weight")
+    return df.withColumns({
+        "ffdri": E.composite(F.col("dwi"), F.col("fmi"), F.col("tmi_base_n") * 10.0, weight),
+        "pffdri": E.power_composite(F.col("dwi_n"), F.col("fmi_n"), F.col("tmi_p"), F.col("pei"), weight),
+    }).drop("month_num", "day_num", "td_mean", "td_min", "wind_uu_mean", "wind_vv_mean", "wind_theta_deg", "rn_class", "rn_class1", "rn_class2", "rne_temp", "predwi", "predwi_class")
 
 
 def index(weather: DataFrame, forest: DataFrame, terrain: DataFrame, exposure: DataFrame) -> DataFrame:

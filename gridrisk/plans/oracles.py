@@ -118,7 +118,8 @@ def q(select: str) -> str:
     flat = f" {select.replace(',', ' ').replace(')', ' ').replace(chr(10), ' ')} "
     add({n for n in STEPS if f" {n} " in flat})
     steps = ", ".join(f"{n} AS ({STEPS[n]})" for n in needed)
-    return f"WITH {steps} {select}" if needed else select
+    rest = f", {select[5:]}" if select.startswith("WITH ") else f" {select}"
+    return f"WITH {steps}{rest}" if needed else select
 
 
 SCORES = "dwi fmi tmi_p pei ffdri pffdri".split()
@@ -231,3 +232,5 @@ ORACLES = {
     "class_weights": q("SELECT fire_label, n, ROUND(SUM(n) OVER () / (COUNT(*) OVER () * n), 6) AS weight FROM (SELECT fire_label, COUNT(*) AS n FROM smp GROUP BY fire_label)"),
     "city_risk": q(f"SELECT city, COUNT(*) AS n, ROUND(AVG(ffdri), 6) AS avg_ffdri, ROUND(MAX(ffdri), 6) AS max_ffdri, ROUND(AVG(pffdri), 6) AS avg_pffdri FROM idx i JOIN ({CITIES}) c ON i.grid_id = c.grid_id GROUP BY city"),
 }
+ORACLES["final_in_one_pass"] = ORACLES["final_dataset"]
+ORACLES["risk_index_joined"] = ORACLES["risk_index"]

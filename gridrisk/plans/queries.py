@@ -38,15 +38,16 @@ def _cells(s: SparkSession, d: str) -> DataFrame:
     return static.terrain_cells(fx.master_grid(s, d), fx.FULL_WEIGHT, fx.HALF_WEIGHT)
 
 
+INDEX = ("grid_id", "date", "month", "day_weight", "dwi", "dwi_n", "fmi", "fmi_n", "tmi_base_n", "tmi_p", "pei", "ffdri", "pffdri")
+
+
 def _index(s: SparkSession, d: str) -> DataFrame:
-    w, m = _features(s, d), fx.master_grid(s, d)
-    return risk.index(w, static.forest(m), risk.terrain_wind(w, _cells(s, d)), static.exposure(m))
+    return _final(s, d).select(*INDEX)
 
 
 def _final(s: SparkSession, d: str) -> DataFrame:
-    w, m = _features(s, d), fx.master_grid(s, d)
-    forest, exposure, terrain = static.forest(m), static.exposure(m), risk.terrain_wind(w, _cells(s, d))
-    return risk.final_dataset(w, forest, terrain, exposure, risk.index(w, forest, terrain, exposure))
+    m = fx.master_grid(s, d)
+    return risk.in_one_pass(_features(s, d), static.forest(m), _cells(s, d), static.exposure(m))
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -175,8 +176,23 @@ def risk_index(s, d):
     return _index(s, d)
 
 
+@query
+def risk_index_joined(s, d):
+    """The join form, for stored inputs."""
+    w, m = _features(s, d), fx.master_grid(s, d)
+    return risk.index(w, static.forest(m), risk.terrain_wind(w, _cells(s, d)), static.exposure(m))
+
+
 @query
 def final_dataset(s, d):
+    """The join form, for stored inputs."""
+    w, m = _features(s, d), fx.master_grid(s, d)
+    forest, exposure, terrain = static.forest(m), static.exposure(m), risk.terrain_wind(w, _cells(s, d))
+    return risk.final_dataset(w, forest, terrain, exposure, risk.index(w, forest, terrain, exposure))
+
+
+@query
+def final_in_one_pass(s, d):
     return _final(s, d)
 
 
