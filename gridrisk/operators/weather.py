@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrisk.functions import exprs as E
 
-BY_CELL = Window.partitionBy("grid_id").orderBy("date")
 REALS = (*E.SCALED_BY_TEN[:10], "wind_wd_sin_mean", "wind_wd_cos_mean", *E.SCALED_BY_TEN[10:])
 FEATURES = (
     "grid_id", "date", "month", "month_num", "day_num", *REALS[:12], "wind_theta_deg", "rn_day_mean", "rn_day_max", "effective_humidity",
@@ -23,11 +22,14 @@ def base(weather: DataFrame, scaled: bool = True) -> DataFrame:
     )
 
 
+def _lag(column: str, days: int) -> Column:
+    return F.lag(column, days).over(Window.partitionBy("grid_id").orderBy("date"))
+
+
 def with_lags(df: DataFrame) -> DataFrame:
     """Lags 1 to 4 of date and humidity and 1 to 2 of rain: one exchange, one sort. hm_used k is the humidity of k days
     ago, or today's where that day is missing; grade k likewise, or 0."""
-    lag = lambda c, k: F.lag(c, k).over(BY_CELL)
-    df = df.select("*", *[lag("date", k).alias(f"lag_date{k}") for k in range(1, 5)], *[lag("hm_mean", k).alias(f"hm_lag{k}") for k in range(1, 5)], *[lag("rn_day_mean", k).alias(f"rn_lag{k}") for k in (1, 2)])
+    df = df.select("*", *[_lag("date", k).alias(f"lag_date{k}") for k in range(1, 5)], *[_lag("hm_mean", k).alias(f"hm_lag{k}") for k in range(1, 5)], *[_lag("rn_day_mean", k).alias(f"rn_lag{k}") for k in (1, 2)])
     follows = lambda k: F.datediff("date", f"lag_date{k}") == k
     return df.select(
         "*",
@@ -64,9 +66,8 @@ def official(weather: DataFrame, static: DataFrame, start: str | None = None, en
     """The official formula: plain lags without a gap guard, class sums for terrain, duplicated cells fan out. The
     window of dates is cut after the lags."""
     df = base(weather)
-    lag = lambda c, k: F.lag(c, k).over(BY_CELL)
     df = df.withColumn("rn_grade", E.rain_grade(F.col("rn_day_mean")))
-    df = df.select("*", *[lag("hm_mean", k).alias(f"hm_lag{k}") for k in range(1, 5)], *[lag("rn_grade", k).alias(f"grade{k}") for k in (1, 2)])
+    df = df.select("*", *[_lag("hm_mean", k).alias(f"hm_lag{k}") for k in range(1, 5)], *[_lag("rn_grade", k).alias(f"grade{k}") for k in (1, 2)])
     humidity = sum((w * F.coalesce(F.col(f"hm_lag{k}"), F.col("hm_mean")) for k, w in enumerate(E.OFFICIAL_HUMIDITY_WEIGHTS) if k), E.OFFICIAL_HUMIDITY_WEIGHTS[0] * F.col("hm_mean"))
     df = df.withColumn("effective_humidity", humidity).withColumn("rne_temp", F.col("rn_grade") + F.coalesce("grade1", F.lit(0)) + F.coalesce("grade2", F.lit(0)))
     df = df.withColumn("predwi", E.weather_score(F.col("ta_mean"), F.col("hm_mean"), F.col("effective_humidity"), F.col("wind_ws_mean")))
