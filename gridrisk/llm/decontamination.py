@@ -104,9 +104,7 @@ def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: floa
     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(shingles), 0, dtype=np.int32)])
     best: dict[int, tuple] = {}
     for size in np.unique(items.sizes):
-        span = int(size) - items.width + 1  # shingles in a window
-        if span > len(shingles):
-            continue
+        span = min(int(size) - items.width + 1, len(shingles))  # shingles in a window, or in all of a shorter document
         starts = np.unique((hits[:, None] - np.arange(span)).ravel())
         starts = starts[(starts >= 0) & (starts + span <= len(shingles))]
         for some in np.array_split(starts, max(1, len(starts) // 4096)):
@@ -123,7 +121,7 @@ def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: floa
                 held = np.isin(items.shingles[item], shingles[start : start + span])
                 share = float((items.weights[item] * held).sum() / items.weights[item].sum())
                 if share >= similarity - 1e-12 and (item not in best or (-share, start) < (-best[item][4], best[item][1])):
-                    best[item] = (item, start, int(size), int(d), share)
+                    best[item] = (item, start, span + items.width - 1, int(d), share)
     return [best[k] for k in sorted(best)]
 
 

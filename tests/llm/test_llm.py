@@ -1,0 +1,166 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridrisk.llm import boosting, chat, components, decontamination, fingerprints, jaccard, lm, pieces, pii, quality, sharding, toxicity
+
+WORDS = [f"w{k}" for k in range(400)]
+
+
+def text(start, n):
+    return " ".join(WORDS[(start + k * 7) % 400] for k in range(n))
+
+
+ODD = [(1, "a b c d e f"), (2, None), (3, ""), (4, " \n "), (5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f g"), (7, "x" * 50_000), (8, "é▁𝄞 <|im_end|> \\|")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("score", F.lit("mine")).withColumn("shard", F.lit(None).cast("string"))
+    return df.withColumn("lang", F.lit(None).cast("string"))
+
+
+def test_shards(spark, odd):
+    docs = spark.createDataFrame([(k, text(k, 3 + k % 90)) for k in range(600)] + [(1000 + k, "copy of a copy") for k in range(300)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(docs, 6, pieces_per_shard=2).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert sorted(got.doc_id) == sorted(r.doc_id for r in docs.collect()) and len(sizes) == 6
+    assert sizes.max() - sizes.min() < 0.05 * sizes.mean() + 2000
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    small = sharding.shard_by_bytes(odd, 3).toPandas()
+    assert len(small) == len(ODD) and set(small["size"]) >= {8}
+    assert sharding.shard_by_bytes(odd.limit(0), 3).count() == 0
+
+
+def test_chats(spark):
+    rows = [(1, 2, "assistant", "yes <|im_end|><\\|turn|>"), (1, 1, "user", "hi"), (1, 3, "assistant", None), (1, 3, "assistant", "b"), (2, None, None, "x"), (2, 0, "a%\nb", "")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), run=2)
+    got = {r.conv_id: r for r in out.select("conv_id", chat.parse_chats(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("l")).collect()}
+    assert [tuple(t) for t in got[1].t] == [("user", "hi"), ("assistant", "yes <|im_end|><\\|turn|>"), ("assistant", ""), ("assistant", "b")]
+    assert got[1].l == "yes <|im_end|><\\|turn|>b"
+    assert [tuple(t) for t in got[2].t] == [("", "x"), ("a%\nb", "")]
+    assert out.where("conv_id = 1").first().formatted.count("<|im_start|>") == 2
+
+
+PLAIN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_spans(t):
+    out = []
+    for kind, pattern in PLAIN:
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and luhn(d or "1"), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_pii(spark, odd):
+    texts = ["é a.b@c.d_e@f.gh x@y", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112 9" * 2, "+1 (017) 555-7713) +12 +999999999999999999", "a" * 30_000 + "@b.c", "1 " * 20_000, ""]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id")
+    base = F.filter("pii", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    assert [r[0] for r in got.select(pii.spans_text(base)).collect()] == [brute_spans(t) for t in texts]
+    iban = spark.createDataFrame([(1, "bank iban GB82WEST12345698765432 and GB83WEST12345698765432"), (2, None)], "doc_id long, text string")
+    assert pii.redact(iban).orderBy("doc_id").collect()[0].text == "bank iban <IBAN> and GB83WEST12345698765432"
+    assert pii.redact(odd).count() == len(ODD)
+
+
+def test_fingerprints(spark):
+    rows = [(k, text(k, 120)) for k in range(9)] + [(9, text(0, 120) + " more"), (10, None), (10, ""), (None, "one two")]
+    df = fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), "fp")
+    got = fingerprints.with_following(df, "doc_id", {"text": "next", "fp": "next_fp"}, rows_per_bucket=3).select("*", fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near")).collect()
+    by = {r.doc_id: r for r in got if r.doc_id not in (10, None)}
+    assert len(got) == len(rows) and by[5].next == text(4, 120) and by[0].next == "one two"
+    pair = df.where("doc_id in (0, 9)").groupBy().agg(F.collect_list("fp").alias("f")).select(fingerprints.likeness(F.col("f")[0], F.col("f")[1])).first()[0]
+    assert pair > 0.9
+
+
+def test_quality_and_boosting(spark, odd):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 1] > 0.3) ^ (x[:, 2] > 0)).astype(float)
+    assert ((boosting.fit(x[:600], y[:600]).scores(x[600:]) >= 0.5) == y[600:]).mean() > 0.9
+    assert quality.score_quality(odd, boosting.fit(np.zeros((0, 20)), np.zeros(0))).count() == len(ODD)
+
+
+def test_toxicity(spark, odd):
+    texts = [text(k, 40) + (" trash scum" if k % 3 == 0 else "") for k in range(120)]
+    index = toxicity.build_index(list(range(120)), texts, np.array([k % 3 == 0 for k in range(120)]), block=8)
+    v = index.vector(toxicity.terms_of("some trash here"))
+    whole = np.zeros(len(index.ids))
+    for b, lists in enumerate(index.blocks):
+        for t, (at, w) in lists.items():
+            whole[at + b * index.block] += v.get(t, 0) * w
+    assert np.allclose(np.sort(whole)[::-1][: index.k], index.nearest(v)[1])
+    assert index.score(v)[0] > 0.7 > index.score({})[0]
+    assert toxicity.score_toxicity(odd, index).count() == len(ODD)
+
+
+def test_lm(spark):
+    rows = [(k, text(k, 30 + k)) for k in range(40)] + [(40, None), (41, ""), (7, text(7, 37))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.score_corpus(docs, F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True)), steps=50).toPandas()
+    counts = {}
+    for i, t in rows:
+        if i % 5 != 1:
+            for w in [*(t or "").split(), ""]:
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for r in got.itertuples():
+        words = [*(dict(rows)[r.doc_id] or "").split(), ""]
+        assert abs(r.base_score - sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words)) < 1e-6
+        assert r.n_known == sum(w in counts for w in words)
+    model = lm.LogBilinear(*(np.random.default_rng(1).normal(size=s) for s in ((5, 3), (3, 3), (3, 3), (5, 3), (5,))))
+    assert np.allclose((10.0 ** model.table()).sum(-1), 1, atol=1e-4)
+
+
+def test_pieces(spark, odd):
+    got = pieces.sample_pieces(odd).select("doc_id", "text", "ids", "lossless", "decoded_sha256").collect()
+    again = pieces.sample_pieces(odd.repartition(3), block_chars=10).select("doc_id", "text", "ids").collect()
+    assert all(r.lossless for r in got) and {(r.doc_id, r.text, tuple(r.ids)) for r in got} == {(r.doc_id, r.text, tuple(r.ids)) for r in again}
+    assert {r.decoded_sha256 for r in got if r.doc_id == 2} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_leaks(spark, odd):
+    items = spark.createDataFrame([(1, text(3, 40)), (2, text(200, 25)), (3, None), (4, "two words")], "item_id long, text string")
+    docs = [(10, text(100, 60) + " " + text(3, 40).upper() + " " + text(50, 30)), (11, text(77, 90)), (12, "zz two words zz"), (13, text(200, 24))]
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, items_per_block=2).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(10, 1), (12, 4), (13, 2)]
+    assert decontamination.find_leaks(odd, items).count() == 0
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(20, 40)] + [(1, 9), (9, 5), (5, 5), (1, 9)], "a long, b long")
+    got = {r.node: r.label for r in components.components(links).collect()}
+    assert got == {**{k: 20 for k in range(20, 41)}, 1: 1, 9: 1, 5: 1}
+
+
+def test_jaccard(spark, odd):
+    base = text(0, 100).split()
+    near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (2, 50, 97)]
+    docs = [(10, text(0, 100)), *zip((11, 12, 13), near, strict=True), (14, text(0, 100)), (15, text(0, 60)), (16, text(150, 100)), *[(i, t) for i, t in ODD]]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    sets = [shingles(t) for _, t in docs]
+    label = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    want = sorted((str(i), len(sets[k]), str(min((docs[j][0] for j in range(len(docs)) if label[j] == label[k] and docs[j][0] is not None), default=None))) for k, (i, _) in enumerate(docs))
+    assert sorted((str(r.id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert jaccard.near_duplicates(odd.limit(0)).count() == 0
