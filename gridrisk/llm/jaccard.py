@@ -11,7 +11,8 @@ A document is the set of its distinct 5-word shingles (fewer words: the whole se
    expand to their classes.
 3. Stars: a class compares itself to the best shared of a few centres among the classes of its shingles and size, not to
    all classes. Verified links form components. A cluster of near copies is joined after a few rounds of this, with work
-   in proportion to its size.
+   in proportion to its size. Rounds end when one finds no link, or when the rest has few pairs to look at for each
+   posting, so that another round would cost more than it saves.
 4. The rest: of all pairs of classes that share a prefix shingle, lie in different components and pass the size and count
    filters, every one is verified. Pairs inside a component cannot change it, so no component misses a link.
 
@@ -33,6 +34,9 @@ from gridrisk.llm.components import components
 from gridrisk.llm.text import GOLD, Hashes, lower_words, mixed, shingles
 
 WIDTH, SHARE, ROUNDS = 5, 500, 4
+#: Mean number of postings of a posting's shingle up to which the rest follows at once: it then makes at most one pair
+#: for each posting, which is what a round makes.
+FEW_PAIRS = 3
 #: Small tables of keys are broadcast up to this many rows; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -231,6 +235,13 @@ def unsettled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return placed.join(many, "shingle", "left_semi")
 
 
+def few_pairs(postings: DataFrame) -> bool:
+    """Whether the postings with the shingle of a posting are FEW_PAIRS or fewer in the mean over postings."""
+    counts = postings.groupBy("shingle").agg(F.count("*").cast("double").alias("rows"))
+    rows, pairs = counts.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rows"))).first()
+    return not rows or pairs <= FEW_PAIRS * rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``component`` (equal for all documents reachable by links) and
     ``component_id`` (the least id of the component)."""
@@ -251,16 +262,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = stored(lone.unionByName(wide), "class-postings")
     discard(posting)
     live, links, labels = unsettled(postings, None), None, None
-    for salt in range(ROUNDS + 1):
-        fresh = verified(star_pairs(live, salt) if salt < ROUNDS else rest_pairs(live), texts)
-        if fresh.isEmpty():
-            continue
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = components(links)
-        if salt < ROUNDS:
+    salt, last = 0, few_pairs(live)
+    while True:
+        fresh = verified(rest_pairs(live) if last else star_pairs(live, salt), texts)
+        found = not fresh.isEmpty()
+        if found:
+            links = fresh if links is None else links.unionByName(fresh)
+            labels = components(links)
+        if last:
+            break
+        if found:
             settled, postings = postings, stored(unsettled(postings, labels).select("shingle", "cls", "n"), "unsettled")
             discard(settled)
             live = unsettled(postings, labels)
+        salt += 1
+        last = not found or salt == ROUNDS or few_pairs(postings)
     named = classes.select("n", "sig1", "sig2", "cls")
     if labels is not None:
         named = named.join(labels, F.col("cls") == F.col("node"), "left").select("n", "sig1", "sig2", F.coalesce("label", "cls").alias("component"))
