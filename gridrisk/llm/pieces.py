@@ -21,7 +21,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ GIVEN_RANK = 1000
 #: Units of a lattice are characters that are pieces, by code point, and the bytes of all others, from here on.
 BYTE_UNITS = 0x110000
 TABLE_BITS = 22
+#: Bits of a share in a mark; the place is above them.
+SHARE_BITS = 32
 
 
 def _hashed(units: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
@@ -113,8 +115,8 @@ class Model:
 
 def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
     """The filtered lattices of distinct chunks. A place is the end of a unit. Returns each chunk's last place and, by
-    edge in order of the place it ends at: the place it comes from (-1: the chunk's start), its piece and its mark, the
-    place plus the cumulated share of the edges into it."""
+    edge in order of the place it ends at: the place it comes from (-1: the chunk's start), its piece and its mark: the
+    place and, in the low SHARE_BITS bits, the cumulated share of the edges into it."""
     units, sizes = model.units(chunks)
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(len(units))  # units from here to the chunk's end
@@ -150,19 +152,24 @@ def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
         part = np.exp(value - np.repeat(top, fan))
         total = np.add.reduceat(part, first)
         alpha[end[a:b][first]] = top + np.log(total)
-        run = np.cumsum(part)
-        base = run[first] - part[first]
-        cumulated = (run - np.repeat(base, fan)) / np.repeat(total, fan)
-        cumulated[first + fan - 1] = 1.0
-        share[a:b] = np.minimum(cumulated, 1.0)
+        share[a:b] = part / np.repeat(total, fan)
     # Edges into a place are together already: each moves to its place's slot.
     fans = np.bincount(end, minlength=len(units))
     runs = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
     within = np.arange(len(end)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(end)]])))
     slot = (np.cumsum(fans) - fans)[end] + within
     out = np.empty(len(end), np.int64), np.empty(len(end), np.int32), np.empty(len(end))
-    out[0][slot], out[1][slot], out[2][slot] = froms, model.ids[piece], end + share
-    return ends - 1, *out
+    out[0][slot], out[1][slot], out[2][slot] = froms, model.ids[piece], share
+    froms, pieces, upto = out
+    # Shares add up edge after edge of a place, so that they don't depend on the other chunks.
+    own = np.flatnonzero(fans)
+    start = (np.cumsum(fans) - fans)[own]
+    for k in range(1, int(fans.max(initial=0))):
+        more = start[fans[own] > k] + k
+        upto[more] += upto[more - 1]
+    marks = np.minimum((upto * (1 << SHARE_BITS)).astype(np.int64), 1 << SHARE_BITS)
+    marks[start + fans[own] - 1] = 1 << SHARE_BITS
+    return ends - 1, froms, pieces, (np.repeat(np.arange(len(units)), fans) << SHARE_BITS) + marks
 
 
 def draw(lattice: tuple[np.ndarray, ...], numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +179,8 @@ def draw(lattice: tuple[np.ndarray, ...], numbers: np.ndarray, keys: np.ndarray)
     counts, steps = np.zeros(len(numbers), np.int64), []
     with np.errstate(over="ignore"):
         while len(alive):
-            u = (mixed(keys[alive] + np.uint64(len(steps) + 1) * GOLD) >> np.uint64(11)).astype(float) * 2.0**-53
-            edge = np.minimum(np.searchsorted(marks, place + u, side="right"), len(marks) - 1)
+            u = (mixed(keys[alive] + np.uint64(len(steps) + 1) * GOLD) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
+            edge = np.searchsorted(marks, (place << SHARE_BITS) + u, side="right")
             counts[alive] += 1
             steps.append((alive, pieces[edge]))
             place = froms[edge]
@@ -194,21 +201,47 @@ class Numbers(dict):
         return n
 
 
-def encode_block(model: Model, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all texts one after another, and how many each text has."""
-    numbered = Numbers()
-    per_text = [list(map(numbered.__getitem__, CHUNK.findall(" " + t))) if t else [] for t in texts]
-    sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
-    if not numbered:
-        return np.empty(0, np.int32), sizes
-    numbers = np.fromiter(chain.from_iterable(per_text), np.int64, sizes.sum())
-    del per_text
-    first = np.cumsum(sizes) - sizes
-    index = (np.arange(len(numbers)) - np.repeat(first, sizes)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        found, counts = draw(lattices(model, list(numbered)), numbers, mixed(np.repeat(keys, sizes) ^ mixed(index)))
-    whole = np.concatenate([[0], np.cumsum(counts)])
-    return found, whole[first + sizes] - whole[first]
+class Encoder:
+    """Encodes blocks of texts. Lattices of chunks are kept from block to block, up to most_units units in all, and then
+    built anew; what is kept changes no result."""
+
+    def __init__(self, model: Model, most_units: int = 1_000_000):
+        self.model, self.most = model, most_units
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbered = Numbers()
+        self.places, self.known = 0, 0
+        self.lattice = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def _learn(self) -> None:
+        """Adds the lattices of the chunks that were numbered since the last call."""
+        new = list(islice(self.numbered, self.known, None))
+        if not new:
+            return
+        last, froms, pieces, marks = lattices(self.model, new)
+        moved = last + self.places, np.where(froms < 0, froms, froms + self.places), pieces, marks + (self.places << SHARE_BITS)
+        self.lattice = tuple(np.concatenate(pair) for pair in zip(self.lattice, moved, strict=True))
+        self.places += int(last[-1]) + 1
+        self.known = len(self.numbered)
+
+    def block(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all texts one after another, and how many each text has."""
+        if self.places > self.most:
+            self.forget()
+        per_text = [list(map(self.numbered.__getitem__, CHUNK.findall(" " + t))) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        numbers = np.fromiter(chain.from_iterable(per_text), np.int64, sizes.sum())
+        del per_text
+        if not len(numbers):
+            return np.empty(0, np.int32), sizes
+        self._learn()
+        first = np.cumsum(sizes) - sizes
+        index = (np.arange(len(numbers)) - np.repeat(first, sizes)).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            found, counts = draw(self.lattice, numbers, mixed(np.repeat(keys, sizes) ^ mixed(index)))
+        whole = np.concatenate([[0], np.cumsum(counts)])
+        return found, whole[first + sizes] - whole[first]
 
 
 def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: str = MODEL, theta: float = 1.0, seed: int = 0, block_chars: int = 1_000_000) -> DataFrame:
@@ -224,6 +257,7 @@ def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model, theta)
+        encoder = Encoder(own)
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             keys = batch.column(len(batch.columns) - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -233,7 +267,7 @@ def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
                 if held < block_chars and end < len(texts):
                     continue
                 part = texts[start:end]
-                found, counts = encode_block(own, part, keys[start:end])
+                found, counts = encoder.block(part, keys[start:end])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 back = [own.decode(found[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
                 shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
