@@ -1,17 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through block-max inverted indexes.
 
 The examples are at most ``most_examples`` labelled rows of the learning fold (the least hashes of their ids, toxic ones
-first up to half). Terms are chosen greedily: each next term is the one that occurs in the most toxic examples without a
-term so far, at a precision of at least ``precision``. Terms are words, the stems of longer words, and stems that a
-text repeats.
-Texts are vectors of these terms, (1 + ln tf) * idf, unit length.
+first up to half), clean ones included, each with all of its words. Texts are vectors of all words that some example
+has, (1 + ln tf) * weight, unit length. The weight is the idf over all examples times a square that grows with how far
+the word's shares in toxic and clean examples lie apart; it is never 0, so no word is left out.
 
-For a query the k examples of highest cosine are found exactly: examples lie in blocks, each block knows the highest
-weight of every term, blocks are visited by falling upper bound, and the search ends when no bound exceeds the k-th
-cosine. Votes count by cosine; Platt scaling on leave-one-out votes of the examples makes them probabilities. Texts
-without any term get the calibrated share of toxic examples among examples without terms.
+For a query the k examples of highest cosine are found exactly: examples lie in blocks and each block knows the highest
+weight of every common word. Rare words are added up first, blocks are visited by falling upper bound, and the search
+ends when no bound exceeds the k-th cosine. Votes count by cosine; Platt scaling on leave-one-out votes of the examples
+makes them probabilities. Texts without any word of the examples get the calibrated share of toxic examples among
+examples without words.
 
-Defined results: null and empty texts have no terms; null labels are ignored; without toxic examples every score is the
+Defined results: null and empty texts have no words; null labels are ignored; without toxic examples every score is the
 prior; equal cosines rank by the examples' order (hash of the id); repeated rows are scored each.
 """
 
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,55 +34,36 @@ from gridrisk.llm.common import without
 MARKS = ".,;:!?*#$%&\"'()[]|<>~^-_"
 
 
-STEMS = (4, 5, 6, 8)
-OFTEN = (2, 4)
-
-
-def terms_of(text: str | None, openings: set[str] | None = None) -> Counter:
-    """Words without marks at their ends, the stems of longer words (their first letters, ``abcd*``) and stems that
-    occur at least so often as OFTEN lists (``abcd*2``), with their counts. openings: if given, only words whose first
-    4 letters are among them."""
-    words = Counter(w for x in (text or "").lower().split() if (w := x.strip(MARKS)) and (openings is None or w[:4] in openings))
-    stems: Counter = Counter()
-    for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                stems[w[:k] + "*"] += n
-    often = {f"{w}{k}": n for w, n in stems.items() for k in OFTEN if n >= k}
-    return words + stems + Counter(often)
-
-
-def choose_terms(bags: list[Counter], y: np.ndarray, most: int = 256, support: int = 3, precision: float = 0.8) -> list[str]:
-    """Greedy cover of the toxic examples; ties by the word."""
-    toxic = [set(b) for b, v in zip(bags, y, strict=True) if v]
-    clean = Counter(w for b, v in zip(bags, y, strict=True) if not v for w in b)
-    every = Counter(w for b in toxic for w in b)
-    sure = {w for w, n in every.items() if n >= support and n / (n + clean[w]) >= precision}
-    chosen: list[str] = []
-    left = Counter(w for b in toxic for w in b & sure)
-    while left and len(chosen) < most:
-        best = max(left.items(), key=lambda x: (x[1], every[x[0]], x[0]))
-        if best[1] < support:
-            break
-        chosen.append(best[0])
-        covered = [b for b in toxic if best[0] in b]
-        toxic = [b for b in toxic if best[0] not in b]
-        for b in covered:
-            left.subtract(b & sure)
-        left = +left
-    return chosen
+#: Words in more than 1 / COMMON of the examples are added up block by block, the others through their lists.
+COMMON = 8
+
+
+def terms_of(text: str | None) -> Counter:
+    """Words without marks at their ends, with their counts."""
+    return Counter(w for x in (text or "").lower().split() if (w := x.strip(MARKS)))
+
+
+def word_weights(n_toxic: np.ndarray, n_clean: np.ndarray, toxic: float, clean: float) -> np.ndarray:
+    """Weights of words that n_toxic of the toxic examples and n_clean of the clean ones hold; one pseudo-example of
+    each class smooths the shares."""
+    every = toxic + clean
+    apart = np.log((n_toxic + toxic / every) / (toxic + 1)) - np.log((n_clean + clean / every) / (clean + 1)) if toxic and clean else 0.0
+    return (0.1 + np.abs(apart)) ** 2 * (np.log((1 + every) / (1 + n_toxic + n_clean)) + 1)
 
 
 @dataclass(frozen=True)
 class Index:
-    """An inverted index of unit vectors in blocks of consecutive examples."""
+    """An inverted index of unit vectors in blocks of consecutive examples. Terms are numbered by falling frequency, so
+    that the first n_common are the common ones."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: list[float]
     ids: np.ndarray
     y: np.ndarray
-    blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]]  # term -> (places in the block, weights)
-    highest: np.ndarray  # terms x blocks
+    bounds: np.ndarray  # where each term's list starts in places and values
+    places: np.ndarray
+    values: np.ndarray
+    n_common: int
     block: int
     k: int
     slope: float
@@ -88,35 +71,67 @@ class Index:
     prior: float
     blank: float
 
-    def openings(self) -> set[str]:
-        """The first 4 letters of any word that can hold a term."""
-        return {t[: t.rfind("*")][:4] if "*" in t else t[:4] for t in self.terms}
+    @property
+    def blocks(self) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The lists of each block: term -> (places in the block, weights)."""
+        out: list[dict] = [{} for _ in range(-(-len(self.ids) // self.block))]
+        for t in range(len(self.terms)):
+            at, w = self.places[self.bounds[t] : self.bounds[t + 1]], self.values[self.bounds[t] : self.bounds[t + 1]]
+            for b in np.unique(at // self.block):
+                here = at // self.block == b
+                out[b][t] = at[here] - b * self.block, w[here]
+        return out
+
+    @cached_property
+    def common(self) -> np.ndarray:
+        """Weights of the common terms, blocks x terms x places."""
+        n_blocks = -(-len(self.ids) // self.block)
+        out = np.zeros((n_blocks, self.n_common, self.block))
+        n = self.bounds[self.n_common]
+        at = self.places[:n]
+        out[at // self.block, np.repeat(np.arange(self.n_common), np.diff(self.bounds[: self.n_common + 1])), at % self.block] = self.values[:n]
+        return out
+
+    @cached_property
+    def highest(self) -> np.ndarray:
+        """The highest weight of each common term in each block, terms x blocks."""
+        return self.common.max(2).T
 
     def vector(self, bag: Counter) -> dict[int, float]:
-        raw = {self.terms[w]: (1 + np.log(n)) * self.idf[self.terms[w]] for w, n in bag.items() if w in self.terms}
-        norm = np.sqrt(sum(v * v for v in raw.values())) or 1.0
+        raw = {t: (1 + log(n)) * self.weights[t] for w, n in bag.items() if (t := self.terms.get(w)) is not None}
+        norm = sqrt(sum(v * v for v in raw.values())) or 1.0
         return {t: v / norm for t, v in raw.items()}
 
     def nearest(self, vector: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, exactly, without the example skip."""
         ts = np.fromiter(vector, np.int64, len(vector))
-        bounds = np.fromiter(vector.values(), float, len(ts)) @ self.highest[ts]
-        places, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(places) >= self.k and bounds[b] < least:
-                break
-            found = np.zeros(self.block)
-            for t, q in vector.items():
-                if t in self.blocks[b]:
-                    at, weights = self.blocks[b][t]
-                    found[at] += q * weights
-            hit = np.flatnonzero(found)
-            hit = hit[hit + b * self.block != skip]
-            places, cosines = np.concatenate([places, hit + b * self.block]), np.concatenate([cosines, found[hit]])
-            order = np.lexsort((places, -cosines))[: self.k]
-            places, cosines = places[order], cosines[order]
-            least = cosines[-1] if len(places) >= self.k else 0.0
-        return places, cosines
+        qs = np.fromiter(vector.values(), float, len(ts))
+        rare = ts >= self.n_common
+        starts, sizes = self.bounds[ts[rare]], self.bounds[ts[rare] + 1] - self.bounds[ts[rare]]
+        lists = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        n_blocks = -(-len(self.ids) // self.block)
+        found = np.bincount(self.places[lists], self.values[lists] * np.repeat(qs[rare], sizes), n_blocks * self.block).astype(float)
+        if skip >= 0:
+            found[skip] = -np.inf
+        parts = found.reshape(n_blocks, self.block)
+        tc, qc = ts[~rare], qs[~rare]
+        if len(tc) and n_blocks:
+            bounds = parts.max(1) + qc @ self.highest[tc]
+            least = np.partition(found, -self.k)[-self.k] if len(found) > self.k else 0.0
+            top = np.empty(0)
+            for b in np.argsort(-bounds, kind="stable"):
+                if bounds[b] + 1e-12 < least:
+                    break
+                parts[b] += qc @ self.common[b, tc]
+                top = np.concatenate([top, parts[b][parts[b] >= least]])
+                if len(top) > self.k:
+                    top = np.partition(top, -self.k)[-self.k :]
+                    least = max(least, top[0])
+        hit = np.flatnonzero(found > 0)
+        if len(hit) > self.k:
+            hit = hit[found[hit] >= np.partition(found[hit], -self.k)[-self.k]]
+        hit = hit[np.argsort(-found[hit], kind="stable")][: self.k]
+        return hit, found[hit]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """The log-odds of the distance-weighted share of toxic neighbours."""
@@ -133,30 +148,32 @@ class Index:
 def build_index(ids: list, texts: list[str | None], labels: np.ndarray, k: int = 15, block: int = 64) -> Index:
     y = np.asarray(labels, float)
     bags = [terms_of(t) for t in texts]
-    chosen = choose_terms(bags, y)
-    terms = {w: i for i, w in enumerate(chosen)}
-    df = np.array([sum(w in b for b in bags) for w in chosen], float)
+    held = Counter(w for b in bags for w in b)
+    terms = {w: i for i, w in enumerate(sorted(held, key=lambda w: (-held[w], w)))}
+    numbers = [np.fromiter((terms[w] for w in b), np.int64, len(b)) for b in bags]
+    of_class = [np.bincount(np.concatenate([x for x, v in zip(numbers, y, strict=True) if v == c] or [np.empty(0, np.int64)]), minlength=len(terms)).astype(float) for c in (1, 0)]
+    weights = word_weights(*of_class, y.sum(), len(y) - y.sum())
     prior = (y.sum() + 0.5) / (len(y) + 1)
-    idf = np.log((1 + len(y)) / (1 + df)) + 1
-    bare = np.array([not any(w in terms for w in b) for b in bags], bool)
+    bare = np.array([not b for b in bags], bool)
     blank = (y[bare].sum() + prior) / (bare.sum() + 1) if len(y) else 0.5
+    empty = np.empty(0)
+    n_common = sum(n * COMMON > len(y) for n in held.values())
+    draft = Index(terms, weights.tolist(), np.array(ids), y, np.zeros(len(terms) + 1, np.int64), empty, empty, n_common, block, k, 1.0, 0.0, float(prior), float(blank))
+    vectors = [draft.vector(b) for b in bags]
+    every = np.concatenate([*numbers, np.empty(0, np.int64)])
+    order = np.argsort(every, kind="stable")
+    lists = {
+        "bounds": np.searchsorted(every[order], np.arange(len(terms) + 1)),
+        "places": np.repeat(np.arange(len(y)), [len(b) for b in bags])[order],
+        "values": np.array([v for x in vectors for v in x.values()], float)[order],
+    }
+    index = Index(**draft.__dict__ | lists)
     kept = np.flatnonzero(~bare)
-    draft = Index(terms, idf, np.array([ids[i] for i in kept]), y[kept], [], np.zeros((len(terms), 0)), block, k, 1.0, 0.0, float(prior), float(blank))
-    vectors = [draft.vector(bags[i]) for i in kept]
-    blocks: list[dict] = []
-    for start in range(0, len(kept), block):
-        lists: dict[int, list] = {}
-        for place, v in enumerate(vectors[start : start + block]):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((place, w))
-        blocks.append({t: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()})
-    highest = np.array([[b[t][1].max() if t in b else 0.0 for b in blocks] for t in range(len(terms))]).reshape(len(terms), len(blocks))
-    index = Index(**draft.__dict__ | {"blocks": blocks, "highest": highest})
     if not len(kept):
         return index
-    votes = np.array([index.vote(*index.nearest(v, skip=i)) for i, v in enumerate(vectors)])
-    slope, shift = _platt(votes, index.y)
-    return Index(**index.__dict__ | {"slope": slope, "shift": shift})
+    votes = np.array([index.vote(*index.nearest(vectors[i], skip=i)) for i in kept])
+    slope, shift = _platt(votes, y[kept])
+    return replace(index, slope=slope, shift=shift)
 
 
 def _platt(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -185,7 +202,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learning: Column, most_ex
 
 def score_toxicity(docs: DataFrame, index: Index, text_col: str = "text", evidence: int = 3) -> DataFrame:
     """docs with ``score`` and ``evidence``: the nearest examples as (doc_id, cosine, label). Columns of these names
-    are replaced. The index has a proven bound: most_examples rows of at most 256 terms."""
+    are replaced. The index has a bound: the words of most_examples rows."""
     docs = without(docs, "score", "evidence")
     kind = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", kind)])
@@ -195,9 +212,8 @@ def score_toxicity(docs: DataFrame, index: Index, text_col: str = "text", eviden
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        openings = own.openings()
         for batch in batches:
-            found = [own.score(own.vector(terms_of(t.as_py(), openings))) for t in batch.column(place)]
+            found = [own.score(own.vector(terms_of(t.as_py()))) for t in batch.column(place)]
             proof = [[{"doc_id": int(own.ids[p]), "cosine": float(c), "label": int(own.y[p])} for p, c in zip(ps[:evidence], cs[:evidence], strict=True)] for _, ps, cs in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _, _ in found], pa.float64()), pa.array(proof, arrow)], names=schema.names)
 

@@ -104,6 +104,17 @@ def test_toxicity(spark, odd):
     assert toxicity.score_toxicity(odd, index).count() == len(ODD)
 
 
+def test_toxicity_keeps_every_word_and_example():
+    texts = [text(k, 40) + (" trash scum" if k % 3 == 0 else " kind") + (" vermin" if k in (0, 3) else "") for k in range(120)]
+    index = toxicity.build_index(list(range(120)), texts, np.array([k % 3 == 0 for k in range(120)]), block=8)
+    assert list(index.ids) == list(range(120)) and set(index.terms) == {w for t in texts for w in t.split()}
+    for word in ("trash", "scum"):
+        assert index.score(index.vector(toxicity.terms_of(f"some {word} here")))[0] > 0.7
+    score, near, _ = index.score(index.vector(toxicity.terms_of("some vermin here")))
+    assert sorted(near) == [0, 3] and score > index.blank
+    assert index.score(index.vector(toxicity.terms_of(text(1, 40) + " kind")))[0] < 0.3
+
+
 def test_lm(spark):
     rows = [(k, text(k, 30 + k)) for k in range(40)] + [(40, None), (41, ""), (7, text(7, 37))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
