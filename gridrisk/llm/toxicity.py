@@ -1,7 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through block-max inverted indexes.
 
 The examples are at most ``most_examples`` labelled rows of the learning fold (the least hashes of their ids, toxic ones
-first up to half), clean ones included, each with all of its words. Texts are vectors of all words that some example
+first up to half), clean ones included, each with all of its words. Both classes are counted over all learning labels,
+and an example counts by the inverse sampling rate of its class in idf, prior, votes and Platt scaling, so that scores
+don't depend on the sample's toxic share. Texts are vectors of all words that some example
 has, (1 + ln tf) * weight, unit length. The weight is the idf over all examples times a square that grows with how far
 the word's shares in toxic and clean examples lie apart; it is never 0, so no word is left out.
 
@@ -43,12 +45,12 @@ def terms_of(text: str | None) -> Counter:
     return Counter(w for x in (text or "").lower().split() if (w := x.strip(MARKS)))
 
 
-def word_weights(n_toxic: np.ndarray, n_clean: np.ndarray, toxic: float, clean: float) -> np.ndarray:
-    """Weights of words that n_toxic of the toxic examples and n_clean of the clean ones hold; one pseudo-example of
-    each class smooths the shares."""
+def word_weights(n_toxic: np.ndarray, n_clean: np.ndarray, toxic: float, clean: float, rates: tuple[float, float]) -> np.ndarray:
+    """Weights of words that n_toxic of the toxic examples and n_clean of the clean ones hold; pseudo-examples smooth
+    the shares, which no sampling rate (inverse: rates, clean and toxic) changes. The idf is of the whole fold."""
     every = toxic + clean
     apart = np.log((n_toxic + toxic / every) / (toxic + 1)) - np.log((n_clean + clean / every) / (clean + 1)) if toxic and clean else 0.0
-    return (0.1 + np.abs(apart)) ** 2 * (np.log((1 + every) / (1 + n_toxic + n_clean)) + 1)
+    return (0.1 + np.abs(apart)) ** 2 * (np.log((1 + toxic * rates[1] + clean * rates[0]) / (1 + n_toxic * rates[1] + n_clean * rates[0])) + 1)
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,7 @@ class Index:
     weights: list[float]
     ids: np.ndarray
     y: np.ndarray
+    mass: np.ndarray  # inverse sampling rates, 1 on average
     bounds: np.ndarray  # where each term's list starts in places and values
     places: np.ndarray
     values: np.ndarray
@@ -135,7 +138,8 @@ class Index:
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """The log-odds of the distance-weighted share of toxic neighbours."""
-        share = ((cosines * self.y[places]).sum() + self.prior) / (cosines.sum() + 1)
+        votes = cosines * self.mass[places]
+        share = ((votes * self.y[places]).sum() + self.prior) / (votes.sum() + 1)
         return float(np.log(share / (1 - share)))
 
     def score(self, vector: dict[int, float]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -145,20 +149,23 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * self.vote(places, cosines) + self.shift)))), places, cosines
 
 
-def build_index(ids: list, texts: list[str | None], labels: np.ndarray, k: int = 15, block: int = 64) -> Index:
+def build_index(ids: list, texts: list[str | None], labels: np.ndarray, k: int = 15, block: int = 64, rates: tuple[float, float] = (1.0, 1.0)) -> Index:
+    """rates: of how many clean and of how many toxic labelled rows an example of that class stands."""
     y = np.asarray(labels, float)
+    stands = np.where(y > 0, rates[1], rates[0])
+    mass = stands / stands.mean() if len(y) else stands
     bags = [terms_of(t) for t in texts]
     held = Counter(w for b in bags for w in b)
     terms = {w: i for i, w in enumerate(sorted(held, key=lambda w: (-held[w], w)))}
     numbers = [np.fromiter((terms[w] for w in b), np.int64, len(b)) for b in bags]
     of_class = [np.bincount(np.concatenate([x for x, v in zip(numbers, y, strict=True) if v == c] or [np.empty(0, np.int64)]), minlength=len(terms)).astype(float) for c in (1, 0)]
-    weights = word_weights(*of_class, y.sum(), len(y) - y.sum())
-    prior = (y.sum() + 0.5) / (len(y) + 1)
+    weights = word_weights(*of_class, y.sum(), len(y) - y.sum(), rates)
+    prior = (y @ stands + 0.5) / (stands.sum() + 1)
     bare = np.array([not b for b in bags], bool)
-    blank = (y[bare].sum() + prior) / (bare.sum() + 1) if len(y) else 0.5
+    blank = (y[bare] @ mass[bare] + prior) / (mass[bare].sum() + 1) if len(y) else 0.5
     empty = np.empty(0)
     n_common = sum(n * COMMON > len(y) for n in held.values())
-    draft = Index(terms, weights.tolist(), np.array(ids), y, np.zeros(len(terms) + 1, np.int64), empty, empty, n_common, block, k, 1.0, 0.0, float(prior), float(blank))
+    draft = Index(terms, weights.tolist(), np.array(ids), y, mass, np.zeros(len(terms) + 1, np.int64), empty, empty, n_common, block, k, 1.0, 0.0, float(prior), float(blank))
     vectors = [draft.vector(b) for b in bags]
     every = np.concatenate([*numbers, np.empty(0, np.int64)])
     order = np.argsort(every, kind="stable")
@@ -172,32 +179,38 @@ def build_index(ids: list, texts: list[str | None], labels: np.ndarray, k: int =
     if not len(kept):
         return index
     votes = np.array([index.vote(*index.nearest(vectors[i], skip=i)) for i in kept])
-    slope, shift = _platt(votes, y[kept])
+    slope, shift = _platt(votes, y[kept], mass[kept])
     return replace(index, slope=slope, shift=shift)
 
 
-def _platt(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton steps of a logistic fit with smoothed targets and a small ridge towards slope 1."""
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+def _platt(votes: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
+    """Newton steps of a weighted logistic fit with smoothed targets and a small ridge towards slope 1."""
+    toxic = y @ mass
+    target = np.where(y > 0, (toxic + 1) / (toxic + 2), 1 / (mass.sum() - toxic + 2))
     w = np.array([1.0, 0.0])
     x = np.stack([votes, np.ones_like(votes)], 1)
     ridge = np.diag([1.0, 0.01])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + ridge @ (w - np.array([1.0, 0.0]))
-        w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, grad)
+        grad = x.T @ (mass * (p - target)) + ridge @ (w - np.array([1.0, 0.0]))
+        w = w - np.linalg.solve((x.T * (mass * p * (1 - p))) @ x + ridge, grad)
     return max(float(w[0]), 0.05), float(w[1])
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, learning: Column, most_examples: int = 4_000, **params) -> Index:
-    """labels: doc_id, label 0/1. Toxic examples come first, up to half of most_examples."""
+    """labels: doc_id, label 0/1. Toxic examples come first, up to half of most_examples. Of rows that share an id, the
+    least text counts."""
     fold = labels.where(learning).where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    toxic = fold.where("label = 1").orderBy(*order).limit(most_examples // 2)
-    clean = fold.where("label = 0").orderBy(*order).limit(most_examples - most_examples // 2)
+    there = {int(r["label"]): r["count"] for r in fold.groupBy("label").count().collect()}
+    n_toxic = min(there.get(1, 0), most_examples // 2)
+    taken = {1: n_toxic, 0: min(there.get(0, 0), most_examples - n_toxic)}
+    toxic = fold.where("label = 1").orderBy(*order).limit(taken[1])
+    clean = fold.where("label = 0").orderBy(*order).limit(taken[0])
     few = docs.select("doc_id", "text").join(F.broadcast(toxic.unionByName(clean)), "doc_id")
-    rows = few.orderBy(*order).limit(most_examples).toPandas().drop_duplicates("doc_id")
-    return build_index(rows["doc_id"].tolist(), rows["text"].tolist(), rows["label"].to_numpy(float), **params)
+    rows = few.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).orderBy(*order).toPandas()
+    rates = tuple(there[c] / taken[c] if taken[c] else 1.0 for c in (0, 1))
+    return build_index(rows["doc_id"].tolist(), rows["text"].tolist(), rows["label"].to_numpy(float), rates=rates, **params)
 
 
 def score_toxicity(docs: DataFrame, index: Index, text_col: str = "text", evidence: int = 3) -> DataFrame:

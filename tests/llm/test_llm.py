@@ -115,6 +115,17 @@ def test_toxicity_keeps_every_word_and_example():
     assert index.score(index.vector(toxicity.terms_of(text(1, 40) + " kind")))[0] < 0.3
 
 
+def test_toxicity_score_keeps_the_share_of_all_labels(spark):
+    rows = [(k, text(k // 10 % 20, 40) + (" trash" if k % 20 == 0 else "")) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(600)], "doc_id long, label int")
+    index = toxicity.learn_toxicity(docs, labels, F.lit(True), most_examples=120)
+    assert index.y.mean() == 0.5 and abs(index.prior - 0.1) < 0.01
+    # Texts of odd tens hold nothing that tells 1 toxic one from 9 clean ones; a share of the sample would say 1 in 2.
+    alike, trash = (index.score(index.vector(toxicity.terms_of(t)))[0] for t in (text(5, 40), text(6, 40) + " trash"))
+    assert alike < 0.3 and trash > 0.5, (alike, trash)
+
+
 def test_lm(spark):
     rows = [(k, text(k, 30 + k)) for k in range(40)] + [(40, None), (41, ""), (7, text(7, 37))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
