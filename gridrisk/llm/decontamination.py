@@ -5,11 +5,13 @@ for each item size and each place; their SimHashes come from running sums of shi
 blocks of bits finds every item whose fingerprint lies within RADIUS of a window's: with RADIUS errors over BLOCKS
 blocks, some block has at most RADIUS // BLOCKS of them, and each block's table lists the items for every value within
 that many bits. Candidates are verified exactly: the weighted share of the item's shingles that the window holds, a
-shingle weighing 1 / (number of items with it), must reach ``similarity``.
+shingle weighing 1 / (number of items with it), must reach ``similarity``. The number of items is counted once over the
+whole benchmark, so results don't depend on the blocks.
 
 A window that holds none of an item's shingles has similarity 0, so windows are only laid where a shingle of some item
-occurs: that leaves out nothing that could be verified. The benchmark is broadcast in blocks of ``items_per_block``
-items, and every block is matched against all documents.
+occurs: that leaves out nothing that could be verified. Spark tasks turn the benchmark into a stored table of items with
+their shingles and weights, in blocks of about ``items_per_block`` items; each block is broadcast, its tables are built
+in the tasks, and it is matched against all documents.
 
 Words are lower-cased and lose marks at their ends. Items of fewer than five words are one shingle of their whole
 length. Defined results: null, empty and blank texts match nothing, as items or as documents; equal items all match;
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridrisk.llm.common import stored
 from gridrisk.llm.text import Hashes, windows, word_hashes
 
 WIDTH, RADIUS, BLOCKS = 5, 20, 7
@@ -75,16 +78,15 @@ class Items:
     tables: np.ndarray  # blocks x values x items: within RADIUS // BLOCKS bits of the item's block
 
 
-def build_items(rows: list[tuple[int, str | None]], width: int) -> Items | None:
-    """Items of at least width words for WIDTH, else those of exactly width words."""
-    known = Normalised()
-    kept = [(i, w) for i, t in rows if len(w := normal_words(t)) == width or len(w) > width == WIDTH]
+def build_items(rows: list, width: int) -> Items | None:
+    """rows: items of a width, as item_rows gives them, with the list of weights of their distinct shingles."""
+    kept = [r for r in rows if r["width"] == width]
     if not kept:
         return None
-    lists = [windows(word_hashes(w, known), width) for _, w in kept]
+    lists = [np.frombuffer(r["shingles"], "<u8") for r in kept]
     shingles = [np.unique(x) for x in lists]
-    every, df = np.unique(np.concatenate(shingles), return_counts=True)
-    weights = [1 / df[np.searchsorted(every, s)] for s in shingles]
+    weights = [np.asarray(r["weights"], float) for r in kept]
+    every = np.unique(np.concatenate(shingles))
     prints = np.concatenate([packed(votes(x).sum(0, keepdims=True)) for x in lists])
     values = np.arange(1 << BITS_PER_BLOCK)
     slack = RADIUS // BLOCKS
@@ -96,7 +98,7 @@ def build_items(rows: list[tuple[int, str | None]], width: int) -> Items | None:
             tables[block, own ^ flip, np.arange(len(kept))] = True
     marks = np.zeros(1 << 20, bool)
     marks[(every >> np.uint64(44)).astype(np.int64)] = True
-    return Items(width, np.array([i for i, _ in kept]), np.array([len(w) for _, w in kept]), prints, shingles, weights, every, marks, tables)
+    return Items(width, np.array([r["item_id"] for r in kept]), np.array([r["n_words"] for r in kept]), prints, shingles, weights, every, marks, tables)
 
 
 def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, float]]:
@@ -125,34 +127,60 @@ def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: floa
     return [best[k] for k in sorted(best)]
 
 
+def item_rows(benchmark: DataFrame) -> DataFrame:
+    """Items with words: item_id, width (WIDTH, or the number of words of shorter items), n_words, shingles (all, as
+    little-endian bytes) and kinds (the distinct ones, by value as unsigned numbers)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Normalised()
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if words := normal_words(text.as_py()):
+                    width = min(len(words), WIDTH)
+                    shingles = windows(word_hashes(words, known), width).astype("<u8")
+                    out.append((key, width, len(words), shingles.tobytes(), np.unique(shingles).astype(np.int64).tolist()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "width", "n_words", "shingles", "kinds"])
+
+    source = benchmark.select(F.col("item_id").cast("long"), "text")
+    return source.mapInArrow(cut, "item_id long, width int, n_words int, shingles binary, kinds array<long>")
+
+
+def weighted_items(benchmark: DataFrame, items_per_block: int) -> DataFrame:
+    """A stored table of item_rows with weights, 1 / (number of items of the benchmark with the shingle) in the order of
+    kinds, and block."""
+    cut = stored(item_rows(benchmark).withColumn("row", F.monotonically_increasing_id()), "items")
+    each = cut.select("row", "width", F.posexplode("kinds").alias("at", "kind"))
+    df = each.groupBy("width", "kind").agg(F.count("*").alias("df"))
+    pairs = each.join(df, ["width", "kind"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (1 / F.col("df")).alias("weight")))).alias("weights"))
+    blocks = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-cut.count() // items_per_block))))
+    return stored(cut.drop("kinds").join(pairs, "row").select("item_id", "width", "n_words", "shingles", F.col("weights.weight").alias("weights"), blocks.alias("block")), "weighted-items")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, items_per_block: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that the document holds: the id, item_id, the window, its Hamming
-    distance and similarity. benchmark: item_id, text; its rows come to the driver in blocks of items_per_block."""
+    distance and similarity. benchmark: item_id, text; its items come to the tasks in blocks of about items_per_block."""
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, {SCHEMA}"
-    found, block = [], []
-    rows = benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
-    for row in rows:
-        block.append((row["item_id"], row["text"]))
-        if len(block) == items_per_block:
-            found.append(_match_block(source, block, similarity, schema))
-            block = []
-    if block or not found:
-        found.append(_match_block(source, block, similarity, schema))
-    return reduce(DataFrame.unionByName, found)
+    items = weighted_items(benchmark, items_per_block)
+    blocks = sorted(r["block"] for r in items.select("block").distinct().collect())
+    found = [_match_block(source, items.where(F.col("block") == b).orderBy("item_id", "shingles").collect(), similarity, schema) for b in blocks]
+    return reduce(DataFrame.unionByName, found or [_match_block(source, [], similarity, schema)])
 
 
 def _match_block(source: DataFrame, rows: list, similarity: float, schema: str) -> DataFrame:
-    built = [x for width in range(1, WIDTH + 1) if (x := build_items(rows, width))]
-    shared = source.sparkSession.sparkContext.broadcast(built)
+    shared = source.sparkSession.sparkContext.broadcast([r.asDict() for r in rows])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = [x for width in range(1, WIDTH + 1) if (x := build_items(shared.value, width))]
         known = Normalised()
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 hashes = word_hashes(words, known) if (words := normal_words(text.as_py())) else None
-                for items in shared.value if words else ():
+                for items in built if words else ():
                     shingles = windows(hashes, items.width)
                     maybe = np.flatnonzero(items.filter[(shingles >> np.uint64(44)).astype(np.int64)])
                     place = np.minimum(np.searchsorted(items.every, shingles[maybe]), len(items.every) - 1)

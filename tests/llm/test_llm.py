@@ -159,6 +159,18 @@ def test_leaks(spark, odd):
     assert decontamination.find_leaks(odd, items).count() == 0
 
 
+def test_leaks_do_not_depend_on_blocks(spark):
+    shared = text(0, 30)
+    items = [(k, f"{shared} " + " ".join(f"own{k}x{j}" for j in range(12))) for k in range(12)]
+    docs = [(100 + k, shared + " " + t.split(maxsplit=30)[30].rsplit(maxsplit=4)[0]) for k, t in items]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    few, many = (sorted(map(tuple, decontamination.find_leaks(*frames, similarity=0.6, items_per_block=n).collect())) for n in (1, 100))
+    # 26 shingles of the preamble and 12 own ones, of which 8 are held.
+    want = (26 / 12 + 8) / (26 / 12 + 12)
+    assert few == many and [r[:2] for r in many] == [(100 + k, k) for k in range(12)]
+    assert all(abs(r[5] - want) < 1e-9 for r in many)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(20, 40)] + [(1, 9), (9, 5), (5, 5), (1, 9)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
