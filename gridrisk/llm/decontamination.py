@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows.
 
-Every benchmark item has a 64-bit SimHash of its 5-word shingles. A document's windows have the size of an item, one
+Every benchmark item has a 64-bit SimHash of its 5-word shingles, whose votes weigh as much as in the verification;
+shingles of a document that no item holds don't vote. A document's windows have the size of an item, one
 for each item size and each place; their SimHashes come from running sums of shingle votes. A multi-index over BLOCKS
 blocks of bits finds every item whose fingerprint lies within RADIUS of a window's: with RADIUS errors over BLOCKS
 blocks, some block has at most RADIUS // BLOCKS of them, and each block's table lists the items for every value within
@@ -58,6 +59,14 @@ def votes(shingles: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+#: Weights in votes are whole multiples of 1 / UNIT, so that running sums are exact.
+UNIT = 1 << 20
+
+
+def parts(weights: np.ndarray) -> np.ndarray:
+    return np.maximum(np.rint(weights * UNIT), 1).astype(np.int64)
+
+
 def packed(sums: np.ndarray) -> np.ndarray:
     """Rows of 64 sums to fingerprints."""
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
@@ -74,6 +83,7 @@ class Items:
     shingles: list[np.ndarray]
     weights: list[np.ndarray]
     every: np.ndarray  # sorted distinct shingles
+    power: np.ndarray  # their weights
     filter: np.ndarray  # which top 20 bits of a shingle occur
     tables: np.ndarray  # blocks x values x items: within RADIUS // BLOCKS bits of the item's block
 
@@ -86,8 +96,9 @@ def build_items(rows: list, width: int) -> Items | None:
     lists = [np.frombuffer(r["shingles"], "<u8") for r in kept]
     shingles = [np.unique(x) for x in lists]
     weights = [np.asarray(r["weights"], float) for r in kept]
-    every = np.unique(np.concatenate(shingles))
-    prints = np.concatenate([packed(votes(x).sum(0, keepdims=True)) for x in lists])
+    every, first = np.unique(np.concatenate(shingles), return_index=True)
+    power = np.concatenate(weights)[first]
+    prints = np.concatenate([packed((votes(x) * parts(power[np.searchsorted(every, x)])[:, None]).sum(0, keepdims=True)) for x in lists])
     values = np.arange(1 << BITS_PER_BLOCK)
     slack = RADIUS // BLOCKS
     near = [sum(1 << b for b in flips) for k in range(slack + 1) for flips in combinations(range(BITS_PER_BLOCK), k)]
@@ -98,12 +109,15 @@ def build_items(rows: list, width: int) -> Items | None:
             tables[block, own ^ flip, np.arange(len(kept))] = True
     marks = np.zeros(1 << 20, bool)
     marks[(every >> np.uint64(44)).astype(np.int64)] = True
-    return Items(width, np.array([r["item_id"] for r in kept]), np.array([r["n_words"] for r in kept]), prints, shingles, weights, every, marks, tables)
+    return Items(width, np.array([r["item_id"] for r in kept]), np.array([r["n_words"] for r in kept]), prints, shingles, weights, every, power, marks, tables)
 
 
 def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """Best windows per item: (item place, start, words, Hamming distance, similarity)."""
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(shingles), 0, dtype=np.int32)])
+    place = np.minimum(np.searchsorted(items.every, shingles), len(items.every) - 1)
+    known = items.every[place] == shingles
+    each = np.where(known, parts(items.power[place]), 0)
+    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(votes(shingles) * each[:, None], 0)])
     best: dict[int, tuple] = {}
     for size in np.unique(items.sizes):
         span = min(int(size) - items.width + 1, len(shingles))  # shingles in a window, or in all of a shorter document

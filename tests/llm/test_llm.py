@@ -171,6 +171,21 @@ def test_leaks_do_not_depend_on_blocks(spark):
     assert all(abs(r[5] - want) < 1e-9 for r in many)
 
 
+def test_leaks_without_the_common_preamble():
+    preamble = [f"p{j}" for j in range(25)]
+    items = [preamble + [f"o{k}x{j}" for j in range(25)] for k in range(40)]
+    cut = [decontamination.windows(decontamination.word_hashes([w.encode() for w in t], decontamination.Normalised()), 5).astype("<u8") for t in items]
+    every, df = np.unique(np.concatenate([np.unique(c) for c in cut]), return_counts=True)
+    rows = [{"item_id": k, "width": 5, "n_words": 50, "shingles": c.tobytes(), "weights": 1 / df[np.searchsorted(every, np.unique(c))]} for k, c in enumerate(cut)]
+    built = decontamination.build_items(rows, 5)
+    for k, t in enumerate(items):
+        doc = [f"a{k}x{j}" for j in range(50)] + t[25:] + [f"b{k}x{j}" for j in range(50)]
+        shingles = decontamination.windows(decontamination.word_hashes([w.encode() for w in doc], decontamination.Normalised()), 5)
+        # Brute force: the own part weighs 21 of 25 + 21 / 40.
+        found = decontamination.match(built, shingles, np.flatnonzero(np.isin(shingles, every)), 0.8)
+        assert [m[0] for m in found] == [k] and abs(found[0][4] - 21 / (25 + 21 / 40)) < 1e-9
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(20, 40)] + [(1, 9), (9, 5), (5, 5), (1, 9)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
