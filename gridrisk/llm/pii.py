@@ -50,6 +50,28 @@ def luhn_ok(match: Column) -> Column:
     return F.when(F.length(digits) > 0, total % 10 == 0).otherwise(False)
 
 
+#: Characters of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28,
+    "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+
+def iban_pattern() -> str:
+    """Numbers of the length of their country, which leave what stands behind them alone; else runs of 15 to 34
+    characters, of which iban_length finds the number."""
+    by: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by.setdefault(n, []).append(country)
+    known = "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by.items()))
+    other = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
+    return f"(?<![A-Za-z0-9])(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 def mod97_ok(match: Column) -> Column:
     """ISO 7064: the first four characters moved behind, letters as 10 to 35, leave 1 modulo 97."""
     plain = F.regexp_replace(match, " ", "")
@@ -63,6 +85,12 @@ def mod97_ok(match: Column) -> Column:
     return F.when(F.length(plain).between(15, 34), rest == 1).otherwise(False)
 
 
+def iban_length(match: Column) -> Column:
+    """The characters of the longest start of match that ends at a group and that mod-97 confirms, or all of them."""
+    ends = F.filter(F.sequence(F.lit(15), F.length(match)), lambda n: F.substr(match, n + 1, F.lit(1)).isin("", " ") & mod97_ok(F.substr(match, F.lit(1), n)))
+    return F.coalesce(F.array_max(ends), F.length(match))
+
+
 @dataclass(frozen=True)
 class Kind:
     """marker: a cheap test that any text with a match passes. base: counts whatever the context says."""
@@ -74,6 +102,7 @@ class Kind:
     words: str
     base: bool
     score: float
+    length: Callable[[Column], Column] = F.length  # of the span in a match
 
 
 # The patterns of the kinds and their context words.
@@ -82,7 +111,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip_ok, lambda t: t.rlike(r"[0-9]\.[0-9]"), "ip|host|server|address", True, 0.6),
     Kind("card", r"[0-9](?:[ -]?[0-9]){12}(?:[ -]?[0-9])*+", lambda m: _length_ok(m, 13, 19) & luhn_ok(m), lambda t: t.rlike("[0-9](?:[ -]?[0-9]){12}"), "card|visa|mastercard|credit|payment", True, 0.7),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: _length_ok(m, 9, 15), lambda t: t.contains("+"), "phone|tel|call|mobile|fax", True, 0.7),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97_ok, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), "iban|bank|account|transfer", False, 0.6),
+    Kind("iban", iban_pattern(), mod97_ok, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), "iban|bank|account|transfer", False, 0.6, iban_length),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), lambda t: t.rlike(r"[0-9]-[0-9]"), "ssn|social|security", False, 0.3),
 )
 THRESHOLD = 0.5
@@ -91,12 +120,12 @@ CONTEXT = 0.2
 
 def _spans(gaps: Column, matches: Column, kind: Kind) -> Column:
     """Validated spans (kind, start, end, score) of one kind from the gaps and matches of its pattern."""
-    steps = F.transform(matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("n"), m.alias("m"), F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR))).alias("near")))
+    steps = F.transform(matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("n"), kind.length(m).alias("own"), m.alias("m"), F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR))).alias("near")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string,near:string>>").alias("spans"))
 
     def place(acc: Column, s: Column) -> Column:
         begin = acc["at"] + s["gap"]
-        span = F.struct(begin.alias("start"), (begin + s["n"]).alias("end"), s["m"].alias("m"), s["near"].alias("near"))
+        span = F.struct(begin.alias("start"), (begin + s["own"]).alias("end"), F.left(s["m"], s["own"]).alias("m"), s["near"].alias("near"))
         return F.struct((begin + s["n"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     placed = F.filter(F.aggregate(steps, start, place)["spans"], lambda s: kind.valid(s["m"]))

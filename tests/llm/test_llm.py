@@ -73,6 +73,21 @@ def test_pii(spark, odd):
     assert pii.redact(odd).count() == len(ODD)
 
 
+def test_iban_ends_where_its_country_says(spark):
+    cases = [
+        ("iban GB82WEST12345698765432 Please pay", "iban <IBAN> Please pay"),
+        ("IBAN GB82 WEST 1234 5698 7654 32 Thanks", "IBAN <IBAN> Thanks"),
+        ("DE89 3704 0044 0532 0130 00 5 euros", "<IBAN> 5 euros"),
+        ("DE89370400440532013000 DE89370400440532013000 A", "<IBAN> <IBAN> A"),
+        ("NO93 8601 1117 947 7", "<IBAN> 7"),
+        ("iban ZZ33 1234 5678 9012 345 Please", "iban <IBAN> Please"),
+        ("bank GB83WEST12345698765432 X", "bank GB83WEST12345698765432 X"),
+        ("iban GB82WEST12345698765432X", "iban GB82WEST12345698765432X"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == [want for _, want in cases]
+
+
 def test_fingerprints(spark):
     rows = [(k, text(k, 120)) for k in range(9)] + [(9, text(0, 120) + " more"), (10, None), (10, ""), (None, "one two")]
     df = fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), "fp")
