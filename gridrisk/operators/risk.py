@@ -33,8 +33,10 @@ def terrain_wind(weather: DataFrame, cells: DataFrame, mode: str = "from") -> Da
 
 def in_one_pass(weather: DataFrame, forest: DataFrame, cells: DataFrame, exposure: DataFrame, mode: str = "from") -> DataFrame:
     """The columns of ``final_dataset`` straight from weather features and static cells: the fact is read and shuffled
-    once and never joined to itself. Every weather cell must be among cells; static rows once per cell."""
-    df = _with_terrain(weather.join(cells, "grid_id"), mode)
+    once and never joined to itself. Weather cells that are not among cells stay, with null terrain; static rows once per
+    cell."""
+    df = _with_terrain(weather.join(cells.withColumn("in_cells", F.lit(True)), "grid_id", "left"), mode)
+    df = df.withColumns({c: F.when(F.col("in_cells"), F.col(c)) for c in TERRAIN[3:]}).drop("in_cells")
     df = df.join(forest, "grid_id", "left").join(exposure.drop("forest_contact"), "grid_id", "left")
     weight = F.col("day_weight")
     return df.withColumns({

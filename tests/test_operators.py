@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridrisk.functions import exprs as E
 from gridrisk.functions.projection import to_metres
-from gridrisk.operators import profile, sample, weather
+from gridrisk.operators import profile, risk, sample, static, weather
+from gridrisk.plans import fixtures as fx
 from gridrisk.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +38,18 @@ def test_breaks_and_nulls(spark):
     assert tuple(got) == (0.0, 0.95)
 
 
+def test_one_pass_keeps_cells_outside_the_grid(spark):
+    w = fx.weather(spark, SF).where("grid_id in ('10001_19500', '10002_19500')")
+    m = fx.master_grid(spark, SF).where("grid_id = '10001_19500'")
+    w, cells = weather.features(w), static.terrain_cells(m, fx.FULL_WEIGHT, fx.HALF_WEIGHT)
+    forest, exposure, terrain = static.forest(m), static.exposure(m), risk.terrain_wind(w, cells)
+    want = risk.final_dataset(w, forest, terrain, exposure, risk.index(w, forest, terrain, exposure))
+    got = risk.in_one_pass(w, forest, cells, exposure)
+    rows = lambda df: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df.select(sorted(want.columns)).collect())
+    assert set(got.columns) == set(want.columns) and rows(got) == rows(want)
+    assert got.where("grid_id = '10002_19500' AND tmi_p IS NULL").count() > 0
+
+
 def _days(spark, days):
     rows = [("a", dt.date.fromisoformat(d), h, 0) for d, h in days]
     df = spark.createDataFrame(rows, "grid_id string, date date, hm_mean int, rn_day_mean int")
