@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -32,26 +31,32 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+#: Spark drops the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, so a lost executor costs no
-    recomputation of what came before and every later pass sees the same rows."""
+    recomputation of what came before and every later pass sees the same rows. The shuffle files of the query that wrote
+    it go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridrisk/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``stored`` wrote and that nothing needs any more, and lets Spark drop the shuffle files of
-    plans that are gone."""
+    """Deletes tables that ``stored`` wrote and that nothing needs any more."""
     for df in tables:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:

@@ -1,289 +1,371 @@
 """N-gram Jaccard join by grouped prefixes, and the components of its links.
 
 A document is the set of its distinct 5-word shingles (fewer words: the whole sequence). Two documents link when
-100 * |intersection| >= 80 * |union|, exactly.
-
-1. Sets are sorted by one global order, by hash, but shingles that are frequent (seen in at least one of SHARE documents)
-   come last. If two sets link, their prefixes of n - ceil(0.8 n) + 1 shingles share one.
-2. Documents with equal sets are one class; classes with equal prefixes and sizes collapse into one group, which posts
-   its prefix once. Shingles that only one class posts are dropped, inside the ranges of the hash space that postings are
-   dealt to; frequent shingles are always shared, so they need no count and are dealt by group as well. Then groups
-   expand to their classes.
-3. Stars: a class compares itself to the best shared of a few centres among the classes of its shingles and size, not to
-   all classes. Verified links form components. A cluster of near copies is joined after a few rounds of this, with work
-   in proportion to its size. Rounds end when one finds no link, or when the rest has few pairs to look at for each
-   posting, so that another round would cost more than it saves.
-4. The rest: of all pairs of classes that share a prefix shingle, lie in different components and pass the size and count
-   filters, every one is verified. Pairs inside a component cannot change it, so no component misses a link.
+100 * |intersection| >= 80 * |union|, exactly; for sizes m and n that is an intersection of at least 4 (m + n) / 9, or a
+symmetric difference of at most (m + n) / 9. Documents with equal sets are one class, known by a 64-bit hash of the set.
+
+1. Sieve. Sets sorted by hash that link share at least l shingles of their first n - ceil(0.8 n) + l. Every class posts
+   these with l = n / 10, 30 % of its shingles. A class stays if enough of what it posted is posted by another class.
+2. Frequencies. Classes that stay post whole sets, so each learns which of its shingles others hold, and how many. Shingles
+   that no other class holds count as the rarest. In order of frequency, two sets that link share one of their first
+   n - ceil(0.8 n) + 1, the prefix; a class with fewer shared shingles than ceil(0.8 n) links with nothing.
+3. Groups. Classes with identical prefixes and sizes collapse into one group, which posts its prefix once. Group pairs
+   that share a posted shingle pass the size, position and sketch filters or go; what is left expands to members, and
+   these are verified on whole sets.
+4. Copies. Members first compare themselves to their group's first member, and groups to the best of a few centres, one
+   for each shingle and size; so a cluster of near copies becomes one component with work in proportion to its size. Group
+   pairs then need a look only across components. Hot shingles are split: units outside the shingle's largest component
+   meet all others in chunks.
+
+The sketch of a set is the parity of its shared shingles in 512 bins: bins that differ are shingles that differ. A group
+keeps the bins that are odd for all members and those that are odd for any, so two groups surely differ in the bins that
+are odd for all of one and for none of the other.
 
 Defined results: texts without words and null texts have no shingles, link with nothing and are their own component;
-repeated rows are exact copies; the least id of a component leaves null ids out where it has others.
+repeated rows are exact copies; the least id of a component leaves null ids out where it has others; an empty table gives
+no rows. Columns of docs other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridrisk.llm.common import discard, stored
 from gridrisk.llm.components import components
-from gridrisk.llm.text import GOLD, Hashes, lower_words, mixed, shingles
+from gridrisk.llm.text import GOLD, mixed, shingle_sets
 
-WIDTH, SHARE, ROUNDS = 5, 500, 4
-#: Mean number of postings of a posting's shingle up to which the rest follows at once: it then makes at most one pair
-#: for each posting, which is what a round makes.
-FEW_PAIRS = 3
-#: Small tables of keys are broadcast up to this many rows; more are joined by a shuffle.
+WIDTH = 5
+#: Shingles that a range of the hash space gets on average, and that a task deals out at a time.
+TOKENS_PER_RANGE = 1_000_000
+#: Tables of keys are broadcast up to this many rows; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Units that one task of a hot shingle looks at for each unit outside the shingle's largest component.
+CHUNK = 1_000
+SKETCH = 8  # longs
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def frequent_shingles(texts: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least n_texts / SHARE texts, sorted, and their counts. Each task counts its own chunks of texts and
-    reports what at least half that share of a chunk holds, so a frequent shingle is reported by some chunk; at most
-    2 * SHARE times the mean set size can qualify. The counts only choose an order: any order gives right results."""
+def least_overlap(n):
+    """Of a set of n with any set that it links with."""
+    return -(-4 * n // 5)
 
-    def report(held: list[np.ndarray]) -> pa.RecordBatch:
-        every, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        keep = counts >= max(2, len(held) / (2 * SHARE))
-        return pa.RecordBatch.from_arrays([signed(every[keep]), pa.array(counts[keep])], names=["shingle", "count"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = Hashes(), [], 0
-        for batch in batches:
-            for t in batch.column(0):
-                held.append(shingles(lower_words(t.as_py()), known, WIDTH))
-                size += len(held[-1])
-                if size > 6_000_000:
-                    yield report(held)
-                    held, size = [], 0
-        yield report(held)
-
-    least = max(2, n_texts // SHARE)
-    sums = texts.select("text").mapInArrow(count, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
-    rows = sums.where(F.col("count") >= least).orderBy("shingle").toPandas()
-    every = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(every)
-    return every[order], rows["count"].to_numpy(np.int64)[order]
-
-
-def with_prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """texts: id, key, text. Per row: id, key, n, two signature longs of the set, the hash of the prefix, the prefix."""
-    kind = texts.schema["id"].dataType.simpleString()
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+def sieve_depth(n):
+    """The l of the sieve, which grows with n."""
+    return np.maximum(1, n // 10)
+
+
+def set_key(shingles: np.ndarray) -> np.int64:
+    with np.errstate(over="ignore"):
+        return mixed(np.add.reduce(mixed(shingles ^ GOLD)) + np.uint64(len(shingles)) * GOLD).astype(np.uint64).view(np.int64)
+
+
+def measured(texts: DataFrame) -> DataFrame:
+    """texts: id, copy (a hash of the text), text. Per row: id, copy, n, cls (null without shingles) and what the class
+    posts to the sieve, given once in a task."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, counts = shared.value
-        known = Hashes()
+        seen: set[int] = set()
         for batch in batches:
-            out = [[] for _ in range(4)]
-            prefixes = []
-            for t in batch.column(2):
-                s = shingles(lower_words(t.as_py()), known, WIDTH)
-                n = len(s)
-                if len(every) and n:
-                    place = np.minimum(np.searchsorted(every, s), len(every) - 1)
-                    often = np.where(every[place] == s, counts[place], 0)
-                    order = np.lexsort((s, often)) if often.any() else slice(None)
-                else:
-                    order = slice(None)
-                prefix = s[order][: n + (-4 * n // 5) + 1] if n else s
-                with np.errstate(over="ignore"):
-                    signs = (np.add.reduce(mixed(s)), np.bitwise_xor.reduce(mixed(s * GOLD + GOLD)), np.add.reduce(mixed(np.sort(prefix) ^ GOLD)))
-                for column, value in zip(out, (n, *(np.uint64(x).view(np.int64) for x in signs)), strict=True):
-                    column.append(value)
-                prefixes.append(prefix)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = signed(np.concatenate(prefixes)) if prefixes else pa.array([], pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "key", "n", "sig1", "sig2", "pre", "prefix"])
-
-    return texts.select("id", "key", "text").mapInArrow(measure, f"id {kind}, key long, n int, sig1 long, sig2 long, pre long, prefix array<long>")
-
-
-def shared_postings(groups: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
-    """groups: gid, n, classes, prefix. Rows (shingle, gid, n, classes) of the shingles that two classes post."""
-    shared = groups.sparkSession.sparkContext.broadcast(frequent[0])
-
-    def often(tokens: np.ndarray) -> np.ndarray:
-        every = shared.value
-        return every[np.minimum(np.searchsorted(every, tokens), len(every) - 1)] == tokens if len(every) else np.zeros(len(tokens), bool)
+            sizes, keys, posts = [], [], []
+            for s in shingle_sets(batch.column(2), WIDTH):
+                n, key = len(s), int(set_key(s)) if len(s) else None
+                sizes.append(n)
+                keys.append(key)
+                posts.append(s[: n - least_overlap(n) + int(sieve_depth(n))].tobytes() if n and key not in seen else None)
+                seen.add(key)
+            if len(seen) > 500_000:
+                seen.clear()
+            columns = [pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(posts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "copy", "n", "cls", "posts"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "copy", "text").mapInArrow(measure, f"id {kind}, copy long, n int, cls long, posts binary")
+
+
+def dealt(sets: DataFrame, ranges: int) -> DataFrame:
+    """sets: cls, n, tokens (binary). Blocks (range, block) by range of the hash space; a block is the classes, their sizes
+    and how many tokens each has in the range, then the tokens."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            sizes = np.diff(lists.offsets.to_numpy())
-            tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            gid, n, classes = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), sizes) for k in range(3))
-            with np.errstate(over="ignore"):
-                spread = np.where(often(tokens), mixed(tokens ^ gid.astype(np.int64).view(np.uint64)), mixed(tokens))
-            at = (spread >> np.uint64(32)).astype(np.int64) * ranges >> 32
-            order = np.argsort(at, kind="stable")
-            bounds = np.searchsorted(at[order], np.arange(ranges + 1))
-            for r in np.flatnonzero(np.diff(bounds)):
-                o = order[bounds[r] : bounds[r + 1]]
-                block = tokens[o].tobytes() + gid[o].astype(np.int64).tobytes() + n[o].astype(np.int32).tobytes() + np.minimum(classes[o], 2).astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([block], pa.binary())], names=["range", "block"])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens = [np.frombuffer(t, np.uint64) for t in batch.column(2).to_pylist()]
+            start = 0
+            while start < len(tokens):  # about TOKENS_PER_RANGE tokens at a time
+                end, held = start, 0
+                while end < len(tokens) and held < TOKENS_PER_RANGE:
+                    held, end = held + len(tokens[end]), end + 1
+                flat = np.concatenate(tokens[start:end])
+                owner = np.repeat(np.arange(end - start), [len(t) for t in tokens[start:end]])
+                at = (mixed(flat) >> np.uint64(32)).astype(np.int64) * ranges >> 32
+                order = np.argsort(at, kind="stable")
+                bounds = np.searchsorted(at[order], np.arange(ranges + 1))
+                keys, sizes = (batch.column(k).to_numpy(zero_copy_only=False)[start:end] for k in range(2))
+                for r in np.flatnonzero(np.diff(bounds)):
+                    o = order[bounds[r] : bounds[r + 1]]
+                    own, counts = np.unique(owner[o], return_counts=True)
+                    block = keys[own].astype(np.int64).tobytes() + sizes[own].astype(np.int32).tobytes() + counts.astype(np.int32).tobytes() + flat[o].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([block], pa.binary())], names=["range", "classes", "block"])
+                start = end
+
+    blocks = sets.select("cls", "n", "tokens").mapInArrow(pack, "range int, classes int, block binary")
+    return blocks.repartitionById(ranges, "range")
+
+
+def held_by_two(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """Of the blocks of a range: token, class, size and number of classes of every token that two classes hold."""
+    tokens, keys, sizes = [], [], []
+    for batch in batches:
+        for m, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = block.as_buffer()
+            counts = np.frombuffer(raw, np.int32, m, 12 * m)
+            tokens.append(np.frombuffer(raw, np.uint64, offset=16 * m))
+            keys.append(np.repeat(np.frombuffer(raw, np.int64, m), counts))
+            sizes.append(np.repeat(np.frombuffer(raw, np.int32, m, 8 * m), counts))
+    if not tokens:
+        return None
+    token, key, size = np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes)
+    del tokens, keys, sizes
+    order = np.lexsort((key, token))
+    token, key, size = token[order], key[order], size[order]
+    fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])  # a class may come from several tasks
+    token, key, size = token[fresh], key[fresh], size[fresh]
+    run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+    many = np.bincount(run)[run]
+    held = many > 1
+    return token[held], key[held], size[held], many[held]
+
+
+def sieved(prints: DataFrame, ranges: int) -> DataFrame:
+    """prints: as measured. (cls, n) of the classes that may link."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := held_by_two(batches):
+            _, key, size, _ = found
+            own, at, counts = np.unique(key, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(size[at]), pa.array(counts)], names=["cls", "n", "shared"])
+
+    posts = prints.where("posts IS NOT NULL").select("cls", "n", F.col("posts").alias("tokens"))
+    shared = dealt(posts, ranges).mapInArrow(count, "cls long, n int, shared long")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 10))
+    return shared.groupBy("cls").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("cls", "n")
+
+
+def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: copy. (cls, n, tokens) of the texts with these hashes, each class once in a task."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for s in shingle_sets(batch.column(0), WIDTH):
+                if len(s) and (key := int(set_key(s))) not in seen:
+                    seen.add(key)
+                    rows.append((key, len(s), s.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["cls", "n", "tokens"])
+
+    return texts.join(hinted(wanted), "copy", "left_semi").select("text").mapInArrow(measure, "cls long, n int, tokens binary")
+
+
+def hinted(few: DataFrame) -> DataFrame:
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
+
+
+def with_prefixes(sets: DataFrame, ranges: int) -> DataFrame:
+    """sets: cls, n, tokens. Of the classes of which enough is shared: cls, n, alone (how many shingles no other class
+    holds), prefix (those of the prefix that others hold, rarest first) and the longs of the sketch."""
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (found := held_by_two(batches)):
+            return
+        token, key, size, many = found
+        at = (mixed(key.view(np.uint64)) >> np.uint64(32)).astype(np.int64) * ranges >> 32
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(ranges + 1))
+        for r in np.flatnonzero(np.diff(bounds)):
+            o = order[bounds[r] : bounds[r + 1]]
+            block = key[o].tobytes() + token[o].tobytes() + size[o].astype(np.int32).tobytes() + np.minimum(many[o], 2**31 - 1).astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([block], pa.binary())], names=["range", "block"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[], [], [], []]
         for batch in batches:
             for block in batch.column(1):
                 raw = block.as_buffer()
                 m = raw.size // 24
-                for part, kind, at in zip(parts, (np.uint64, np.int64, np.int32, np.int32), (0, 8, 16, 20), strict=True):
+                for part, kind, at in zip(parts, (np.int64, np.uint64, np.int32, np.int32), (0, 8, 16, 20), strict=True):
                     part.append(np.frombuffer(raw, kind, m, at * m))
         if not parts[0]:
             return
-        tokens, gid, n, classes = (np.concatenate(p) for p in parts)
-        order = np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
-        first = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        run = np.cumsum(first) - 1
-        held = (np.bincount(run, classes[order])[run] >= 2) | often(tokens)
-        kept = order[held]
-        for some in np.array_split(np.arange(len(kept)), max(1, len(kept) // 100_000)):
-            o = kept[some]
-            yield pa.RecordBatch.from_arrays([signed(tokens[held][some]), pa.array(gid[o]), pa.array(n[o]), pa.array(classes[o])], names=["shingle", "gid", "n", "classes"])
-
-    blocks = groups.select("gid", "n", "classes", "prefix").mapInArrow(pack, "range int, block binary")
-    return blocks.repartitionById(ranges, "range").mapInArrow(keep, "shingle long, gid long, n int, classes int")
-
-
-def sets_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """keys: key (distinct). Per key its sorted shingles (key, shingles); rows that are alike and lie in several tasks give
-    it once for each of these."""
-    wanted = texts.join(_hinted(keys), "key", "left_semi")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Hashes(), set()
+        key, token, size, many = (np.concatenate(p) for p in parts)
+        order = np.lexsort((token, many, key))
+        key, token, size = key[order], token[order], size[order]
+        bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        rows, prefixes = [], []
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            n, shared = int(size[a]), b - a
+            alone = n - shared
+            if shared < least_overlap(n):
+                continue
+            bins = np.bincount((token[a:b] >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+            sketch = np.packbits(bins.astype(bool), bitorder="little").view(np.int64)
+            prefixes.append(token[a : a + n - least_overlap(n) + 1 - alone].view(np.int64))
+            rows.append((int(key[a]), n, alone, *sketch.tolist()))
+        columns = list(zip(*rows, strict=True)) or [[] for _ in range(3 + SKETCH)]
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * SKETCH)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists], names=["cls", "n", "alone", *SKETCHES, "prefix"])
+
+    blocks = dealt(sets, ranges).mapInArrow(reply, "range int, block binary").repartitionById(ranges, "range")
+    return blocks.mapInArrow(choose, f"cls long, n int, alone int, {', '.join(f'{s} long' for s in SKETCHES)}, prefix array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link, exactly. sets: cls (distinct), tokens."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    held.append((key, shingles(lower_words(text.as_py()), known, WIDTH)))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in held])]).astype(np.int32)
-            flat = signed(np.concatenate([s for _, s in held])) if held else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["key", "shingles"])
-
-    return wanted.select("key", "text").mapInArrow(measure, "key long, shingles array<long>")
-
-
-def _hinted(few: DataFrame) -> DataFrame:
-    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("shuffle_hash")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class keys whose sets link, exactly."""
-    pairs = stored(pairs, "pairs")
-    keys = stored(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
-    sets = stored(sets_of(texts, keys), "sets")
-    one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    inside = F.size(F.array_intersect("sa", "sb"))
-    sized = both.select("a", "b", inside.alias("i"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    out = stored(sized.where(100 * F.col("i") >= 80 * (F.col("sizes") - F.col("i"))).select("a", "b").distinct(), "verified")
-    discard(pairs, keys, sets)
-    return out
-
-
-def _behind(n: str):
-    """Shingles behind the prefix of a set of n."""
-    return F.ceil(F.col(n) * 4 / 5) - 1
-
-
-def star_pairs(postings: DataFrame, salt: int) -> DataFrame:
-    """postings: shingle, cls, n, comp. Per class the centre, in another component, that shares most shingles, if these
-    are enough for sets of equal size. Centres are chosen by shingle and size class; odd salts shift the size classes by
-    half a step."""
-    sized = postings.withColumn("size_class", F.floor(F.log(F.col("n")) / float(np.log(1.25)) + 0.5 * (salt % 2)).cast("int"))
-    first = F.min(F.struct(F.xxhash64("cls", F.lit(salt)).alias("h"), F.col("cls").alias("c"), F.col("comp").alias("cc")))
-    centres = sized.groupBy("shingle", "size_class").agg(first.alias("centre"), F.count("*").alias("rows"))
-    centres = centres.where("rows > 1").select("shingle", "size_class", "centre.c", "centre.cc")
-    near = sized.join(centres, ["shingle", "size_class"]).where("cls <> c AND comp <> cc")
-    counted = near.groupBy("cls", "c").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    enough = counted.where(9 * (F.col("k") + _behind("n")) >= 8 * F.col("n"))
-    best = enough.groupBy("cls").agg(F.max(F.struct("k", "c")).alias("best"))
-    return best.select(F.least("cls", "best.c").alias("a"), F.greatest("cls", "best.c").alias("b")).distinct()
-
-
-def rest_pairs(postings: DataFrame) -> DataFrame:
-    """All pairs of classes in different components that share a prefix shingle and could link by sizes and counts."""
-    one = postings.select("shingle", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = postings.select("shingle", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    near = one.join(two, "shingle").where("a < b AND ca <> cb AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    # What two sets share lies in both prefixes or, in the global order, behind the prefix of at least one of them.
-    counted = near.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return counted.where(9 * (F.col("k") + F.greatest(_behind("na"), _behind("nb"))) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def unsettled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """postings (shingle, cls, n) with their components, without shingles that only one component posts."""
-    if labels is None:
-        return postings.withColumn("comp", F.col("cls"))
-    placed = postings.join(labels.select("node", "label"), F.col("cls") == F.col("node"), "left").select("shingle", "cls", "n", F.coalesce("label", "cls").alias("comp"))
-    many = placed.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("shingle")
-    return placed.join(many, "shingle", "left_semi")
-
-
-def few_pairs(postings: DataFrame) -> bool:
-    """Whether the postings with the shingle of a posting are FEW_PAIRS or fewer in the mean over postings."""
-    counts = postings.groupBy("shingle").agg(F.count("*").cast("double").alias("rows"))
-    rows, pairs = counts.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rows"))).first()
-    return not rows or pairs <= FEW_PAIRS * rows
+            kept = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                m, n = len(x) // 8, len(y) // 8
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort(kind="stable")
+                inside = int((both[1:] == both[:-1]).sum())
+                kept.append(100 * inside >= 80 * (m + n - inside))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    return stored(both.mapInArrow(check, "a long, b long"), "links")
+
+
+def surely_differ(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Shingles in which any members of two units differ at least; a and b give the columns of a unit by name."""
+    bins = sum((F.bit_count(a(f"all_{s}").bitwiseAND(F.bitwise_not(b(f"any_{s}")))) + F.bit_count(b(f"all_{s}").bitwiseAND(F.bitwise_not(a(f"any_{s}")))) for s in SKETCHES), F.lit(0))
+    return a("alone") + b("alone") + bins
+
+
+def could_link(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """The size and sketch filters of two units."""
+    sizes = a("n") + b("n")
+    return (5 * F.least(a("n"), b("n")) >= 4 * F.greatest(a("n"), b("n"))) & (9 * surely_differ(a, b) <= sizes)
+
+
+def units_of(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """members: cls, gid, n, alone, sketch, prefix. The members with comp and unit (the least class of a group in one
+    component), and one row per unit."""
+    placed = members.withColumn("comp", F.col("cls")) if labels is None else members.join(labels.select("node", "label"), F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls"))
+    both = [f(s).alias(f"{name}_{s}") for s in SKETCHES for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    same = [F.first(c).alias(c) for c in ("n", "alone", "prefix")]
+    units = placed.groupBy("gid", "comp").agg(F.min("cls").alias("unit"), *same, *both)
+    return placed.select("cls", "gid", "comp"), units
+
+
+def postings_of(units: DataFrame, *columns: str) -> DataFrame:
+    """Per unit and shingle of its prefix: token, place (in order of frequency, from 0) and columns of the unit."""
+    rows = units.select("unit", "n", "alone", *columns, F.posexplode("prefix").alias("at", "token"))
+    return rows.withColumn("place", F.col("alone") + F.col("at")).drop("at")
+
+
+def star_pairs(units: DataFrame) -> DataFrame:
+    """Pairs of classes: of each group its members with the first, and of each unit the centres with which it shares most
+    posted shingles. The centre of a shingle and size is the unit that has the least alone for its size; sizes are parted
+    twice, half a step apart."""
+    size = F.log(F.col("n")) / float(np.log(1.25))
+    sized = postings_of(units, "comp").withColumn("part", F.explode(F.array(F.floor(size) * 2, F.floor(size + 0.5) * 2 + 1)))
+    first = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.xxhash64("unit").alias("h"), F.col("unit").alias("centre"), F.col("comp").alias("other")))
+    centres = sized.groupBy("token", "part").agg(first.alias("f"), F.count("*").alias("rows")).where("rows > 1").select("token", "part", "f.centre", "f.other")
+    near = sized.join(centres, ["token", "part"]).where("comp <> other").groupBy("unit", "centre", F.pmod("part", F.lit(2)).alias("shift")).agg(F.count("*").alias("k"))
+    own, other = (units.select(*[F.col(c).alias(f"{p}_{c}") for c in units.columns if c != "prefix"]) for p in "xy")
+    fit = near.join(own, F.col("unit") == F.col("x_unit")).join(other, F.col("centre") == F.col("y_unit")).where(could_link(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
+    best = fit.groupBy("unit", "shift").agg(F.max(F.struct("k", "centre")).alias("best"))
+    return best.select(F.least("unit", "best.centre").alias("a"), F.greatest("unit", "best.centre").alias("b"))
+
+
+def unit_pairs(units: DataFrame) -> DataFrame:
+    """All pairs (a, b) of units in different components that share a posted shingle and pass the filters."""
+    rows = postings_of(units, "comp")
+    comps = rows.groupBy("token", "comp").agg(F.count("*").alias("rows")).groupBy("token")
+    tokens = comps.agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).where("comps > 1")
+    tokens = tokens.select("token", F.col("most.comp").alias("most"), F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+    sketches = [c for c in units.columns if c.startswith(("all_", "any_"))]
+    live = postings_of(units, "comp", *sketches).join(tokens, "token")
+    dealt_ = live.withColumn("chunk", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int"))
+    outside = live.where("comp <> most").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    a, b = dealt_.alias("a"), outside.alias("b")
+    of = lambda side: lambda c: F.col(f"{side}.{c}")
+    x, y = of("a"), of("b")
+    once = (x("comp") == x("most")) | (x("unit") < y("unit"))
+    left = F.least(x("n") - x("place"), y("n") - y("place"))  # shingles from here on, in the order of both
+    near = a.join(b, (x("token") == y("token")) & (x("chunk") == y("chunk")) & (x("comp") != y("comp")) & once & (9 * left >= 4 * (x("n") + y("n"))) & could_link(x, y))
+    return near.select(F.least(x("unit"), y("unit")).alias("a"), F.greatest(x("unit"), y("unit")).alias("b")).distinct()
+
+
+def expanded(pairs: DataFrame, units: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs of units to pairs of their members."""
+    members = placed.join(units.select("unit", "gid", "comp"), ["gid", "comp"]).select("unit", "cls")
+    one = pairs.join(members.select(F.col("unit").alias("a"), F.col("cls").alias("x")), "a")
+    return one.join(members.select(F.col("unit").alias("b"), F.col("cls").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """members: as with_prefixes, with gid. Component labels (node, label) of the classes that link, or None."""
+    own = members.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
+    _, units = units_of(members.where("cls = gid"), None)
+    links = verified(own.unionByName(star_pairs(units)), sets)
+    labels = None if links.isEmpty() else components(links)
+    placed, units = (stored(df, name) for df, name in zip(units_of(members, labels), ("placed", "units"), strict=True))
+    rest = verified(expanded(unit_pairs(units), units, placed), sets)
+    if not rest.isEmpty():
+        before = labels
+        labels = components(links.unionByName(rest))
+        if before is not None:
+            discard(before)
+    discard(links, rest, placed, units)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``component`` (equal for all documents reachable by links) and
     ``component_id`` (the least id of the component)."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
-    n_texts = texts.count()
-    frequent = frequent_shingles(texts, n_texts)
-    prints = stored(with_prefixes(texts, frequent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    classes = prints.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min(F.struct("key", "row", "pre")).alias("m"))
-    classes = stored(classes.select("n", "sig1", "sig2", F.col("m.key").alias("cls"), F.col("m.row").alias("row"), F.col("m.pre").alias("pre")), "classes")
-    groups = classes.groupBy("n", "pre").agg(F.min(F.struct("cls", "row")).alias("m"), F.count("*").alias("classes"))
-    groups = groups.select("n", "pre", F.col("m.cls").alias("gid"), F.col("m.row").alias("row"), F.col("classes").cast("int").alias("classes"))
-    ranges = max(16, n_texts // 5_000)
-    posting = shared_postings(prints.select("row", "prefix").join(_hinted(stored(groups.select("row", "gid", "n", "classes"), "groups")), "row"), frequent, ranges)
-    posting = stored(posting, "postings")
-    members = classes.join(groups.where("classes > 1").select("n", "pre", "gid"), ["n", "pre"]).select("gid", "cls")
-    wide = posting.where("classes > 1").join(members, "gid").select("shingle", "cls", "n")
-    lone = posting.where("classes = 1").select("shingle", F.col("gid").alias("cls"), "n")
-    postings = stored(lone.unionByName(wide), "class-postings")
-    discard(posting)
-    live, links, labels = unsettled(postings, None), None, None
-    salt, last = 0, few_pairs(live)
-    while True:
-        fresh = verified(rest_pairs(live) if last else star_pairs(live, salt), texts)
-        found = not fresh.isEmpty()
-        if found:
-            links = fresh if links is None else links.unionByName(fresh)
-            labels = components(links)
-        if last:
-            break
-        if found:
-            settled, postings = postings, stored(unsettled(postings, labels).select("shingle", "cls", "n"), "unsettled")
-            discard(settled)
-            live = unsettled(postings, labels)
-        salt += 1
-        last = not found or salt == ROUNDS or few_pairs(postings)
-    named = classes.select("n", "sig1", "sig2", "cls")
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+    # A word has some six bytes, so this is near the number of shingles.
+    shingles = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 6
+    ranges = lambda share: max(1, round(shingles * share / TOKENS_PER_RANGE))
+    prints = stored(measured(texts), "prints")
+    kept = stored(sieved(prints, ranges(0.3)), "sieved")
+    # One text for each class, of rows that posted: exact copies are few there.
+    wanted = prints.where("posts IS NOT NULL").join(hinted(kept.select("cls")), "cls", "left_semi").groupBy("cls").agg(F.min("copy").alias("copy"))
+    wanted = stored(wanted.select("copy").distinct(), "wanted")
+    whole = stored(whole_sets(texts, wanted), "whole-sets")
+    able = stored(with_prefixes(whole, ranges(0.3)), "prefixes")
+    groups = able.groupBy("n", "prefix").agg(F.min("cls").alias("gid"))
+    members = stored(able.join(groups, ["n", "prefix"]), "members")
+    alike = whole.join(hinted(able.select("cls")), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    sets = stored(alike, "sets")
+    discard(kept, wanted, whole, able)
+    labels = linked(members, sets)
+    discard(members, sets)
+    out = prints.select("id", "n", "cls")
     if labels is not None:
-        named = named.join(labels, F.col("cls") == F.col("node"), "left").select("n", "sig1", "sig2", F.coalesce("label", "cls").alias("component"))
+        out = out.join(hinted(labels.select("node", "label")), F.col("cls") == F.col("node"), "left").select("id", "n", F.coalesce("label", "cls").alias("component"))
     else:
-        named = named.withColumnRenamed("cls", "component")
-    out = prints.select("id", "n", "sig1", "sig2").join(named, ["n", "sig1", "sig2"], "left").select("id", "n", "component")
+        out = out.withColumnRenamed("cls", "component")
     least = out.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
     out = out.join(least, "component", "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), "component", F.coalesce("least", "id").alias("component_id"))
-

@@ -207,9 +207,10 @@ def test_components(spark):
     assert got == {**{k: 20 for k in range(20, 41)}, 1: 1, 9: 1, 5: 1}
 
 
-@pytest.mark.parametrize("few", [jaccard.FEW_PAIRS, 0])
-def test_jaccard(spark, odd, monkeypatch, few):
-    monkeypatch.setattr(jaccard, "FEW_PAIRS", few)  # 0: star rounds until one finds no link
+@pytest.mark.parametrize("size", [1_000, 1])
+def test_jaccard(spark, odd, monkeypatch, size):
+    monkeypatch.setattr(jaccard, "CHUNK", size)  # 1: every shingle is split
+    monkeypatch.setattr(jaccard, "TOKENS_PER_RANGE", 100 * size)
     base = text(0, 100).split()
     near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (2, 50, 97)]
     docs = [(10, text(0, 100)), *zip((11, 12, 13), near, strict=True), (14, text(0, 100)), (15, text(0, 60)), (16, text(150, 100)), *[(i, t) for i, t in ODD]]
