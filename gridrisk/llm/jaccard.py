@@ -144,6 +144,32 @@ def held_by_two(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | N
     return token[held], key[held], size[held], many[held]
 
 
+def by_class(key: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The ranges of classes and which of key fall into each."""
+    at = (mixed(key.view(np.uint64)) >> np.uint64(32)).astype(np.int64) * ranges >> 32
+    order = np.argsort(at, kind="stable")
+    bounds = np.searchsorted(at[order], np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(bounds)):
+        yield int(r), order[bounds[r] : bounds[r + 1]]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray] | None:
+    """The columns of all blocks, each of which holds them one after another, of these kinds."""
+    widths = [np.dtype(k).itemsize for k in kinds]
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for batch in batches:
+        for block in batch.column(1):
+            raw = block.as_buffer()
+            m = raw.size // sum(widths)
+            for k, part in enumerate(parts):
+                part.append(np.frombuffer(raw, kinds[k], m, sum(widths[:k]) * m))
+    return [np.concatenate(p) for p in parts] if parts[0] else None
+
+
+def block_row(r: int, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b"".join(c.tobytes() for c in columns)], pa.binary())], names=["range", "block"])
+
+
 def sieved(prints: DataFrame, ranges: int) -> DataFrame:
     """prints: as measured. (cls, n) of the classes that may link."""
 
@@ -151,12 +177,19 @@ def sieved(prints: DataFrame, ranges: int) -> DataFrame:
         if found := held_by_two(batches):
             _, key, size, _ = found
             own, at, counts = np.unique(key, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(size[at]), pa.array(counts)], names=["cls", "n", "shared"])
+            for r, o in by_class(own, ranges):
+                yield block_row(r, own[o], size[at][o].astype(np.int32), counts[o].astype(np.int32))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := gathered(batches, (np.int64, np.int32, np.int32)):
+            own, at, which = np.unique(found[0], return_index=True, return_inverse=True)
+            n, shared = found[1][at], np.bincount(which, found[2])
+            kept = shared >= sieve_depth(least_overlap(n.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[kept]), pa.array(n[kept])], names=["cls", "n"])
 
     posts = prints.where("posts IS NOT NULL").select("cls", "n", F.col("posts").alias("tokens"))
-    shared = dealt(posts, ranges).mapInArrow(count, "cls long, n int, shared long")
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 10))
-    return shared.groupBy("cls").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("cls", "n")
+    counts = dealt(posts, ranges).mapInArrow(count, "range int, block binary").repartitionById(ranges, "range")
+    return counts.mapInArrow(choose, "cls long, n int")
 
 
 def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,25 +224,13 @@ def with_prefixes(sets: DataFrame, ranges: int) -> DataFrame:
         if not (found := held_by_two(batches)):
             return
         token, key, size, many = found
-        at = (mixed(key.view(np.uint64)) >> np.uint64(32)).astype(np.int64) * ranges >> 32
-        order = np.argsort(at, kind="stable")
-        bounds = np.searchsorted(at[order], np.arange(ranges + 1))
-        for r in np.flatnonzero(np.diff(bounds)):
-            o = order[bounds[r] : bounds[r + 1]]
-            block = key[o].tobytes() + token[o].tobytes() + size[o].astype(np.int32).tobytes() + np.minimum(many[o], 2**31 - 1).astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([block], pa.binary())], names=["range", "block"])
+        for r, o in by_class(key, ranges):
+            yield block_row(r, key[o], token[o], size[o].astype(np.int32), np.minimum(many[o], 2**31 - 1).astype(np.int32))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[], [], [], []]
-        for batch in batches:
-            for block in batch.column(1):
-                raw = block.as_buffer()
-                m = raw.size // 24
-                for part, kind, at in zip(parts, (np.int64, np.uint64, np.int32, np.int32), (0, 8, 16, 20), strict=True):
-                    part.append(np.frombuffer(raw, kind, m, at * m))
-        if not parts[0]:
+        if not (found := gathered(batches, (np.int64, np.uint64, np.int32, np.int32))):
             return
-        key, token, size, many = (np.concatenate(p) for p in parts)
+        key, token, size, many = found
         order = np.lexsort((token, many, key))
         key, token, size = key[order], token[order], size[order]
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
