@@ -42,7 +42,7 @@ GIVEN_RANK = 1000
 #: Units of a lattice are characters that are pieces, by code point, and the bytes of all others, from here on.
 BYTE_UNITS = 0x110000
 TABLE_BITS = 22
-#: Bits of a share in a mark; the place is above them.
+#: Bits of a draw and of a cumulated share.
 SHARE_BITS = 32
 
 
@@ -52,6 +52,10 @@ def _hashed(units: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         return (units.astype(np.uint64) + np.uint64(1)) * GOLD if before is None else mixed(before) * GOLD + units.astype(np.uint64)
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
 class Model:
     """Pieces with blanks for U+2581: by hash of their units the ids, by id the weights and bytes."""
 
@@ -76,19 +80,35 @@ class Model:
         self.longest = max(len(units) for units, _, _ in found)
         self.single = np.array(sorted(units[0] for units, _, _ in found if len(units) == 1 and units[0] < BYTE_UNITS))
         hashes = np.empty(len(found), np.uint64)
+        self.begins = np.zeros(1 << TABLE_BITS, bool)  # of slots that some piece's beginning falls into
         sizes = np.array([len(units) for units, _, _ in found])
         for size in range(1, self.longest + 1):
             own_size, h = np.flatnonzero(sizes == size), None
             grid = np.array([found[k][0] for k in own_size], np.int64).reshape(-1, size)
             for column in grid.T:
                 h = _hashed(column, h)
+                self.begins[_slot(mixed(h))] = True
             hashes[own_size] = mixed(h)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.ids = np.array([i for _, i, _ in found], np.int32)[order]
         self.weights = np.array([w for _, _, w in found])[order]
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        # By slot the place of its piece, or -1; pieces that share a slot are looked up by bisection.
+        slots = _slot(self.hashes)
+        self.table = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.table[slots] = np.arange(len(slots))
+        self.crowded = np.zeros(1 << TABLE_BITS, bool)
+        self.crowded[slots[1:][slots[1:] == slots[:-1]]] = True
+
+    def places(self, hashes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of hashes are pieces, and their places."""
+        place = self.table[slots]
+        maybe = np.flatnonzero(place >= 0)
+        place = place[maybe]
+        if len(crowd := np.flatnonzero(self.crowded[slots[maybe]])):
+            place[crowd] = np.minimum(np.searchsorted(self.hashes, hashes[maybe[crowd]]), len(self.hashes) - 1)
+        hit = self.hashes[place] == hashes[maybe]
+        return maybe[hit], place[hit]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -114,9 +134,9 @@ class Model:
 
 
 def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
-    """The filtered lattices of distinct chunks. A place is the end of a unit. Returns each chunk's last place and, by
-    edge in order of the place it ends at: the place it comes from (-1: the chunk's start), its piece and its mark: the
-    place and, in the low SHARE_BITS bits, the cumulated share of the edges into it."""
+    """The filtered lattices of distinct chunks. A place is the end of a unit. Returns each chunk's last place, the first
+    edge into each place and, by edge in order of the place it ends at, longest pieces first: the place it comes from (-1:
+    the chunk's start), its piece and the greatest draw that picks it or an edge before it."""
     units, sizes = model.units(chunks)
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(len(units))  # units from here to the chunk's end
@@ -130,13 +150,14 @@ def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
             break
         h = _hashed(units[at + length - 1], h)
         full = mixed(h)
-        maybe = np.flatnonzero(model.table[(full >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(model.hashes, full[maybe]), len(model.hashes) - 1)
-        hit = model.hashes[place] == full[maybe]
-        starts.append(at[maybe[hit]])
-        lengths.append(np.full(hit.sum(), length))
-        places.append(place[hit])
-    start, length, piece = np.concatenate(starts), np.concatenate(lengths), np.concatenate(places)
+        slots = _slot(full)
+        keep = np.flatnonzero(model.begins[slots])  # what begins no piece needs no further unit
+        at, h, full, slots = at[keep], h[keep], full[keep], slots[keep]
+        hit, place = model.places(full, slots)
+        starts.append(at[hit])
+        lengths.append(np.full(len(hit), length))
+        places.append(place)
+    start, length, piece = (np.concatenate(x[::-1]) for x in (starts, lengths, places))
     end = start + length - 1
     depth = inside[end]
     order = np.argsort(depth * len(units) + end, kind="stable")  # place by place in all chunks at once
@@ -158,29 +179,32 @@ def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
     runs = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
     within = np.arange(len(end)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(end)]])))
     slot = (np.cumsum(fans) - fans)[end] + within
-    out = np.empty(len(end), np.int64), np.empty(len(end), np.int32), np.empty(len(end))
-    out[0][slot], out[1][slot], out[2][slot] = froms, model.ids[piece], share
-    froms, pieces, upto = out
+    froms_, pieces, upto = np.empty(len(end), np.int32), np.empty(len(end), np.int32), np.empty(len(end))
+    froms_[slot], pieces[slot], upto[slot] = froms, model.ids[piece], share
     # Shares add up edge after edge of a place, so that they don't depend on the other chunks.
+    first = np.cumsum(fans) - fans
     own = np.flatnonzero(fans)
-    start = (np.cumsum(fans) - fans)[own]
     for k in range(1, int(fans.max(initial=0))):
-        more = start[fans[own] > k] + k
+        more = first[own[fans[own] > k]] + k
         upto[more] += upto[more - 1]
-    marks = np.minimum((upto * (1 << SHARE_BITS)).astype(np.int64), 1 << SHARE_BITS)
-    marks[start + fans[own] - 1] = 1 << SHARE_BITS
-    return ends - 1, froms, pieces, (np.repeat(np.arange(len(units)), fans) << SHARE_BITS) + marks
+    marks = np.clip(upto * (1 << SHARE_BITS) - 1, 0, (1 << SHARE_BITS) - 1).astype(np.uint32)
+    marks[first[own] + fans[own] - 1] = (1 << SHARE_BITS) - 1
+    return ends - 1, first, froms_, pieces, marks
 
 
 def draw(lattice: tuple[np.ndarray, ...], numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all chunks (by their numbers) one after another, and how many each chunk has."""
-    last, froms, pieces, marks = lattice
+    last, first, froms, pieces, marks = lattice
     place, alive = last[numbers], np.arange(len(numbers))
     counts, steps = np.zeros(len(numbers), np.int64), []
     with np.errstate(over="ignore"):
         while len(alive):
-            u = (mixed(keys[alive] + np.uint64(len(steps) + 1) * GOLD) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
-            edge = np.searchsorted(marks, (place << SHARE_BITS) + u, side="right")
+            u = (mixed(keys[alive] + np.uint64(len(steps) + 1) * GOLD) >> np.uint64(64 - SHARE_BITS)).astype(np.uint32)
+            edge = first[place]
+            beyond = np.flatnonzero(u > marks[edge])
+            while len(beyond):  # seldom more than a few edges, as the likeliest come first
+                edge[beyond] += 1
+                beyond = beyond[u[beyond] > marks[edge[beyond]]]
             counts[alive] += 1
             steps.append((alive, pieces[edge]))
             place = froms[edge]
@@ -205,23 +229,23 @@ class Encoder:
     """Encodes blocks of texts. Lattices of chunks are kept from block to block, up to most_units units in all, and then
     built anew; what is kept changes no result."""
 
-    def __init__(self, model: Model, most_units: int = 1_000_000):
+    def __init__(self, model: Model, most_units: int = 3_000_000):
         self.model, self.most = model, most_units
         self.forget()
 
     def forget(self) -> None:
         self.numbered = Numbers()
         self.places, self.known = 0, 0
-        self.lattice = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.lattice = tuple(np.empty(0, kind) for kind in (np.int32, np.int32, np.int32, np.int32, np.uint32))
 
     def _learn(self) -> None:
         """Adds the lattices of the chunks that were numbered since the last call."""
         new = list(islice(self.numbered, self.known, None))
         if not new:
             return
-        last, froms, pieces, marks = lattices(self.model, new)
-        moved = last + self.places, np.where(froms < 0, froms, froms + self.places), pieces, marks + (self.places << SHARE_BITS)
-        self.lattice = tuple(np.concatenate(pair) for pair in zip(self.lattice, moved, strict=True))
+        last, first, froms, pieces, marks = lattices(self.model, new)
+        moved = last + self.places, first + len(self.lattice[2]), np.where(froms < 0, froms, froms + self.places), pieces, marks
+        self.lattice = tuple(np.concatenate([old, x.astype(old.dtype)]) for old, x in zip(self.lattice, moved, strict=True))
         self.places += int(last[-1]) + 1
         self.known = len(self.numbered)
 
