@@ -107,6 +107,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("email"), count("ip"), count("card"), count("phone"),
         F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"),
         pii.spans_text(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
