@@ -2,6 +2,9 @@
 
 ``STAGES`` are applied in order to the table ``documents``; each stage's result is written as Parquet in the shared
 folder and read again as the next one's documents. All stages but the last return the columns of documents.
+
+Stages that remove documents remove rows, not ids: rows get a key in a stored copy first, so rows without an id and rows
+that share one are told apart.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridrisk.llm import decontamination, jaccard, pieces, pii, quality
-from gridrisk.llm.common import fresh_name, label_fold, stored, table
+from gridrisk.llm.common import discard, fresh_name, hinted, label_fold, stored, table
 
 #: The texts after the last stage are sampled, so no SQL gives the rows of run().
 ORACLE_SQL = None
@@ -24,23 +27,36 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, forest, out=score).where(F.col(score) >= 0.5).drop(score)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A stored copy of docs with a key for each row, and the key's name."""
+    key = fresh_name(docs, "row")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _without_rows(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys gone has, and without the key."""
+    return docs.join(hinted(gone), key, "left_anti").drop(key)
+
+
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id. Documents without an id stay, and so
-    do documents without words, which link with nothing."""
-    found = jaccard.near_duplicates(docs)
-    gone = stored(found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(docs.columns)
+    """One row of each group of near duplicates: the one with the least id, rows without an id coming last, and of equal
+    ids any one. Documents without words link with nothing and stay."""
+    docs, key = _keyed(docs)
+    rank = fresh_name(docs, "rank")
+    ranked = docs.withColumn(rank, F.struct(F.isnull("doc_id").alias("absent"), F.col("doc_id").alias("id"), F.col(key).alias("row")))
+    found = jaccard.near_duplicates(ranked, rank).where("id <> component_id")
+    return _without_rows(docs, key, stored(found.select(F.col("id.row").alias(key)), "gone"))
 
 
 def _decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = stored(decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    docs, key = _keyed(docs)
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without_rows(docs, key, stored(leaks.select(key).distinct(), "leaks"))
 
 
 def _private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by marks; n_chars follows the text."""
+    """All documents, with personal data and secrets replaced by marks; n_chars follows the text."""
     return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
@@ -60,6 +76,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            discard(before)
     return docs

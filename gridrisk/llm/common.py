@@ -59,6 +59,15 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables of keys are broadcast up to this many rows; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def hinted(few: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, for working columns beside any columns of the caller."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

@@ -35,15 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrisk.llm.common import discard, stored
+from gridrisk.llm.common import discard, hinted, stored
 from gridrisk.llm.components import components
 from gridrisk.llm.text import GOLD, mixed, shingle_sets
 
 WIDTH = 5
 #: Shingles that a range of the hash space gets on average, and that a task deals out at a time.
 TOKENS_PER_RANGE = 1_000_000
-#: Tables of keys are broadcast up to this many rows; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Units that one task of a hot shingle looks at for each unit outside the shingle's largest component.
 CHUNK = 1_000
 SKETCH = 8  # longs
@@ -209,10 +207,6 @@ def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(hinted(wanted), "copy", "left_semi").select("text").mapInArrow(measure, "cls long, n int, tokens binary")
 
 
-def hinted(few: DataFrame) -> DataFrame:
-    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-
-
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
 
