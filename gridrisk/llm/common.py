@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +36,27 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+#: Rows travel to Python in batches of at most so many bytes, however long their texts; a session can name its own size.
+BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def in_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(task, schema) in batches bounded by bytes. Spark keeps workers for later tasks, so one gives the
+    memory that it has freed back to the system when its task ends."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 #: Spark drops the shuffle files of a query when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

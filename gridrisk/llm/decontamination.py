@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrisk.llm.common import stored
+from gridrisk.llm.common import in_arrow, stored
 from gridrisk.llm.text import Hashes, windows, word_hashes
 
 WIDTH, RADIUS, BLOCKS = 5, 20, 7
@@ -159,7 +159,7 @@ def item_rows(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "width", "n_words", "shingles", "kinds"])
 
     source = benchmark.select(F.col("item_id").cast("long"), "text")
-    return source.mapInArrow(cut, "item_id long, width int, n_words int, shingles binary, kinds array<long>")
+    return in_arrow(source, cut, "item_id long, width int, n_words int, shingles binary, kinds array<long>")
 
 
 def weighted_items(benchmark: DataFrame, items_per_block: int) -> DataFrame:
@@ -206,4 +206,4 @@ def _match_block(source: DataFrame, rows: list, similarity: float, schema: str)
             names = [batch.schema.names[0], "item_id", "start_word", "n_words", "hamming", "similarity"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return source.mapInArrow(search, schema)
+    return in_arrow(source, search, schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrisk.llm.common import discard, hinted, stored
+from gridrisk.llm.common import discard, hinted, in_arrow, stored
 from gridrisk.llm.components import components
 from gridrisk.llm.text import GOLD, mixed, shingle_sets
 
@@ -86,7 +86,7 @@ def measured(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "copy", "n", "cls", "posts"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "copy", "text").mapInArrow(measure, f"id {kind}, copy long, n int, cls long, posts binary")
+    return in_arrow(texts.select("id", "copy", "text"), measure, f"id {kind}, copy long, n int, cls long, posts binary")
 
 
 def dealt(sets: DataFrame, ranges: int) -> DataFrame:
@@ -114,7 +114,7 @@ def dealt(sets: DataFrame, ranges: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([block], pa.binary())], names=["range", "classes", "block"])
                 start = end
 
-    blocks = sets.select("cls", "n", "tokens").mapInArrow(pack, "range int, classes int, block binary")
+    blocks = in_arrow(sets.select("cls", "n", "tokens"), pack, "range int, classes int, block binary")
     return blocks.repartitionById(ranges, "range")
 
 
@@ -186,8 +186,8 @@ def sieved(prints: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[kept]), pa.array(n[kept])], names=["cls", "n"])
 
     posts = prints.where("posts IS NOT NULL").select("cls", "n", F.col("posts").alias("tokens"))
-    counts = dealt(posts, ranges).mapInArrow(count, "range int, block binary").repartitionById(ranges, "range")
-    return counts.mapInArrow(choose, "cls long, n int")
+    counts = in_arrow(dealt(posts, ranges), count, "range int, block binary").repartitionById(ranges, "range")
+    return in_arrow(counts, choose, "cls long, n int")
 
 
 def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["cls", "n", "tokens"])
 
-    return texts.join(hinted(wanted), "copy", "left_semi").select("text").mapInArrow(measure, "cls long, n int, tokens binary")
+    return in_arrow(texts.join(hinted(wanted), "copy", "left_semi").select("text"), measure, "cls long, n int, tokens binary")
 
 
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
@@ -244,8 +244,8 @@ def with_prefixes(sets: DataFrame, ranges: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * SKETCH)
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists], names=["cls", "n", "alone", *SKETCHES, "prefix"])
 
-    blocks = dealt(sets, ranges).mapInArrow(reply, "range int, block binary").repartitionById(ranges, "range")
-    return blocks.mapInArrow(choose, f"cls long, n int, alone int, {', '.join(f'{s} long' for s in SKETCHES)}, prefix array<long>")
+    blocks = in_arrow(dealt(sets, ranges), reply, "range int, block binary").repartitionById(ranges, "range")
+    return in_arrow(blocks, choose, f"cls long, n int, alone int, {', '.join(f'{s} long' for s in SKETCHES)}, prefix array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return stored(both.mapInArrow(check, "a long, b long"), "links")
+    return stored(in_arrow(both, check, "a long, b long"), "links")
 
 
 def surely_differ(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrisk.llm.common import stored
+from gridrisk.llm.common import in_arrow, stored
 from gridrisk.llm.text import Hashes, lower_words, word_hashes
 
 CLASSES, ENDINGS, HOT = 128, 40, 65_536
@@ -92,7 +92,7 @@ def count_tokens(texts: DataFrame, text: Column) -> DataFrame:
     def flush(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "count"])
 
-    parts = texts.select(text.alias("text")).mapInArrow(count, "token binary, count long")
+    parts = in_arrow(texts.select(text.alias("text")), count, "token binary, count long")
     return parts.groupBy("token").agg(F.sum("count").alias("count"))
 
 
@@ -129,7 +129,7 @@ def count_triples(texts: DataFrame, text: Column, vocabulary: Vocabulary) -> tup
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "count"])
 
-    parts = texts.select(text.alias("text")).mapInArrow(count, "cell long, count long")
+    parts = in_arrow(texts.select(text.alias("text")), count, "cell long, count long")
     found = parts.groupBy("cell").agg(F.sum("count").alias("count")).orderBy("cell").toPandas()
     return found["cell"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
@@ -251,8 +251,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rare_sums(texts: DataFrame, vocabulary: Vocabulary, ranges: int) -> DataFrame:
     """texts: key, learning, text. Per key: rare_log and rare_known."""
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    blocks = texts.select("key", "learning", "text").mapInArrow(_packed(shared, ranges), "range int, block binary")
-    sums = blocks.repartitionById(ranges, "range").mapInArrow(_summed, "key long, rare_log double, rare_known long")
+    blocks = in_arrow(texts.select("key", "learning", "text"), _packed(shared, ranges), "range int, block binary")
+    sums = in_arrow(blocks.repartitionById(ranges, "range"), _summed, "key long, rare_log double, rare_known long")
     return sums.groupBy("key").agg(F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"))
 
 
@@ -289,7 +289,7 @@ def score_texts(texts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) ->
                 names=["key", "n_tokens", "hot_known", "hot_log", "model_log"],
             )
 
-    return texts.select("key", "text").mapInArrow(score, "key long, n_tokens long, hot_known long, hot_log double, model_log double")
+    return in_arrow(texts.select("key", "text"), score, "key long, n_tokens long, hot_known long, hot_log double, model_log double")
 
 
 def score_corpus(docs: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", texts_per_range: int = 5_000, **training) -> DataFrame:

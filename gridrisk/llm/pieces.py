@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridrisk.llm.common import fresh_name, without
+from gridrisk.llm.common import fresh_name, in_arrow, without
 from gridrisk.llm.text import GOLD, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -229,7 +229,7 @@ class Encoder:
     """Encodes blocks of texts. Lattices of chunks are kept from block to block, up to most_units units in all, and then
     built anew; what is kept changes no result."""
 
-    def __init__(self, model: Model, most_units: int = 3_000_000):
+    def __init__(self, model: Model, most_units: int = 1_000_000):
         self.model, self.most = model, most_units
         self.forget()
 
@@ -268,7 +268,7 @@ class Encoder:
         return found, whole[first + sizes] - whole[first]
 
 
-def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: str = MODEL, theta: float = 1.0, seed: int = 0, block_chars: int = 1_000_000) -> DataFrame:
+def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: str = MODEL, theta: float = 1.0, seed: int = 0, block_chars: int = 300_000) -> DataFrame:
     """docs with ``ids`` (the sampled pieces), ``decoded_sha256`` (of the text decoded from them) and ``lossless``
     (the decoded text is the text). Columns of these names are replaced. A text of any length is one lattice chain;
     blocks of about block_chars characters bound the memory of a task beyond that."""
@@ -300,4 +300,4 @@ def sample_pieces(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in batch.columns[:-1]), ids, pa.array(shas, pa.string()), pa.array(same, pa.bool_())], names=schema.names)
                 start, held = end, 0
 
-    return source.mapInArrow(encode, schema)
+    return in_arrow(source, encode, schema)

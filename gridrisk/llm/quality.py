@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridrisk.llm import boosting
-from gridrisk.llm.common import fresh_name, without
+from gridrisk.llm.common import fresh_name, in_arrow, without
 
 STATISTICS = (
     "chars", "words", "word_length", "longest_word", "distinct_words", "repeats", "upper", "digits", "marks", "loud_marks", "bars", "bangs",
@@ -67,7 +67,7 @@ def with_statistics(docs: DataFrame, text: Column, keys: list[str], out: str) ->
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
 
-    return source.mapInArrow(measure, schema)
+    return in_arrow(source, measure, schema)
 
 
 def fit_quality(measured: DataFrame, labels: DataFrame, most_labels: int = 20_000, **params) -> boosting.Forest:
@@ -92,7 +92,7 @@ def score_quality(docs: DataFrame, forest: boosting.Forest, text_col: str = "tex
             x = np.stack(rows) if rows else np.zeros((0, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.scores(x))], names=schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return in_arrow(docs, score, schema)
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, learning: Column, most_labels: int = 20_000) -> boosting.Forest:

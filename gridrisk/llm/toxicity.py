@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridrisk.llm.common import without
+from gridrisk.llm.common import in_arrow, without
 
 MARKS = ".,;:!?*#$%&\"'()[]|<>~^-_"
 
@@ -230,4 +230,4 @@ def score_toxicity(docs: DataFrame, index: Index, text_col: str = "text", eviden
             proof = [[{"doc_id": int(own.ids[p]), "cosine": float(c), "label": int(own.y[p])} for p, c in zip(ps[:evidence], cs[:evidence], strict=True)] for _, ps, cs in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _, _ in found], pa.float64()), pa.array(proof, arrow)], names=schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return in_arrow(docs, score, schema)
