@@ -76,6 +76,11 @@ def mapped_target(events: DataFrame, master: DataFrame, size: int) -> DataFrame:
     return cells(events, size).join(fine, ["target_grid_x", "target_grid_y"]).select(*TARGET)
 
 
+def with_month(df: DataFrame) -> DataFrame:
+    """df with the month of its dates, to be written by month."""
+    return df.withColumn("month", F.date_format("date", "yyyy-MM"))
+
+
 def buffer_matches(events: DataFrame, radius: int) -> DataFrame:
     """Per event the ids of all cells within radius cells. events: objt_id, x5179, y5179."""
     steps = F.sequence(F.lit(-radius), F.lit(radius))

@@ -20,23 +20,71 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFr
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keep), columns, "variable", "value")
 
 
-def _quartiles(value: str = "value") -> list[Column]:
-    return [F.percentile(value, p).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+#: Ranges of values that a group's rows are dealt to.
+RANGES = 64
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with the other columns of b where the keys agree, nulls too."""
+    b = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return a.join(b, same).drop(*[f"__{k}" for k in keys])
+
+
+def ranked(rows: DataFrame, by: list[str], *sums: Column) -> DataFrame:
+    """Per group and distinct ``value``: n, the sums (by their names), ``below`` (rows of the group with less) and ``total``
+    (rows of the group). Groups are cut into ranges of values at approximate quantiles and ranked range by range, so a
+    group of any size makes many tasks, none of which holds more than a range; the counts are exact. Nulls are left out."""
+    counts = rows.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"), *sums)
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 50 * RANGES).alias("cuts"), F.sum("n").alias("total"))
+    placed = _beside(counts, cuts, by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    sizes = placed.groupBy(*by, "range").agg(F.sum("n").alias("inside"))
+    # A group has RANGES rows here.
+    sizes = sizes.withColumn("before", F.sum("inside").over(Window.partitionBy(*by).orderBy("range")) - F.col("inside"))
+    out = _beside(placed, sizes.drop("inside"), [*by, "range"])
+    upto = F.sum("n").over(Window.partitionBy(*by, "range").orderBy("value"))
+    return out.withColumn("below", F.col("before") + upto - F.col("n")).drop("before", "range")
+
+
+def quantile_columns(shares: dict[str, float]) -> list[Column]:
+    """Aggregates over ``ranked`` rows of a group: exact quantiles, linear between neighbours, by name."""
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col("value")))
+
+    out = []
+    for name, p in shares.items():
+        rank = F.lit(p) * (F.col("total") - 1)
+        low, high, part = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
+        out.append((low + (high - low) * part).alias(name))
+    return out
+
+
+def quantiles(rows: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """Per group and share ``p`` the exact quantile ``q`` of value."""
+    named = {f"q{k}": p for k, p in enumerate(shares)}
+    wide = ranked(rows, by).groupBy(*by).agg(*quantile_columns(named))
+    return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(n).alias("q")) for n, p in named.items()])))
+
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def describe(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """Per variable (and group): n, mean, std, min, quartiles, max of the values present."""
-    rows = long_form(df, columns, by).where(F.col("value").isNotNull())
-    return rows.groupBy("variable", *by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *_quartiles(), F.max("value").alias("max"))
+    keys, rows = ["variable", *by], long_form(df, columns, by).where("value IS NOT NULL")
+    rest = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    middle = ranked(rows, keys).groupBy(*keys).agg(*quantile_columns(QUARTILES))
+    return _beside(rest, middle, keys).select(*keys, "n", "mean", "std", "min", *QUARTILES, "max")
 
 
 def lift(df: DataFrame, columns: list[str], label: str = "fire_label", shares: tuple = (0.1, 0.2)) -> DataFrame:
     """Share of positives in the top shares by score. A row is in the top p if the rows scored as high or higher are at
-    most p of all; the running sum runs over distinct scores within a variable, not over all rows in one task."""
-    rows = long_form(df, columns, [label]).where(F.col("value").isNotNull())
-    scores = rows.groupBy("variable", "value").agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    down, every = Window.partitionBy("variable").orderBy(F.desc("value")), Window.partitionBy("variable")
-    scores = scores.withColumn("top", F.sum("n").over(down) / F.sum("n").over(every))
+    most p of all."""
+    scores = ranked(long_form(df, columns, [label]), ["variable"], F.count_if(F.col(label) == 1).alias("pos"))
+    scores = scores.withColumn("top", (F.col("total") - F.col("below")) / F.col("total"))
     total, mean = F.sum("pos"), lambda w: F.sum(F.col("value") * w) / F.nullif(F.sum(w), F.lit(0))
     out = [F.try_divide(F.sum(F.when(F.col("top") <= p, F.col("pos")).otherwise(0)), total).alias(f"top{int(p * 100)}_capture") for p in shares]
     return scores.groupBy("variable").agg(total.alias("positives"), *out, mean(F.col("pos")).alias("positive_mean"), mean(F.col("n") - F.col("pos")).alias("negative_mean"))
@@ -74,7 +122,8 @@ def missing(df: DataFrame) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fences at 1.5 IQR; the ratio is over all rows, nulls included."""
     rows = long_form(df, columns)
-    q = rows.groupBy("variable").agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"), F.count("*").alias("rows"))
+    q = ranked(rows, ["variable"]).groupBy("variable").agg(*quantile_columns({"q1": 0.25, "q3": 0.75}))
+    q = rows.groupBy("variable").agg(F.count("*").alias("rows")).join(q, "variable", "left")
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")}).withColumns({"lower": F.col("q1") - 1.5 * F.col("iqr"), "upper": F.col("q3") + 1.5 * F.col("iqr")})
     # One row per column: the fences are small by construction.
     out = rows.join(F.broadcast(q), "variable").groupBy("variable", "q1", "q3", "iqr", "lower", "upper", "rows").agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("outliers"))
@@ -88,7 +137,10 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median, biased skewness, excess kurtosis, and a word for the skew."""
-    out = long_form(df, columns).where(F.col("value").isNotNull()).groupBy("variable").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"))
+    rows = long_form(df, columns).where(F.col("value").isNotNull())
+    out = rows.groupBy("variable").agg(F.avg("value").alias("mean"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"))
+    out = out.join(ranked(rows, ["variable"]).groupBy("variable").agg(*quantile_columns({"median": 0.5})), "variable")
+    out = out.select("variable", "mean", "median", "skew", "kurt")
     return out.withColumn("shape", E.cases([(F.col("skew") > 0.5, "right"), (F.col("skew") < -0.5, "left")], "symmetric"))
 
 
@@ -110,7 +162,7 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, the last values inside 1.5 IQR, and the count outside, per group."""
     rows = df.select(F.col(by).alias("grp"), F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
-    q = rows.groupBy("grp").agg(*_quartiles())
+    q = ranked(rows, ["grp"]).groupBy("grp").agg(*quantile_columns(QUARTILES))
     q = q.withColumns({"lo": F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")), "hi": F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))})
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
     return rows.join(q, "grp").groupBy("grp", "q25", "q50", "q75").agg(F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))

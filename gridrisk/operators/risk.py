@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrisk.functions import exprs as E
+from gridrisk.operators import profile
 
 TERRAIN = ("grid_id", "date", "month", "elevation", "slope", "aspect_sin", "aspect_cos", "aspect_deg", "tmi_base_n", "tmi_p", "ywi", "Rm", "Ws", "Dr", "Da")
 
@@ -72,6 +73,15 @@ def validation(df: DataFrame, score: str, label: str, cut: float) -> DataFrame:
     return n.select(recall.alias("recall"), precision.alias("precision"), F.try_divide(5 * F.col("tp"), 5 * F.col("tp") + 4 * F.col("fn") + F.col("fp")).alias("f2"), F.try_divide(F.col("tp") + F.col("fp"), F.col("n")).alias("flagged_share"))
 
 
+def top_hit_rate(df: DataFrame, score: str, label: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
+    """Per share k the part of the positives that lie in the top k of the rows by score. Rows of equal score are in together
+    if all rows scored as high make at most that share."""
+    ranked = profile.ranked(profile.long_form(df, [score], [label]), ["variable"], F.count_if(F.col(label) == 1).alias("pos"))
+    above = (F.col("total") - F.col("below")) / F.col("total")
+    rates = F.array(*[F.struct(F.lit(k).alias("share"), F.try_divide(F.sum(F.when(above <= k, F.col("pos")).otherwise(0)), F.sum("pos")).alias("hit_rate")) for k in shares])
+    return ranked.agg(rates.alias("r")).select(F.inline("r"))
+
+
 def pole_exposure(indices: DataFrame, cells: DataFrame, cut: float = 66.0) -> DataFrame:
     """Per city: cells and poles at risk on some day, and pole-days. cells: grid_id (once), city, pole_count."""
     risky = indices.where(F.col("ffdri") >= cut).groupBy("grid_id").agg(F.countDistinct("date").alias("days"))

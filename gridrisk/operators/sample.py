@@ -25,16 +25,21 @@ def negatives(final: DataFrame, target: DataFrame, cut: int, seed: int = 42) ->
     return final.where(bucket < cut).join(target.select(*KEY), KEY, "left_anti")
 
 
-def labelled(final: DataFrame, target: DataFrame, ratio: int = 10, most: int = 200_000, seed: int = 42) -> DataFrame:
-    """Positives and sampled negatives; target columns of the negatives are null but for label and count."""
+def labelled(final: DataFrame, target: DataFrame, ratio: int = 10, most: int = 200_000, seed: int = 42, keys: DataFrame | None = None) -> DataFrame:
+    """Positives and sampled negatives; target columns of the negatives are null but for label and count. One pass over
+    the keys counts both kinds, one over final joins the target and keeps what is positive or drawn. keys: a table with
+    the keys of final's rows that is cheaper to make than final."""
     final = final.drop(*[c for c in target.columns if c not in KEY])
-    yes = positives(final, target)
-    n_final = final.count()
-    if not n_final:
+    hit = "__hit"
+    marked = target.withColumn(hit, F.lit(True))
+    counted = (final if keys is None else keys).select(*KEY).join(marked.select(*KEY, hit), KEY, "left")
+    # A row with several targets is counted for each of them: it is a positive as often.
+    n, yes = counted.agg(F.count("*"), F.count(hit)).first()
+    if not n:
         raise ValueError("no rows of the final dataset in this window")
-    no = negatives(final, target, threshold(n_final, yes.count(), ratio, most), seed)
-    no = no.withColumns({"fire_label": F.lit(0), "fire_count": F.lit(0).cast("long")})
-    return yes.unionByName(no, allowMissingColumns=True)
+    drawn = hash_bucket([F.col("grid_id"), F.col("date").cast("string")], seed) < threshold(n, yes, ratio, most)
+    out = final.join(marked, KEY, "left").where(F.col(hit) | drawn).drop(hit)
+    return out.withColumns({"fire_label": F.coalesce("fire_label", F.lit(0)), "fire_count": F.coalesce("fire_count", F.lit(0).cast("long"))})
 
 
 def label_counts(sample: DataFrame, by_month: bool = False) -> DataFrame:

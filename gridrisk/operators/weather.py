@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrisk.functions import exprs as E
+from gridrisk.sources import readers
 
 REALS = (*E.SCALED_BY_TEN[:10], "wind_wd_sin_mean", "wind_wd_cos_mean", *E.SCALED_BY_TEN[10:])
 FEATURES = (
@@ -14,6 +15,10 @@ FEATURES = (
 )
 
 
+#: Days that lags reach back.
+LOOKBACK = 4
+
+
 def base(weather: DataFrame, scaled: bool = True) -> DataFrame:
     date = F.col("date").cast("date")
     return weather.select(
@@ -39,8 +44,11 @@ def with_lags(df: DataFrame) -> DataFrame:
     )
 
 
-def features(weather: DataFrame, scaled: bool = True, months: list[str] | None = None) -> DataFrame:
-    """The daily features. months: to keep, after the lags have seen all history."""
+def features(weather: DataFrame, scaled: bool = True, months: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The daily features. months, start and end: which days to keep. The lags see LOOKBACK days before these, which is
+    all that they use, so no other day is read."""
+    if months or start or end:
+        weather = readers.with_lookback(weather, LOOKBACK, months, start, end)
     df = with_lags(base(weather, scaled))
     df = df.withColumns({
         "effective_humidity": E.effective_humidity(F.col("hm_mean"), [F.col(f"hm_lag{k}_used") for k in range(1, 5)]),
@@ -51,23 +59,26 @@ def features(weather: DataFrame, scaled: bool = True, months: list[str] | None =
     df = df.withColumns({"rne": E.rain_effect(F.col("rne_temp")), "predwi": E.weather_score(F.col("ta_mean"), F.col("hm_mean"), F.col("effective_humidity"), F.col("wind_ws_mean"))})
     df = df.withColumn("predwi_class", E.weather_class(F.col("predwi")))
     df = df.withColumn("dwi", F.col("predwi_class").cast("double") * F.col("rne")).withColumn("dwi_n", F.col("dwi") / 10.0)
-    df = df.select(*FEATURES)
-    return df.where(F.col("month").isin(months)) if months else df
+    return readers.in_dates(df.select(*FEATURES), months, start, end)
 
 
-def features_by_chunk(weather: DataFrame, scaled: bool = True) -> DataFrame:
+def features_by_chunk(weather: DataFrame, scaled: bool = True, months: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """As ``features``, but the first days of a month see no history before it."""
-    df = base(weather, scaled).withColumn("cell", F.col("grid_id")).withColumn("grid_id", F.concat_ws("@", "grid_id", "month"))
+    df = base(readers.in_dates(weather, months, start, end) if months or start or end else weather, scaled)
+    df = df.withColumn("grid_id", F.concat_ws("@", "grid_id", "month"))
     out = features(df.drop("month", "month_num", "day_num"), scaled=False)
     return out.withColumn("grid_id", F.substring_index("grid_id", "@", 1))
 
 
 def official(weather: DataFrame, static: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """The official formula: plain lags without a gap guard, class sums for terrain, duplicated cells fan out. The
-    window of dates is cut after the lags."""
+    """The official formula: lags without a gap guard, class sums for terrain, duplicated cells fan out. It is made month
+    by month, from the days of the month and LOOKBACK days before it, so a lag reaches no further back than that."""
+    if start or end:
+        weather = readers.with_lookback(weather, LOOKBACK, None, f"{start[:7]}-01" if start else None, end)
     df = base(weather)
     df = df.withColumn("rn_grade", E.rain_grade(F.col("rn_day_mean")))
-    df = df.select("*", *[_lag("hm_mean", k).alias(f"hm_lag{k}") for k in range(1, 5)], *[_lag("rn_grade", k).alias(f"grade{k}") for k in (1, 2)])
+    seen = lambda k: _lag("date", k) >= F.date_sub(F.trunc("date", "month"), LOOKBACK)
+    df = df.select("*", *[F.when(seen(k), _lag("hm_mean", k)).alias(f"hm_lag{k}") for k in range(1, 5)], *[F.when(seen(k), _lag("rn_grade", k)).alias(f"grade{k}") for k in (1, 2)])
     humidity = sum((w * F.coalesce(F.col(f"hm_lag{k}"), F.col("hm_mean")) for k, w in enumerate(E.OFFICIAL_HUMIDITY_WEIGHTS) if k), E.OFFICIAL_HUMIDITY_WEIGHTS[0] * F.col("hm_mean"))
     df = df.withColumn("effective_humidity", humidity).withColumn("rne_temp", F.col("rn_grade") + F.coalesce("grade1", F.lit(0)) + F.coalesce("grade2", F.lit(0)))
     df = df.withColumn("predwi", E.weather_score(F.col("ta_mean"), F.col("hm_mean"), F.col("effective_humidity"), F.col("wind_ws_mean")))
@@ -77,6 +88,4 @@ def official(weather: DataFrame, static: DataFrame, start: str | None = None, en
     out = df.select("grid_id", "date", "month", "effective_humidity", "rne_temp", "predwi", "dwi").join(terrain, "grid_id", "left")
     out = out.withColumn("day_weight", E.day_weight(F.col("date")))
     out = out.withColumn("ffdri", E.composite(F.col("dwi"), F.col("fmi"), F.col("tmi"), F.col("day_weight")))
-    if start:
-        out = out.where(F.col("date") >= F.lit(start).cast("date"))
-    return out.where(F.col("date") <= F.lit(end).cast("date")) if end else out
+    return readers.in_dates(out, None, start, end)

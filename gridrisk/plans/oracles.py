@@ -117,13 +117,14 @@ def q(select: str) -> str:
 
     flat = f" {select.replace(',', ' ').replace(')', ' ').replace(chr(10), ' ')} "
     add({n for n in STEPS if f" {n} " in flat})
-    steps = ", ".join(f"{n} AS ({STEPS[n]})" for n in needed)
+    steps = ", ".join(f"{n} AS MATERIALIZED ({STEPS[n]})" for n in needed)
     rest = f", {select[5:]}" if select.startswith("WITH ") else f" {select}"
     return f"WITH {steps}{rest}" if needed else select
 
 
 SCORES = "dwi fmi tmi_p pei ffdri pffdri".split()
 ATTRIBUTES = "elevation slope aspect_sin aspect_cos nearest_road_dist nearest_river_dist".split()
+WEATHER_COLUMNS = "ta_mean ta_max td_mean hm_mean wind_uu_mean".split()
 LINES = "l_quantity l_extendedprice l_discount l_tax".split()
 
 
@@ -150,8 +151,10 @@ CITIES = f"SELECT grid_id, MIN({CITY}) AS city, MAX(CAST(COALESCE(pole_count, 0)
 OFFICIAL = f"""SELECT o.grid_id, date, month, {r("effective_humidity")}, rne_temp, {r("predwi")}, {r("dwi fmi tmi day_weight")}, ROUND((7e0 * dwi + 1.5e0 * fmi + 1.5e0 * tmi) * day_weight, 6) + 0 AS ffdri FROM (
   SELECT p.grid_id, date, month, effective_humidity, rne_temp, predwi, {CLASS} * {EFFECT} AS dwi, fmi, tmi, {WEIGHT} AS day_weight FROM (
     SELECT *, 1e0 / (1e0 + exp(-(2.706e0 + 0.088e0 * ta_mean - 0.055e0 * hm_mean - 0.023e0 * effective_humidity - 0.104e0 * wind_ws_mean))) AS predwi FROM (
-      SELECT *, 0.3e0 * hm_mean + 0.21e0 * COALESCE(h1, hm_mean) + 0.147e0 * COALESCE(h2, hm_mean) + 0.103e0 * COALESCE(h3, hm_mean) + 0.072e0 * COALESCE(h4, hm_mean) AS effective_humidity,
-        {GRADE.format("rn_day_mean")} + CASE WHEN lag_date1 IS NULL THEN 0 ELSE {GRADE.format("r1")} END + CASE WHEN lag_date2 IS NULL THEN 0 ELSE {GRADE.format("r2")} END AS rne_temp FROM wl )) p
+      SELECT *, 0.3e0 * hm_mean + 0.21e0 * COALESCE(LAG(hm_mean, 1) OVER m, hm_mean) + 0.147e0 * COALESCE(LAG(hm_mean, 2) OVER m, hm_mean) + 0.103e0 * COALESCE(LAG(hm_mean, 3) OVER m, hm_mean) + 0.072e0 * COALESCE(LAG(hm_mean, 4) OVER m, hm_mean) AS effective_humidity,
+        g + COALESCE(LAG(g, 1) OVER m, 0) + COALESCE(LAG(g, 2) OVER m, 0) AS rne_temp
+      FROM (SELECT *, {GRADE.format("rn_day_mean")} AS g FROM wb JOIN (VALUES (DATE '1996-03-01', DATE '1996-03-31'), (DATE '1996-04-01', DATE '1996-04-30'), (DATE '1996-05-01', DATE '1996-05-31')) run(first, last) ON date BETWEEN first - 4 AND last)
+      WINDOW m AS (PARTITION BY grid_id, first ORDER BY date)) WHERE date >= first) p
   LEFT JOIN (SELECT grid_id, CASE forest_type_code WHEN 1 THEN 10e0 WHEN 2 THEN 2e0 WHEN 3 THEN 3e0 WHEN 4 THEN 1e0 ELSE 0e0 END AS fmi,
       CASE WHEN elevation >= 876 THEN 1e0 WHEN elevation >= 628 THEN 2e0 WHEN elevation >= 380 THEN 3e0 WHEN elevation >= 132 THEN 4e0 ELSE 5e0 END
       + CASE WHEN a >= 337.5 OR a < 22.5 THEN 2.5e0 WHEN a < 67.5 THEN 4.5e0 WHEN a < 112.5 THEN 1.5e0 WHEN a < 202.5 THEN 4e0 WHEN a < 247.5 THEN 5e0 WHEN a < 292.5 THEN 2.5e0 WHEN a < 337.5 THEN 4.5e0 ELSE 0e0 END AS tmi
@@ -175,10 +178,12 @@ ORACLES = {
     "weather_features": q(f"SELECT {FEATURE} FROM wf"),
     "weather_features_chunked": q(f"SELECT grid_id, date, {r('effective_humidity')}, rne_temp, {r('dwi')} FROM wf").replace(WEATHER_WINDOW, "(PARTITION BY grid_id, month ORDER BY date)"),
     "safe_cast": "SELECT o_orderkey, TRY_CAST(raw AS DOUBLE) AS as_double, COALESCE(TRY_CAST(raw AS DOUBLE), 0) AS or_zero FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_orderkey % 100 AS VARCHAR) || '.5' END AS raw FROM orders)",
+    "whole_cast": "SELECT o_orderkey, CAST(number AS INTEGER) AS of_number, TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(number AS VARCHAR) END AS INTEGER) AS of_text FROM (SELECT o_orderkey, CAST(o_orderkey % 21 - 10 AS DOUBLE) + 0.5 AS number FROM orders)",
     "forest_score": q(f"SELECT grid_id, is_forest, forest_type_code, age_class_code, tree_height_code, {r('fmi fmi_n')} FROM forest"),
     "exposure_score": q(f"SELECT grid_id, {r('pole_count pole_n nearest_road_dist nearest_river_dist road_prox river_far forest_contact pei')} FROM expo"),
     "static_dedup": q(f"SELECT grid_id, {r('elevation slope aspect_sin aspect_cos Rm')} FROM cells"),
     "terrain_wind": q(f"SELECT grid_id, date, month, {r('elevation slope aspect_sin aspect_cos aspect_deg tmi_base_n tmi_p ywi Rm Ws Dr Da')} FROM terrain"),
+    "terrain_wind_to": q(f"SELECT grid_id, date, {r('Dr')}, ROUND(Rm * Ws * Dr * Da, 6) + 0 AS ywi, ROUND(0.55e0 * tmi_base_n + 0.25e0 * {UNIT.format('slope / 35e0')} + 0.2e0 * (Rm * Ws * Dr * Da), 6) + 0 AS tmi_p FROM tb").replace("- 270e0", "- 90e0"),
     "risk_index": q(f"SELECT grid_id, date, month, {r('day_weight dwi dwi_n fmi fmi_n tmi_base_n tmi_p pei ffdri pffdri')} FROM idx"),
     "final_dataset": q(f"SELECT grid_id, date, month, is_forest, forest_type_code, age_class_code, tree_height_code, {r('day_weight ta_mean ta_max hm_mean hm_min wind_ws_mean wind_ws_max wind_wd_sin_mean wind_wd_cos_mean rn_day_mean rn_day_max effective_humidity rne dwi dwi_n fmi fmi_n elevation slope aspect_sin aspect_cos aspect_deg tmi_base_n tmi_p ywi Rm Ws Dr Da pole_count pole_n nearest_road_dist nearest_river_dist road_prox river_far pei ffdri pffdri')} FROM fin"),
     "final_with_target": q("SELECT fire_label, COUNT(*) AS n, ROUND(AVG(pffdri), 6) AS avg_pffdri FROM (SELECT f.*, l.fire_label FROM fin f LEFT JOIN (SELECT DISTINCT grid_id, CASE WHEN grid_id IN (SELECT grid_id FROM near5 ) THEN 1 ELSE 0 END AS fire_label FROM fx_master_grid ) l ON f.grid_id = l.grid_id) GROUP BY fire_label"),
@@ -203,8 +208,10 @@ ORACLES = {
     "label_corr": q(f"SELECT x AS variable, r, abs(r) AS abs_r FROM ({_pairs('smp', [(c, 'fire_label') for c in SCORES])})"),
     "corr_matrix": _pairs("lineitem", [(a, b) for a in LINES for b in LINES]),
     "corr_pairs": f"SELECT * FROM ({_pairs('lineitem', [(a, b) for i, a in enumerate(LINES) for b in LINES[i + 1 :]])}) WHERE abs(r) >= 0.3",
+    "corr_pairs_weather": q(f"SELECT * FROM ({_pairs('wb', [(a, b) for i, a in enumerate(WEATHER_COLUMNS) for b in WEATHER_COLUMNS[i + 1 :]])}) WHERE abs(r) >= 0.3"),
     "category_top": q("SELECT CAST(forest_type_code AS VARCHAR) AS category, COUNT(*) AS row_count, COUNT(*) FILTER (fire_label = 1) AS positive_count, ROUND(AVG(ffdri), 6) AS avg_ffdri, ROUND(AVG(pffdri), 6) AS avg_pffdri, ROUND(COUNT(*) FILTER (fire_label = 1) / CAST(COUNT(*) AS DOUBLE), 6) AS positive_rate FROM smp GROUP BY forest_type_code ORDER BY positive_count DESC, row_count DESC, category LIMIT 20"),
     "metric_ranking": q(f"SELECT variable, positive_mean, ROUND(100e0 * c, 6) AS capture_pct FROM (SELECT *, t AS c FROM ({LIFT.replace('ROUND(SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos), 6) AS top10_capture', 'SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos) AS t')})) ORDER BY c DESC, variable LIMIT 4"),
+    "rankings": q(f"WITH l AS ({LIFT.replace('ROUND(SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos), 6)', 'SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos)').replace('ROUND(SUM(value * pos) / SUM(pos), 6) + 0', 'SUM(value * pos) / SUM(pos)')}), e AS (SELECT 'positive_mean' AS ranking, variable, positive_mean AS value, positive_mean AS rank_by FROM l UNION ALL SELECT 'top10_capture', variable, 100e0 * top10_capture, 100e0 * top10_capture FROM l UNION ALL SELECT 'label_correlation', x, r, abs(r) FROM ({_pairs('smp', [(c, 'fire_label') for c in SCORES])})) SELECT ranking, CAST(row_number() OVER (PARTITION BY ranking ORDER BY rank_by DESC, variable) AS INTEGER) AS place, variable, ROUND(value, 6) + 0 AS value FROM e"),
     "missing_profile": q("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, COUNT(*) - COUNT({c}) AS missing, ROUND(100e0 * (COUNT(*) - COUNT({c})) / COUNT(*), 6) AS missing_pct FROM fx_master_grid " for c in ["grid_id", "grid_x", "grid_y", "pole_count", "is_forest", "forest_type_code", "age_class_code", "tree_height_code", *ATTRIBUTES, "city_name"]) + ") WHERE missing > 0"),
     "iqr_outliers": q(f"WITH l AS ({_long('fx_master_grid', ATTRIBUTES)}), z AS (SELECT variable, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, COUNT(*) AS n FROM l GROUP BY variable) SELECT z.variable, ROUND(q1, 6) + 0 AS q1, ROUND(q3, 6) + 0 AS q3, ROUND(q3 - q1, 6) + 0 AS iqr, ROUND(q1 - 1.5 * (q3 - q1), 6) + 0 AS lower, ROUND(q3 + 1.5 * (q3 - q1), 6) + 0 AS upper, COUNT(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers, ROUND(100e0 * COUNT(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) / n, 6) AS outlier_pct FROM l JOIN z ON l.variable = z.variable GROUP BY z.variable, q1, q3, n"),
     "duplicate_profile": q("SELECT (SELECT COUNT(*) FROM fx_master_grid ) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM fx_master_grid )) AS duplicate_rows, (SELECT COUNT(*) - COUNT(DISTINCT grid_id) FROM fx_master_grid ) AS duplicate_keys"),
@@ -213,17 +220,18 @@ ORACLES = {
     "category_share": "SELECT c_mktsegment AS category, COUNT(*) AS n, ROUND(100e0 * COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS pct FROM customer GROUP BY c_mktsegment",
     "describe": f"SELECT variable, {DESCRIBED} FROM ({_long('lineitem', LINES)}) GROUP BY variable",
     "box_stats": "WITH v AS (SELECT l_returnflag AS grp, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem), z AS (SELECT grp, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM v GROUP BY grp) SELECT z.grp, ROUND(q25, 6) AS q25, ROUND(q50, 6) AS q50, ROUND(q75, 6) AS q75, ROUND(MIN(value) FILTER (value >= q25 - 1.5 * (q75 - q25)), 6) AS whisker_low, ROUND(MAX(value) FILTER (value <= q75 + 1.5 * (q75 - q25)), 6) AS whisker_high, COUNT(*) FILTER (value < q25 - 1.5 * (q75 - q25) OR value > q75 + 1.5 * (q75 - q25)) AS outliers FROM v JOIN z ON v.grp = z.grp GROUP BY z.grp, q25, q50, q75",
-    "daily_mean": q("SELECT date, " + ", ".join(f"ROUND(AVG({c}), 6) + 0 AS {c}" for c in ("ta_mean", "hm_mean", "wind_ws_mean", "rn_day_mean")) + " FROM wb GROUP BY date"),
+    "daily_mean": q("SELECT date, year(date) AS year, month(date) AS month_num, CASE month(date) WHEN 2 THEN '2월' WHEN 3 THEN '3월' WHEN 4 THEN '4월' WHEN 5 THEN '5월' END AS month_name, " + ", ".join(f"ROUND(AVG({c}), 6) + 0 AS {c}" for c in ("ta_mean", "hm_mean", "wind_ws_mean", "rn_day_mean")) + " FROM wb GROUP BY date"),
     "dry_streak": q("SELECT grid_id, date, CAST(streak AS BIGINT) AS streak FROM day"),
     "streak_fire_rate": q("SELECT CASE WHEN s <= 3 THEN '1-3' WHEN s <= 7 THEN '4-7' WHEN s <= 14 THEN '8-14' WHEN s <= 21 THEN '15-21' WHEN s <= 999 THEN '22+' END AS bin, COUNT(*) AS row_count, CAST(SUM(fire) AS BIGINT) AS positive_count, ROUND(100e0 * SUM(fire) / COUNT(*), 6) AS rate_pct FROM (SELECT *, GREATEST(streak, 1) AS s FROM flagged ) GROUP BY 1"),
     "flag_compare": q(" UNION ALL ".join(f"SELECT '{c}' AS variable, ROUND(quantile_cont({c}, 0.5) FILTER (fire = 1), 6) AS with_fire, ROUND(quantile_cont({c}, 0.5) FILTER (fire = 0), 6) AS without, ROUND(quantile_cont({c}, 0.5) FILTER (fire = 1) - quantile_cont({c}, 0.5) FILTER (fire = 0), 6) + 0 AS difference FROM flagged " for c in ("hm_mean", "rn_day_mean"))),
     "period_counts": q("SELECT CAST(m AS INT) AS month, n FROM range(1, 15) t(m) LEFT JOIN (SELECT occu_mt, COUNT(*) AS n FROM fx_fire_history GROUP BY occu_mt) f ON m = occu_mt"),
-    "amount_stats": q("SELECT COUNT(a) AS n, ROUND(AVG(a), 6) AS mean, ROUND(quantile_cont(a, 0.5), 6) AS median, ROUND(MAX(a), 6) AS max, COUNT(*) FILTER (a < 1) AS below_1, COUNT(*) FILTER (a >= 100) AS from_100, COUNT(*) FILTER (a >= 1000) AS from_1000, ROUND(AVG(CASE WHEN a > 0 THEN log10(a) END), 6) AS log_mean FROM (SELECT CAST(amount AS DOUBLE) / 10000 AS a FROM fx_fire_history )"),
-    "amount_bins": q("SELECT CASE WHEN a >= 0 AND a < 1 THEN '<1' WHEN a >= 1 AND a < 10 THEN '1-10' WHEN a >= 10 AND a < 100 THEN '10-100' WHEN a >= 100 AND a < 1000 THEN '100-1000' WHEN a >= 1000 AND a < 1e9 THEN '>=1000' END AS bin, COUNT(*) AS n, ROUND(SUM(a), 6) AS total FROM (SELECT CAST(amount AS DOUBLE) / 1000 AS a FROM fx_fire_history WHERE amount IS NOT NULL) GROUP BY 1"),
+    "amount_stats": q("SELECT COUNT(a) AS n, ROUND(AVG(a), 6) AS mean, ROUND(quantile_cont(a, 0.5), 6) AS median, ROUND(MIN(a), 6) AS min, ROUND(MAX(a), 6) AS max, COUNT(*) FILTER (a < 1) AS below_1, COUNT(*) FILTER (a >= 100) AS from_100, COUNT(*) FILTER (a >= 1000) AS from_1000, ROUND(AVG(CASE WHEN a > 0 THEN log10(a) END), 6) AS log_mean FROM (SELECT CAST(amount AS DOUBLE) / 10000 AS a FROM fx_fire_history )"),
+    "amount_bins": q("SELECT CASE WHEN a >= 0 AND a < 1 THEN '<1' WHEN a >= 1 AND a < 10 THEN '1-10' WHEN a >= 10 AND a < 100 THEN '10-100' WHEN a >= 100 AND a < 1000 THEN '100-1000' WHEN a >= 1000 AND a < 1e9 THEN '>=1000' END AS bin, COUNT(*) AS n, ROUND(SUM(a), 6) AS total FROM (SELECT CAST(amount AS DOUBLE) / 10000 AS a FROM fx_fire_history WHERE amount IS NOT NULL) GROUP BY 1"),
     "top_rest": q("SELECT CASE WHEN k <= 8 THEN resn ELSE 'rest' END AS category, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT resn, COUNT(*) AS n, row_number() OVER (ORDER BY COUNT(*) DESC, resn) AS k FROM fx_fire_history GROUP BY resn) GROUP BY 1"),
     "seeded_sample": q(f"SELECT objt_id, occu_date, {_bucket("objt_id || '|7'")} AS bucket FROM fx_fire_history ORDER BY bucket, objt_id LIMIT 50"),
     "risk_grade": q("SELECT CASE WHEN ffdri >= 86 THEN 'Extreme' WHEN ffdri >= 66 THEN 'High' WHEN ffdri >= 51 THEN 'Moderate' ELSE 'Low' END AS grade, ffdri >= 66 AS alarm, COUNT(*) AS n FROM idx GROUP BY 1, 2"),
     "validation_metrics": q("SELECT ROUND(tp / NULLIF(tp + fn, 0), 6) AS recall, ROUND(tp / NULLIF(tp + fp, 0), 6) AS precision, ROUND(5 * tp / NULLIF(5 * tp + 4 * fn + fp, 0), 6) AS f2, ROUND((tp + fp) / NULLIF(n, 0), 6) AS flagged_share FROM (SELECT CAST(COUNT(*) FILTER (ffdri >= 50 AND fire_label = 1) AS DOUBLE) AS tp, COUNT(*) FILTER (ffdri >= 50 AND fire_label <> 1) AS fp, COUNT(*) FILTER (NOT ffdri >= 50 AND fire_label = 1) AS fn, COUNT(*) AS n FROM smp )"),
+    "top_hit_rate": q("SELECT CAST(k AS DOUBLE) AS share, ROUND(SUM(CASE WHEN cd <= k THEN fire_label ELSE 0 END) / SUM(fire_label), 6) AS hit_rate FROM (SELECT fire_label, CUME_DIST() OVER (ORDER BY ffdri DESC) AS cd FROM smp WHERE ffdri IS NOT NULL), (VALUES (0.05), (0.1), (0.3)) t(k) GROUP BY k"),
     "pole_exposure": q(f"SELECT city, COUNT(*) FILTER (days > 0) AS cells_at_risk, ROUND(COALESCE(SUM(pole_count) FILTER (days > 0), 0), 6) AS poles_at_risk, ROUND(SUM(pole_count * COALESCE(days, 0)), 6) AS pole_days FROM ({CITIES}) c LEFT JOIN (SELECT grid_id, COUNT(DISTINCT date) AS days FROM idx WHERE ffdri >= 66 GROUP BY grid_id) k ON c.grid_id = k.grid_id GROUP BY city"),
     "monthly_check": q("SELECT month, COUNT(*) AS row_count, " + ", ".join(f"ROUND({f}({c}), 6) + 0 AS {f}_{c}" for c in ("ffdri", "pffdri") for f in ("min", "avg", "max")) + " FROM idx GROUP BY month"),
     "time_split": q("SELECT CASE WHEN year(date) <= 1995 THEN 'train' WHEN year(date) <= 1996 THEN 'valid' ELSE 'predict' END AS part, COUNT(*) AS n, ROUND(AVG(pffdri), 6) AS avg_pffdri FROM idx GROUP BY 1"),

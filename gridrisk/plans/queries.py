@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridrisk.functions import exprs as E
-from gridrisk.operators import events, profile, risk, sample, static, weather
+from gridrisk.operators import events, profile, risk, sample, static, summaries, weather
 from gridrisk.plans import fixtures as fx
 from gridrisk.sources import readers
 
@@ -59,7 +59,7 @@ def _target(s: SparkSession, d: str, size: int) -> DataFrame:
 
 
 def _sample(s: SparkSession, d: str) -> DataFrame:
-    return sample.labelled(_final(s, d), _target(s, d, 500), ratio=2)
+    return sample.labelled(_final(s, d), _target(s, d, 500), ratio=2, keys=fx.weather(s, d))
 
 
 def _seasonal(s: SparkSession, d: str) -> DataFrame:
@@ -87,12 +87,12 @@ def months_available(s, d):
 
 @query
 def table_summary(s, d):
-    return fx.weather(s, d).agg(F.count("*").alias("row_count"), F.countDistinct("grid_id").alias("grid_count"), F.min("date").alias("min_date"), F.max("date").alias("max_date"), F.countDistinct("month").alias("month_count"))
+    return summaries.table_ranges(fx.weather(s, d))
 
 
 @query
 def month_summary(s, d):
-    return fx.weather(s, d).groupBy("month").agg(F.count("*").alias("row_count"), F.countDistinct("grid_id").alias("grid_count"), F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    return summaries.table_ranges(fx.weather(s, d), ["month"])
 
 
 # Weather
@@ -148,6 +148,14 @@ def safe_cast(s, d):
     return raw.select("o_orderkey", E.real("raw").alias("as_double"), F.coalesce(E.real("raw"), F.lit(0.0)).alias("or_zero"))
 
 
+@query
+def whole_cast(s, d):
+    """Halves as text and as double."""
+    half = (F.col("o_orderkey") % 21 - 10) + F.lit(0.5)
+    raw = fx.table(s, d, "orders").select("o_orderkey", half.alias("number"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(half.cast("string")).alias("words"))
+    return raw.select("o_orderkey", E.whole("number").alias("of_number"), E.whole("words").alias("of_text"))
+
+
 @query
 def forest_score(s, d):
     return static.forest(fx.master_grid(s, d))
@@ -171,6 +179,12 @@ def terrain_wind(s, d):
     return risk.terrain_wind(_features(s, d), _cells(s, d))
 
 
+@query
+def terrain_wind_to(s, d):
+    """Bearings that say where the wind blows to."""
+    return risk.terrain_wind(_features(s, d), _cells(s, d), mode="to").select("grid_id", "date", "Dr", "ywi", "tmi_p")
+
+
 @query
 def risk_index(s, d):
     return _index(s, d)
@@ -320,6 +334,12 @@ def corr_pairs(s, d):
     return profile.strong_pairs(fx.table(s, d, "lineitem"), LINE_NUMBERS)
 
 
+@query
+def corr_pairs_weather(s, d):
+    """Columns of which some are strongly correlated."""
+    return profile.strong_pairs(weather.base(fx.weather(s, d)), ["ta_mean", "ta_max", "td_mean", "hm_mean", "wind_uu_mean"])
+
+
 @query
 def category_top(s, d):
     return profile.categories(_sample(s, d), "forest_type_code", ["ffdri", "pffdri"])
@@ -331,6 +351,11 @@ def metric_ranking(s, d):
     return ranks.orderBy(F.desc("capture_pct"), "variable").limit(4)
 
 
+@query
+def rankings(s, d):
+    return summaries.rankings(_sample(s, d), SCORES)
+
+
 @query
 def missing_profile(s, d):
     return profile.missing(fx.master_grid(s, d))
@@ -376,8 +401,7 @@ def box_stats(s, d):
 
 @query
 def daily_mean(s, d):
-    w = weather.base(fx.weather(s, d))
-    return w.groupBy("date").agg(*[F.avg(c).alias(c) for c in ("ta_mean", "hm_mean", "wind_ws_mean", "rn_day_mean")])
+    return summaries.with_season(summaries.daily_means(weather.base(fx.weather(s, d)), ["ta_mean", "hm_mean", "wind_ws_mean", "rn_day_mean"]))
 
 
 def _daily(s: SparkSession, d: str) -> DataFrame:
@@ -406,30 +430,22 @@ def streak_fire_rate(s, d):
 @query
 def flag_compare(s, d):
     df = _daily(s, d).join(_fire_days(s, d), "date", "left").withColumn("fire", F.coalesce("fire", F.lit(0)))
-    rows = profile.long_form(df, ["hm_mean", "rn_day_mean"], ["fire"])
-    out = rows.groupBy("variable").agg(F.median(F.when(F.col("fire") == 1, F.col("value"))).alias("with_fire"), F.median(F.when(F.col("fire") == 0, F.col("value"))).alias("without"))
-    return out.withColumn("difference", F.col("with_fire") - F.col("without"))
+    return summaries.flag_medians(df, ["hm_mean", "rn_day_mean"], "fire")
 
 
 @query
 def period_counts(s, d):
-    found = fx.fire_history(s, d).groupBy(F.col("occu_mt").alias("month")).agg(F.count("*").alias("n"))
-    months = s.range(1, 15).select(F.col("id").cast("int").alias("month"))
-    return months.join(found, "month", "left")
+    return summaries.period_counts(fx.fire_history(s, d), "occu_mt", range(1, 15)).withColumnRenamed("period", "month")
 
 
 @query
 def amount_stats(s, d):
-    a = fx.fire_history(s, d).select((F.col("amount") / 10000).alias("a"))
-    log = F.when(F.col("a") > 0, F.log10("a"))
-    return a.agg(F.count("a").alias("n"), F.avg("a").alias("mean"), F.median("a").alias("median"), F.max("a").alias("max"), F.count_if(F.col("a") < 1).alias("below_1"), F.count_if(F.col("a") >= 100).alias("from_100"), F.count_if(F.col("a") >= 1000).alias("from_1000"), F.avg(log).alias("log_mean"))
+    return summaries.amount_stats(fx.fire_history(s, d))
 
 
 @query
 def amount_bins(s, d):
-    a = fx.fire_history(s, d).where("amount IS NOT NULL").select((F.col("amount") / 1000).alias("a"))
-    out = a.groupBy(E.left_closed(F.col("a"), [0, 1, 10, 100, 1000, 1e9], ["<1", "1-10", "10-100", "100-1000", ">=1000"]).alias("bin")).agg(F.count("*").alias("n"), F.sum("a").alias("total"))
-    return out
+    return summaries.amount_bins(fx.fire_history(s, d), summaries.scaled_amount())
 
 
 @query
@@ -439,8 +455,7 @@ def top_rest(s, d):
 
 @query
 def seeded_sample(s, d):
-    bucket = E.hash_bucket([F.col("objt_id")], 7)
-    return fx.fire_history(s, d).select("objt_id", "occu_date", bucket.alias("bucket")).orderBy("bucket", "objt_id").limit(50)
+    return summaries.hashed_sample(fx.fire_history(s, d).select("objt_id", "occu_date"), [F.col("objt_id")], 7, 50, ["objt_id"])
 
 
 # Documented additions
@@ -456,6 +471,11 @@ def validation_metrics(s, d):
     return risk.validation(_sample(s, d), "ffdri", "fire_label", 50.0)
 
 
+@query
+def top_hit_rate(s, d):
+    return risk.top_hit_rate(_sample(s, d), "ffdri", "fire_label", (0.05, 0.1, 0.3))
+
+
 @query
 def pole_exposure(s, d):
     m = fx.master_grid(s, d).groupBy("grid_id").agg(F.min(F.replace(F.trim("city_name"), F.lit(" "), F.lit(""))).alias("city"), F.max(F.coalesce(E.real("pole_count"), F.lit(0.0))).alias("pole_count"))
@@ -464,7 +484,7 @@ def pole_exposure(s, d):
 
 @query
 def monthly_check(s, d):
-    return _index(s, d).groupBy("month").agg(F.count("*").alias("row_count"), *[f(c).alias(f"{n}_{c}") for c in ("ffdri", "pffdri") for n, f in (("min", F.min), ("avg", F.avg), ("max", F.max))])
+    return summaries.monthly_ranges(_index(s, d), ["ffdri", "pffdri"])
 
 
 @query
@@ -474,32 +494,20 @@ def time_split(s, d):
 
 @query
 def hourly_to_daily(s, d):
-    """Sentinels to null, direction as the circular mean of degrees."""
-    v = F.nullif(F.nullif(F.col("value").cast("double"), F.lit(-9990.0)), F.lit(-9999.0))
-    e = fx.table(s, d, "events").select(F.to_date("ts").alias("date"), v.alias("v"), F.radians(F.col("value").cast("double") * 36.0 % 360.0).alias("a"))
-    out = e.groupBy("date").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.avg(F.sin("a")).alias("sin_mean"), F.avg(F.cos("a")).alias("cos_mean"), F.count("*").alias("n"))
-    return out
+    return summaries.hourly_to_daily(fx.table(s, d, "events"), "ts", "value", F.col("value").cast("double") * 36.0 % 360.0)
 
 
 @query
 def feature_transforms(s, d):
-    m = fx.master_grid(s, d)
-    q = m.agg(F.percentile("nearest_road_dist", 0.25).alias("a"), F.percentile("nearest_road_dist", 0.5).alias("b"), F.percentile("nearest_road_dist", 0.75).alias("c"))
-    road = F.greatest(F.col("nearest_road_dist"), F.lit(0.0))
-    df = m.crossJoin(F.broadcast(q))  # one row
-    codes = [(F.coalesce("forest_type_code", F.lit(0)) == k).cast("int").alias(f"type_{k}") for k in range(5)]
-    robust = (F.col("nearest_road_dist") - F.col("b")) / F.nullif(F.col("c") - F.col("a"), F.lit(0.0))
-    return df.select("grid_id", "city_name", F.log1p(road).alias("road_log"), F.least(road, F.lit(50.0)).alias("road_capped"), robust.alias("road_robust"), *codes)
+    return summaries.transformed(fx.master_grid(s, d)).select("grid_id", "city_name", "road_log", "road_capped", "road_robust", *[f"type_{k}" for k in range(5)])
 
 
 @query
 def class_weights(s, d):
-    counts = _sample(s, d).groupBy("fire_label").agg(F.count("*").alias("n"))
-    both = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    return counts.crossJoin(F.broadcast(both)).select("fire_label", "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
+    return summaries.class_weights(_sample(s, d), "fire_label")
 
 
 @query
 def city_risk(s, d):
     m = fx.master_grid(s, d).groupBy("grid_id").agg(F.min(F.replace(F.trim("city_name"), F.lit(" "), F.lit(""))).alias("city"))
-    return _index(s, d).join(m, "grid_id").groupBy("city").agg(F.count("*").alias("n"), F.avg("ffdri").alias("avg_ffdri"), F.max("ffdri").alias("max_ffdri"), F.avg("pffdri").alias("avg_pffdri"))
+    return summaries.city_risk(_index(s, d), m)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridrisk.functions.exprs import SCALED_BY_TEN
 
+#: Longer lists of cells become a join.
+MOST_LISTED = 1_000
+
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """A partitioned Parquet tree; files may lack columns that others have."""
@@ -25,8 +30,20 @@ def read_source(spark: SparkSession, name: str, path: str | None = None) -> Data
     return spark.read.parquet(path) if path else spark.table(name)
 
 
-def read_events_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    return spark.read.csv(path, header=True, encoding=encoding)
+#: Decoders of Java for the encodings that event files come in.
+DECODERS = {"utf-8-sig": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR"}
+
+
+def read_events_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A CSV file with a header, in an encoding; without one, UTF-8 if all of the text is valid so, else cp949, which holds
+    EUC-KR. For other encodings than Unicode the session is set to admit all of Java's."""
+    if encoding is None:
+        valid = spark.read.text(path).agg(F.every(F.is_valid_utf8("value"))).first()[0]
+        encoding = "cp949" if valid is False else "utf-8-sig"
+    name = DECODERS.get(encoding.lower(), encoding)
+    if not name.upper().startswith("UTF"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return spark.read.csv(path, header=True, encoding=name)
 
 
 def require_columns(df: DataFrame, required: list[str], name: str) -> DataFrame:
@@ -51,11 +68,32 @@ def in_dates(df: DataFrame, months: list[str] | None = None, start: str | None =
     return df
 
 
+def with_lookback(df: DataFrame, days: int, months: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The days of a window and so many days before it. months: before each of them; the earlier months are read for
+    their last days only."""
+    back = lambda day: day - dt.timedelta(days=days)
+    if start:
+        start = back(dt.date.fromisoformat(start)).isoformat()
+    if not months:
+        return in_dates(df, None, start, end)
+    firsts = [dt.date.fromisoformat(f"{m}-01") for m in sorted(set(months))]
+    read = sorted({f"{d:%Y-%m}" for first in firsts for d in (first, back(first))})
+    tails = [(F.col("month") == f"{first:%Y-%m}") | F.col("date").between(F.lit(back(first)), F.lit(first - dt.timedelta(days=1))) for first in firsts]
+    near = tails[0]
+    for tail in tails[1:]:
+        near = near | tail
+    return in_dates(df, read, start, end).where(near)
+
+
 def weather(df: DataFrame, months: list[str] | None = None, start: str | None = None, end: str | None = None, cells: list[str] | None = None, columns: list[str] | None = None, scale: bool = True) -> DataFrame:
     """Chosen columns of the weather fact with optional filters; tenths become units if scale."""
     df = in_dates(df, months, start, end)
     if cells:
-        df = df.where(F.col("grid_id").isin(cells))
+        if len(cells) <= MOST_LISTED:
+            df = df.where(F.col("grid_id").isin(cells))
+        else:
+            wanted = df.sparkSession.createDataFrame([(c,) for c in set(cells)], "grid_id string")
+            df = df.join(wanted, "grid_id", "left_semi")
     names = columns or df.columns
     require_columns(df, names, "weather")
     return df.select(*[(F.col(c).cast("double") / 10.0).alias(c) if scale and c in SCALED_BY_TEN else F.col(c) for c in names])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 
 
 def replace_table(df: DataFrame, name: str) -> None:
@@ -13,19 +13,28 @@ def append_table(df: DataFrame, name: str) -> None:
     df.write.mode("append").saveAsTable(name)
 
 
+LEVEL_KEYS = {"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level", "brotli": "compression.brotli.quality"}
+
+#: Hadoop's names of the levels of zlib, 0 to 9.
+ZLIB_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
+
+
+def _compressed(df: DataFrame, codec: str, level: int | None) -> DataFrameWriter:
+    writer = df.write.option("compression", codec)
+    if level is None:
+        return writer
+    return writer.option(LEVEL_KEYS[codec], ZLIB_LEVELS[level] if codec == "gzip" else str(level))
+
+
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", level: int | None = None, mode: str = "error") -> None:
     """level: for zstd, gzip and brotli."""
-    writer = df.write.mode(mode).option("compression", codec)
-    if level is not None:
-        key = {"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level", "brotli": "compression.brotli.quality"}[codec]
-        writer = writer.option(key, str(level))
-    writer.parquet(path)
+    _compressed(df, codec, level).mode(mode).parquet(path)
 
 
-def write_months(df: DataFrame, path: str, how: str = "months", codec: str = "zstd") -> None:
+def write_months(df: DataFrame, path: str, how: str = "months", codec: str = "zstd", level: int | None = None) -> None:
     """Partitions by month. how: 'all' replaces everything, 'months' only the months in df, 'append' adds rows (twice
     if run twice)."""
-    writer = df.write.option("compression", codec).partitionBy("month")
+    writer = _compressed(df, codec, level).partitionBy("month")
     if how == "months":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.mode("append" if how == "append" else "overwrite").parquet(path)
