@@ -72,9 +72,9 @@ def with_statistics(docs: DataFrame, text: Column, keys: list[str], out: str) ->
 
 def fit_quality(measured: DataFrame, labels: DataFrame, most_labels: int = 20_000, **params) -> boosting.Forest:
     """measured: doc_id and stats. labels: doc_id and a 0/1 ``label``. An id that is measured or labelled more than
-    once counts once."""
+    once counts once, with its least statistics."""
     known = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).toPandas().drop_duplicates("doc_id")
+    rows = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "stats").limit(most_labels).toPandas().drop_duplicates("doc_id")
     x = np.stack(rows["stats"].to_numpy()) if len(rows) else np.zeros((0, len(STATISTICS)))
     return boosting.fit(x, rows["label"].to_numpy(float), **params)
 

@@ -18,7 +18,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), label_fold(F.col("doc_id"), 3)
     forest = quality.learn_quality(docs, _labels(spark, sf_dir, "quality"), fold != 1)
     scored = quality.score_quality(docs, forest)
-    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), label_fold(F.col("doc_id"), 3)
     index = toxicity.learn_toxicity(docs, _labels(spark, sf_dir, "toxic"), fold != 1)
     scored = toxicity.score_toxicity(docs, index)
-    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
