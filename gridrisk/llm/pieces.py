@@ -41,7 +41,7 @@ GIVEN_RANK = 1000
 
 #: Units of a lattice are characters that are pieces, by code point, and the bytes of all others, from here on.
 BYTE_UNITS = 0x110000
-TABLE_BITS = 22
+TABLE_BITS = 20
 #: Bits of a draw and of a cumulated share.
 SHARE_BITS = 32
 
@@ -139,9 +139,10 @@ def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
     the chunk's start), its piece and the greatest draw that picks it or an edge before it."""
     units, sizes = model.units(chunks)
     ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(units))  # units from here to the chunk's end
-    inside = np.repeat(sizes, sizes) - left  # units before this one
-    at, h, starts, lengths, places = np.arange(len(units)), None, [], [], []
+    every = np.arange(len(units), dtype=np.int32)
+    left = np.repeat(ends.astype(np.int32), sizes) - every  # units from here to the chunk's end
+    inside = np.repeat(sizes.astype(np.int32), sizes) - left  # units before this one
+    at, h, starts, lengths, places = every, None, [], [], []
     for length in range(1, model.longest + 1):
         if length > 1:
             keep = left[at] >= length
@@ -155,12 +156,13 @@ def lattices(model: Model, chunks: list[str]) -> tuple[np.ndarray, ...]:
         at, h, full, slots = at[keep], h[keep], full[keep], slots[keep]
         hit, place = model.places(full, slots)
         starts.append(at[hit])
-        lengths.append(np.full(len(hit), length))
+        lengths.append(np.full(len(hit), length, np.int32))
         places.append(place)
-    start, length, piece = (np.concatenate(x[::-1]) for x in (starts, lengths, places))
-    end = start + length - 1
+    start, piece = np.concatenate(starts[::-1]), np.concatenate(places[::-1])
+    end = start + np.concatenate(lengths[::-1]) - 1
+    del starts, lengths, places, at, h, left
     depth = inside[end]
-    order = np.argsort(depth * len(units) + end, kind="stable")  # place by place in all chunks at once
+    order = np.argsort(depth.astype(np.int64) * len(units) + end, kind="stable")  # place by place in all chunks at once
     start, end, piece, depth = start[order], end[order], piece[order], depth[order]
     froms = np.where(inside[start] == 0, -1, start - 1)
     weights, alpha, share = model.weights[piece], np.zeros(len(units) + 1), np.empty(len(start))
