@@ -33,19 +33,23 @@ def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, same).drop(*[f"__{k}" for k in keys])
 
 
-def ranked(rows: DataFrame, by: list[str], *sums: Column) -> DataFrame:
-    """Per group and distinct ``value``: n, the sums (by their names), ``below`` (rows of the group with less) and ``total``
-    (rows of the group). Groups are cut into ranges of values at approximate quantiles and ranked range by range, so a
+def ranked(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """Per group and distinct ``value``: n, ``below`` (rows of the group with less) and ``total`` (rows of the group), and
+    each of the named sums, with ``below_`` and ``total_`` of it. All steps use the same columns of the counts, so that
+    Spark makes these once. Groups are cut into ranges of values at approximate quantiles and ranked range by range, so a
     group of any size makes many tasks, none of which holds more than a range; the counts are exact. Nulls are left out."""
-    counts = rows.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"), *sums)
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 50 * RANGES).alias("cuts"), F.sum("n").alias("total"))
+    after = {"n": "", **{name: f"_{name}" for name in sums}}  # behind total, inside, before and below
+    counts = rows.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"), *[c.alias(name) for name, c in sums.items()])
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 50 * RANGES).alias("cuts"), *[F.sum(c).alias(f"total{x}") for c, x in after.items()])
     placed = _beside(counts, cuts, by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    sizes = placed.groupBy(*by, "range").agg(F.sum("n").alias("inside"))
+    sizes = placed.groupBy(*by, "range").agg(*[F.sum(c).alias(f"inside{x}") for c, x in after.items()])
     # A group has RANGES rows here.
-    sizes = sizes.withColumn("before", F.sum("inside").over(Window.partitionBy(*by).orderBy("range")) - F.col("inside"))
-    out = _beside(placed, sizes.drop("inside"), [*by, "range"])
-    upto = F.sum("n").over(Window.partitionBy(*by, "range").orderBy("value"))
-    return out.withColumn("below", F.col("before") + upto - F.col("n")).drop("before", "range")
+    earlier = Window.partitionBy(*by).orderBy("range")
+    sizes = sizes.select(*by, "range", *[(F.sum(f"inside{x}").over(earlier) - F.col(f"inside{x}")).alias(f"before{x}") for x in after.values()])
+    out = _beside(placed, sizes, [*by, "range"])
+    lower = Window.partitionBy(*by, "range").orderBy("value")
+    out = out.withColumns({f"below{x}": F.col(f"before{x}") + F.sum(c).over(lower) - F.col(c) for c, x in after.items()})
+    return out.drop("range", *[f"before{x}" for x in after.values()])
 
 
 def quantile_columns(shares: dict[str, float]) -> list[Column]:
@@ -80,13 +84,18 @@ def describe(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame
     return _beside(rest, middle, keys).select(*keys, "n", "mean", "std", "min", *QUARTILES, "max")
 
 
+def captured(share: float) -> Column:
+    """Aggregate over ``ranked`` rows with pos: the positives in the top share."""
+    top = (F.col("total") - F.col("below")) / F.col("total")
+    return F.coalesce(F.max(F.when(top <= share, F.col("total_pos") - F.col("below_pos"))), F.lit(0))
+
+
 def lift(df: DataFrame, columns: list[str], label: str = "fire_label", shares: tuple = (0.1, 0.2)) -> DataFrame:
     """Share of positives in the top shares by score. A row is in the top p if the rows scored as high or higher are at
     most p of all."""
-    scores = ranked(long_form(df, columns, [label]), ["variable"], F.count_if(F.col(label) == 1).alias("pos"))
-    scores = scores.withColumn("top", (F.col("total") - F.col("below")) / F.col("total"))
-    total, mean = F.sum("pos"), lambda w: F.sum(F.col("value") * w) / F.nullif(F.sum(w), F.lit(0))
-    out = [F.try_divide(F.sum(F.when(F.col("top") <= p, F.col("pos")).otherwise(0)), total).alias(f"top{int(p * 100)}_capture") for p in shares]
+    scores = ranked(long_form(df, columns, [label]), ["variable"], pos=F.count_if(F.col(label) == 1))
+    total, mean = F.max("total_pos"), lambda w: F.sum(F.col("value") * w) / F.nullif(F.sum(w), F.lit(0))
+    out = [F.try_divide(captured(p), total).alias(f"top{int(p * 100)}_capture") for p in shares]
     return scores.groupBy("variable").agg(total.alias("positives"), *out, mean(F.col("pos")).alias("positive_mean"), mean(F.col("n") - F.col("pos")).alias("negative_mean"))
 
 

@@ -76,9 +76,8 @@ def validation(df: DataFrame, score: str, label: str, cut: float) -> DataFrame:
 def top_hit_rate(df: DataFrame, score: str, label: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
     """Per share k the part of the positives that lie in the top k of the rows by score. Rows of equal score are in together
     if all rows scored as high make at most that share."""
-    ranked = profile.ranked(profile.long_form(df, [score], [label]), ["variable"], F.count_if(F.col(label) == 1).alias("pos"))
-    above = (F.col("total") - F.col("below")) / F.col("total")
-    rates = F.array(*[F.struct(F.lit(k).alias("share"), F.try_divide(F.sum(F.when(above <= k, F.col("pos")).otherwise(0)), F.sum("pos")).alias("hit_rate")) for k in shares])
+    ranked = profile.ranked(profile.long_form(df, [score], [label]), ["variable"], pos=F.count_if(F.col(label) == 1))
+    rates = F.array(*[F.struct(F.lit(k).alias("share"), F.try_divide(profile.captured(k), F.max("total_pos")).alias("hit_rate")) for k in shares])
     return ranked.agg(rates.alias("r")).select(F.inline("r"))
 
 
