@@ -1,14 +1,19 @@
 """A log-bilinear language model trained with noise-contrastive estimation.
 
-Tokens map to at most CLASSES classes: the commonest training tokens stand alone, all others share a class by their last
-two characters, and the end of a text is a token. The context of two preceding classes predicts the next class:
-``score(w | a, b) = (C1 R[a] + C2 R[b]) . Q[w] + bias[w]``, normalised by a softmax over all classes. A token inside its
-class has the add-one probability (c + 1) / (N_class + V_class + 1) of its exact training count c. So every text has a
-proper probability.
-
-What the model learns from is counted over all training texts, not sampled: exact counts of every token, and counts of
-every class triple (at most CLASSES ** 3 of them). NCE draws its minibatches by the triple counts on the driver. Given a
-context only CLASSES ** 2 batched matrix products exist, so each task computes the table of log-probabilities once.
+Tokens map to classes: the commonest training tokens stand alone, others share a class by their last two characters if
+that ending is common, the rest share one, and the end of a text is a token. There are 4 N ** 0.25 classes (128 at least)
+for N training tokens, two thirds of them single words, so the words with vectors of their own grow with the corpus while
+a square table of classes, the largest thing that tasks hold, grows with the square root of it. The context of two
+preceding classes predicts the next class: ``score(w | a, b) = (C1 R[a] + C2 R[b]) . Q[w] + bias[w]``, normalised by a
+softmax over all classes. A token inside its class has the add-one probability (c + 1) / (N_class + V_class + 1) of its
+exact training count c. So every text has a proper probability.
+
+What the model learns from is gathered from all training texts: exact counts of every token, and all class triples,
+counted in chunks of some CHUNK tokens. The chunks stay where tasks wrote them. In each of a few rounds every task trains
+on its chunks with numpy, in NCE minibatches whose number is in proportion to the tokens of the chunk, and Spark averages
+the parameters of the tasks, weighted by tokens. Since the score is bilinear, a token needs three look-ups in square
+tables: one product for each preceding class, and the logarithm of the normaliser, which tasks compute once for all pairs
+of classes by matrix products.
 
 Counts of rare tokens reach the texts without a join on words: each task packs (token hash, text, count) into blocks by
 hash range; a range holds all of a token's occurrences, learning and held out, so it computes the counts and gives each
@@ -27,13 +32,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrisk.llm.common import in_arrow, stored
+from gridrisk.llm.common import discard, in_arrow, stored
 from gridrisk.llm.text import Hashes, lower_words, word_hashes
 
-CLASSES, ENDINGS, HOT = 128, 40, 65_536
+LEAST_CLASSES, HOT, CHUNK = 128, 65_536, 2_000_000
+#: Training draws one token of so many, over all rounds.
+TOKENS_PER_DRAW, BATCH = 8, 1024
 #: The end of a text: words are never empty, so the empty word stands for it.
 END = b""
 
@@ -54,6 +61,14 @@ class Vocabulary:
     def size(self) -> int:
         return 2 + len(self.alone) + len(self.endings)
 
+    def unigram(self) -> np.ndarray:
+        """Smoothed shares of the classes among the training tokens."""
+        tokens = self.class_tokens.copy()
+        tokens[0] = self.hot.get(END, 0)
+        for word, k in self.alone.items():
+            tokens[k] = self.hot[word]
+        return (tokens + 0.5) / (tokens + 0.5).sum()
+
     def class_of(self, word: bytes) -> int:
         if word == END:
             return 0
@@ -75,6 +90,11 @@ class Classes(dict):
         return c
 
 
+def class_number(tokens: int) -> int:
+    """How many classes a corpus of so many tokens gets."""
+    return max(LEAST_CLASSES, int(4 * tokens**0.25))
+
+
 def count_tokens(texts: DataFrame, text: Column) -> DataFrame:
     """Exact counts (token, count) over all texts, ends included; each task adds up before the shuffle."""
 
@@ -97,15 +117,18 @@ def count_tokens(texts: DataFrame, text: Column) -> DataFrame:
 
 
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    """counts: a stored table of count_tokens. Collects HOT tokens, ENDINGS endings and CLASSES sums."""
+    """counts: a stored table of count_tokens. Collects the commonest tokens, HOT or as many as have classes of their
+    own, and the endings that have a class."""
     total, distinct = counts.agg(F.sum("count"), F.count("*")).first()
-    hot = {bytes(r["token"]): r["count"] for r in counts.orderBy(F.desc("count"), "token").limit(HOT).collect()}
+    classes_in_all = class_number(total or 0)
+    most_endings = classes_in_all // 3 - 2
+    hot = {bytes(r["token"]): r["count"] for r in counts.orderBy(F.desc("count"), "token").limit(max(HOT, classes_in_all)).collect()}
     ending = F.right(F.col("token").cast("string"), F.lit(2)).cast("binary")
     words = [w for w in hot if w != END]
-    alone = {w: k + 1 for k, w in enumerate(words[: CLASSES - ENDINGS - 2])}
+    alone = {w: k + 1 for k, w in enumerate(words[: classes_in_all - most_endings - 2])}
     rest = counts.where((F.octet_length("token") > 0) & ~F.col("token").isin(list(map(bytearray, alone)) or [bytearray(b"\x00")]))
     by_ending = rest.groupBy(ending.alias("e")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).orderBy(F.desc("n"), "e")
-    top = by_ending.limit(ENDINGS).collect()
+    top = by_ending.limit(most_endings).collect()
     endings = {bytes(r["e"]): len(alone) + 1 + k for k, r in enumerate(top)}
     size = 2 + len(alone) + len(endings)
     tokens, kinds = np.zeros(size), np.zeros(size)
@@ -116,22 +139,30 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(hot, alone, endings, total or 0, distinct, tokens, kinds)
 
 
-def count_triples(texts: DataFrame, text: Column, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and counts of all class triples (before last, last, next); texts start after two ends."""
+def count_triples(texts: DataFrame, text: Column, vocabulary: Vocabulary) -> DataFrame:
+    """A stored table of chunks (tokens, cells, counts): the class triples (before last, last, next) of some CHUNK tokens
+    each and how often they occur there. Texts start after two ends."""
     shared, size = texts.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.size
 
+    def chunk(runs: list[np.ndarray]) -> pa.RecordBatch:
+        cells, counts = np.unique(np.concatenate(runs), return_counts=True)
+        row = [pa.array([int(counts.sum())]), pa.array([cells.tobytes()], pa.binary()), pa.array([counts.astype(np.int32).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, names=["tokens", "cells", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Classes(shared.value), np.zeros(size**3, np.int64)
+        known, runs, tokens = Classes(shared.value), [], 0
         for batch in batches:
-            runs = [classes(lower_words(t.as_py()), known) for t in batch.column(0)]
-            if runs:
-                total += np.bincount(np.concatenate([(c[:-2] * size + c[1:-1]) * size + c[2:] for c in runs]), minlength=size**3)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "count"])
+            for t in batch.column(0):
+                c = classes(lower_words(t.as_py()), known)
+                runs.append((c[:-2] * size + c[1:-1]) * size + c[2:])
+                tokens += len(runs[-1])
+                if tokens >= CHUNK:
+                    yield chunk(runs)
+                    runs, tokens = [], 0
+        if runs:
+            yield chunk(runs)
 
-    parts = in_arrow(texts.select(text.alias("text")), count, "cell long, count long")
-    found = parts.groupBy("cell").agg(F.sum("count").alias("count")).orderBy("cell").toPandas()
-    return found["cell"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+    return stored(in_arrow(texts.select(text.alias("text")), count, "tokens long, cells binary, counts binary"), "lm-triples")
 
 
 def classes(words: list[bytes], known: Classes) -> np.ndarray:
@@ -149,50 +180,120 @@ class LogBilinear:
     q: np.ndarray
     bias: np.ndarray
 
-    def table(self) -> np.ndarray:
-        """log10 probabilities of the next class, (before last, last, next), normalised."""
-        context = (self.r @ self.c1)[:, None, :] + (self.r @ self.c2)[None, :, :]
-        scores = context @ self.q.T + self.bias
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of (before last, next) and of (last, next); the score of a triple is their sum."""
+        return (self.r @ self.c1) @ self.q.T, (self.r @ self.c2) @ self.q.T + self.bias
+
+    def normaliser(self, before: int, halves: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The logarithm of the normaliser for every last class after one class."""
+        first, second = halves or self.halves()
+        scores = second + first[before]
         top = scores.max(-1, keepdims=True)
-        scores -= top + np.log(np.exp(scores - top).sum(-1, keepdims=True))
-        return (scores / np.log(10)).astype(np.float32)
-
-
-def train_nce(cells: np.ndarray, counts: np.ndarray, size: int, width: int = 24, noise: int = 40, batch: int = 1024, steps: int = 3000, rate: float = 0.15, seed: int = 11) -> LogBilinear:
-    """AdaGrad on the NCE loss. The noise words of a minibatch come from the unigram distribution of classes and are
-    shared by its rows, so that all gradients are matrix products."""
-    rng = np.random.default_rng(seed)
-    if not len(cells):
-        zero = np.zeros((size, width))
-        return LogBilinear(zero, np.eye(width), np.eye(width), zero, np.zeros(size))
-    a, b, w = cells // size**2, cells // size % size, cells % size
-    unigram = (np.bincount(w, counts, size) + 0.5) / (counts.sum() + 0.5 * size)
-    log_noise, one_hot = np.log(noise * unigram), np.eye(size)
-    draw, draw_noise = np.cumsum(counts) / counts.sum(), np.cumsum(unigram)
-    p = {"r": rng.normal(0, 0.1, (size, width)), "c1": np.eye(width) * 0.5, "c2": np.eye(width) * 0.7, "q": rng.normal(0, 0.1, (size, width)), "bias": np.log(unigram)}
-    power = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+        return (top + np.log(np.exp(scores - top).sum(-1, keepdims=True)))[:, 0]
+
+    def table(self) -> np.ndarray:
+        """log10 probabilities of the next class, (before last, last, next); for small models."""
+        first, second = self.halves()
+        log_z = np.stack([self.normaliser(a) for a in range(len(self.r))])
+        return (first[:, None, :] + second[None, :, :] - log_z[:, :, None]) / np.log(10)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.r, self.c1, self.c2, self.q, self.bias)])
+
+    @staticmethod
+    def of_flat(flat: np.ndarray, size: int, width: int) -> LogBilinear:
+        shapes = ((size, width), (width, width), (width, width), (size, width), (size,))
+        ends = np.cumsum([int(np.prod(x)) for x in shapes])
+        return LogBilinear(*(x.reshape(shape) for x, shape in zip(np.split(flat, ends[:-1]), shapes, strict=True)))
+
+
+def _added(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices of at and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
+def _nce_steps(p: LogBilinear, power: LogBilinear, cells: np.ndarray, counts: np.ndarray, unigram: np.ndarray, steps: int, rates: np.ndarray, noise: int, rng: np.random.Generator) -> None:
+    """AdaGrad on the NCE loss, in place; only rows that a minibatch touches change. The noise words of a minibatch come
+    from the unigram distribution of classes and are shared by its rows, so that gradients are matrix products."""
+    size = len(unigram)
+    log_noise, draw, draw_noise = np.log(noise * unigram), np.cumsum(counts, dtype=float), np.cumsum(unigram)
+
+    def step_by(rate: float, value: np.ndarray, squares: np.ndarray, at, g: np.ndarray) -> None:
+        squares[at] += g**2
+        value[at] -= rate * g / np.sqrt(squares[at])
+
     for step in range(steps):
-        k = np.minimum(np.searchsorted(draw, rng.random(batch)), len(cells) - 1)
+        k = cells[np.minimum(np.searchsorted(draw, rng.random(BATCH) * draw[-1], side="right"), len(cells) - 1)]
         noisy = np.minimum(np.searchsorted(draw_noise, rng.random(noise)), size - 1)
-        ra, rb, true = p["r"][a[k]], p["r"][b[k]], w[k]
-        context = ra @ p["c1"] + rb @ p["c2"]
-        delta_true = (context * p["q"][true]).sum(1) + p["bias"][true] - log_noise[true]
-        delta_noise = context @ p["q"][noisy].T + p["bias"][noisy] - log_noise[noisy]
-        err_true = (1 / (1 + np.exp(-np.clip(delta_true, -30, 30))) - 1) / batch
-        err_noise = 1 / (1 + np.exp(-np.clip(delta_noise, -30, 30))) / batch
-        g_context = err_true[:, None] * p["q"][true] + err_noise @ p["q"][noisy]
-        hot_a, hot_b, hot_true, hot_noise = one_hot[a[k]], one_hot[b[k]], one_hot[true], one_hot[noisy]
-        grads = {
-            "r": hot_a.T @ (g_context @ p["c1"].T) + hot_b.T @ (g_context @ p["c2"].T),
-            "c1": ra.T @ g_context,
-            "c2": rb.T @ g_context,
-            "q": hot_true.T @ (err_true[:, None] * context) + hot_noise.T @ (err_noise.T @ context),
-            "bias": hot_true.T @ err_true + hot_noise.T @ err_noise.sum(0),
-        }
-        for name, g in grads.items():
-            power[name] += g**2
-            p[name] -= rate * (1 - step / steps) * g / np.sqrt(power[name])
-    return LogBilinear(**p)
+        a, b, true = k // size**2, k // size % size, k % size
+        ra, rb = p.r[a], p.r[b]
+        context = ra @ p.c1 + rb @ p.c2
+        delta_true = (context * p.q[true]).sum(1) + p.bias[true] - log_noise[true]
+        delta_noise = context @ p.q[noisy].T + p.bias[noisy] - log_noise[noisy]
+        err_true = (1 / (1 + np.exp(-np.clip(delta_true, -30, 30))) - 1) / BATCH
+        err_noise = 1 / (1 + np.exp(-np.clip(delta_noise, -30, 30))) / BATCH
+        g_context = err_true[:, None] * p.q[true] + err_noise @ p.q[noisy]
+        words, g_words = _added(np.concatenate([a, b]), np.concatenate([g_context @ p.c1.T, g_context @ p.c2.T]))
+        outputs = np.concatenate([true, noisy])
+        nexts, g_nexts = _added(outputs, np.concatenate([err_true[:, None] * context, err_noise.T @ context]))
+        g_bias = np.bincount(outputs, np.concatenate([err_true, err_noise.sum(0)]), size)[nexts]
+        g_c1, g_c2 = ra.T @ g_context, rb.T @ g_context
+        for value, squares, at, g in ((p.r, power.r, words, g_words), (p.c1, power.c1, slice(None), g_c1), (p.c2, power.c2, slice(None), g_c2), (p.q, power.q, nexts, g_nexts), (p.bias, power.bias, nexts, g_bias)):
+            step_by(rates[step], value, squares, at, g)
+
+
+def train_nce(chunks: DataFrame, vocabulary: Vocabulary, width: int = 24, noise: int = 40, steps: int = 3000, rounds: int = 4, rate: float = 0.15, seed: int = 11) -> LogBilinear:
+    """chunks: a table of count_triples. The minibatches of all rounds and chunks together draw one token of
+    TOKENS_PER_DRAW, in small corpora so many that there are about ``steps`` of them."""
+    spark, size, rng = chunks.sparkSession, vocabulary.size, np.random.default_rng(seed)
+    unigram = vocabulary.unigram()
+    shape = (size, width)
+    flat = LogBilinear(rng.normal(0, 0.1, shape), np.eye(width) * 0.5, np.eye(width) * 0.7, rng.normal(0, 0.1, shape), np.log(unigram)).flat()
+    power = np.full_like(flat, 1e-3)
+    share = max(1 / TOKENS_PER_DRAW, steps * BATCH / max(1, vocabulary.total)) / rounds / BATCH
+    for turn in range(rounds):
+        start = spark.sparkContext.broadcast((flat, power))
+
+        def train(batches: Iterator[pa.RecordBatch], turn=turn, start=start) -> Iterator[pa.RecordBatch]:
+            own, squares = (x.copy() for x in start.value)
+            p, sq = LogBilinear.of_flat(own, size, width), LogBilinear.of_flat(squares, size, width)
+            seen = 0
+            for batch in batches:
+                for n, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    mine = max(1, round(n * share))
+                    rates = rate * (1 - (turn + np.arange(mine) / mine) / rounds)
+                    draws = np.random.default_rng((seed, turn, n, seen))
+                    _nce_steps(p, sq, np.frombuffer(cells.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int32), unigram, mine, rates, noise, draws)
+                    seen += n
+            if seen:
+                at = pa.array(np.arange(len(own)), pa.int32())
+                yield pa.RecordBatch.from_arrays([at, pa.array(own * seen), pa.array(squares * seen), pa.array(np.full(len(own), float(seen)))], names=["at", "p", "power", "n"])
+
+        trained = in_arrow(chunks, train, "at int, p double, power double, n double")
+        means = trained.groupBy("at").agg((F.sum("p") / F.sum("n")).alias("p"), (F.sum("power") / F.sum("n")).alias("power")).toPandas()
+        if len(means):
+            flat, power = (np.ascontiguousarray(x) for x in means.sort_values("at")[["p", "power"]].to_numpy().T)
+        start.unpersist()
+    return LogBilinear.of_flat(flat, size, width)
+
+
+def log_normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
+    """The logarithms of the normalisers of all pairs (before last, last): 4 bytes for each pair of classes."""
+    size, shared = len(model.r), spark.sparkContext.broadcast(model)
+
+    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = shared.value.halves()
+        for batch in batches:
+            for before in batch.column(0).to_pylist():
+                row = shared.value.normaliser(before, halves).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([row.tobytes()], pa.binary())], names=["before", "row"])
+
+    tasks = max(1, min(size, size**3 // 100_000_000))
+    rows = in_arrow(spark.range(0, size, 1, tasks), normalise, "before long, row binary").collect()
+    return np.stack([np.frombuffer(r["row"], np.float32) for r in sorted(rows, key=lambda r: r["before"])])
 
 
 def _packed(shared, ranges: int):
@@ -260,12 +361,12 @@ def score_texts(texts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) ->
     """texts: key, text. Per row: key, n_tokens, hot_known, hot_log (sum of log10(c + 1)) and model_log, the model's
     log10 probability but for log10(c + 1) of tokens in shared classes that are not hot."""
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, model))
+    shared = spark.sparkContext.broadcast((vocabulary, model, log_normalisers(spark, model)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, table = shared.value[0], shared.value[1].table()
-        known, size = Classes(words_of), words_of.size
-        flat = table.ravel()
+        words_of, bilinear, log_z = shared.value
+        known, size, log_z = Classes(words_of), words_of.size, log_z.ravel()
+        before, last = (x.astype(np.float32).ravel() for x in bilinear.halves())
         within = np.log10(words_of.class_tokens + words_of.class_distinct + 1)
         single = np.zeros(size, bool)
         single[: len(words_of.alone) + 1] = True
@@ -279,7 +380,8 @@ def score_texts(texts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) ->
                 c = classes(words, known)
                 own = np.fromiter((hot.get(w, -1.0) for w in words), float, len(words))
                 here = own >= 0
-                log = float(flat[(c[:-2] * size + c[1:-1]) * size + c[2:]].sum(dtype=float))
+                first, second, third = c[:-2] * size, c[1:-1], c[2:]
+                log = float(before[first + third].sum(dtype=float) + last[second * size + third].sum(dtype=float) - log_z[first + second].sum(dtype=float)) / np.log(10)
                 inside = c[2:-1]
                 log += float(own[here & ~single[inside]].sum() - within[inside].sum())
                 rows.append((len(words) + 1, int(here.sum()) + (END in hot), float(own[here].sum()) + end, log))
@@ -298,7 +400,9 @@ def score_corpus(docs: DataFrame, learning: Column, id_col: str = "doc_id", text
     learnt = texts.where("learning")
     counts = stored(count_tokens(learnt, F.col("text")), "lm-counts")
     vocabulary = learn_vocabulary(counts)
-    model = train_nce(*count_triples(learnt, F.col("text"), vocabulary), vocabulary.size, **training)
+    triples = count_triples(learnt, F.col("text"), vocabulary)
+    model = train_nce(triples, vocabulary, **training)
+    discard(triples)
     ranges = max(16, docs.count() // texts_per_range)
     keyed = texts.select(id_col, "key", "learning")
     # Equal rows share a key: each adds the same to the sums, which are parted again.
