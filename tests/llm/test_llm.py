@@ -184,6 +184,40 @@ def test_lm(spark):
     assert np.allclose((10.0 ** model.table()).sum(-1), 1, atol=1e-4)
 
 
+def test_lm_grows_and_counts_all(spark, monkeypatch):
+    numbers = [lm.class_number(n) for n in (0, 10**5, 10**8, 10**12)]
+    assert numbers[:2] == [128, 128] and numbers == sorted(numbers) and numbers[3] == 4_000
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    docs = spark.createDataFrame([(text(k, 3 * k),) for k in range(60)] + [(None,)], "text string").repartition(3)
+    counts = lm.count_tokens(docs, F.col("text"))
+    vocabulary = lm.learn_vocabulary(counts)
+    chunks = lm.count_triples(docs, F.col("text"), vocabulary)
+    got, want, size = {}, {}, vocabulary.size
+    for r in chunks.collect():
+        cells, times = np.frombuffer(r["cells"], np.int64), np.frombuffer(r["counts"], np.int32)
+        assert times.sum() == r["tokens"]
+        for cell, n in zip(cells.tolist(), times.tolist(), strict=True):
+            got[cell] = got.get(cell, 0) + n
+    for r in docs.collect():
+        c = [0, 0, *(vocabulary.class_of(w.encode()) for w in (r["text"] or "").split()), 0]
+        for i in range(2, len(c)):
+            cell = (c[i - 2] * size + c[i - 1]) * size + c[i]
+            want[cell] = want.get(cell, 0) + 1
+    assert got == want and chunks.count() > 3
+    model = lm.train_nce(chunks, vocabulary, steps=200)
+    log_z = lm.log_normalisers(spark, model)
+    first, second = model.halves()
+    mass = np.exp(first[:, None, :] + second[None, :, :] - log_z[:, :, None]).sum(-1)
+    assert np.allclose(mass, 1, atol=1e-4)
+    # The trained model tells the corpus from its unigram shares.
+    cells, times = np.array(list(want)), np.array(list(want.values()))
+    a, b, w = cells // size**2, cells // size % size, cells % size
+    learnt = (first[a, w] + second[b, w] - log_z[a, b]) @ times
+    assert learnt > np.log(vocabulary.unigram()[w]) @ times
+    empty = lm.train_nce(chunks.limit(0), vocabulary)
+    assert np.isfinite(empty.table()).all()
+
+
 def test_pieces(spark, odd):
     got = pieces.sample_pieces(odd).select("doc_id", "text", "ids", "lossless", "decoded_sha256").collect()
     again = pieces.sample_pieces(odd.repartition(3), block_chars=10).select("doc_id", "text", "ids").collect()
