@@ -402,7 +402,7 @@ def score_corpus(docs: DataFrame, learning: Column, id_col: str = "doc_id", text
     vocabulary = learn_vocabulary(counts)
     triples = count_triples(learnt, F.col("text"), vocabulary)
     model = train_nce(triples, vocabulary, **training)
-    discard(triples)
+    discard(triples, counts)
     ranges = max(16, docs.count() // texts_per_range)
     keyed = texts.select(id_col, "key", "learning")
     # Equal rows share a key: each adds the same to the sums, which are parted again.
