@@ -124,3 +124,19 @@ def hashable(df: DataFrame) -> list[str]:
         return not isinstance(kind, T.StructType) or all(fit(f.dataType) for f in kind.fields)
 
     return [f"`{f.name}`" for f in df.schema.fields if fit(f.dataType)]
+
+
+#: A group's figures are broadcast where it holds one of so many equal shares of all rows or more: at most so many groups.
+SHARES = 10_000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows (a stored table of total rows), left-joined to groups (stored, one row per key, ``count`` of rows each) on keys
+    that may be null. Groups so large that fewer than SHARES of them fit into total are broadcast; what remains joins by a
+    shuffle in which no key has more rows than such a share."""
+    least, marks = total // SHARES + 1, {k: f"group_{k}" for k in keys}
+    groups = groups.withColumnsRenamed(marks)
+    heavy, light = F.broadcast(groups.where(F.col(count) >= least)), groups.where(F.col(count) < least)
+    same = [F.col(k).eqNullSafe(F.col(mark)) for k, mark in marks.items()]
+    found, rest = rows.join(heavy, same), rows.join(heavy, same, "left_anti")
+    return found.unionByName(rest.join(light, same, "left")).drop(*marks.values())

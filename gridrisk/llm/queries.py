@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrisk.llm import chat, decontamination, fingerprints, jaccard, lm, pieces, pii, quality, sharding, toxicity
+from gridrisk.llm import chat, codes, decontamination, dedup, fingerprints, jaccard, lm, negatives, pieces, pii, quality, sharding, toxicity
 from gridrisk.llm.common import label_fold, table
 
 
@@ -131,5 +131,89 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op8_decontamination": op8_decontamination, "op4_lm_scoring": op4_lm_scoring, "op6_toxicity": op6_toxicity, "op10_jaccard_join": op10_jaccard_join, "op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints}
-ORACLES = {"op7_chat_formatting": OP7_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor, over all embeddings."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH kept AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.id <> b.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings."""
+    return codes.compress(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql(rounds: int = 2) -> str:
+    """Parts, entries and places are counted from 0; each round is an assignment and new means."""
+    text = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+    row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS place
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (
+  SELECT place AS r, vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x
+  FROM kept, (SELECT unnest(range(16)) AS p)),
+book0 AS (SELECT p, r AS e, x AS c FROM cut WHERE r < 64)"""
+    gap = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        text += f""",
+near{k} AS (
+  SELECT r, vec_id, label, p, x, e, {gap} AS d FROM cut JOIN book{k} USING (p)
+  QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, e) = 1)"""
+        if k < rounds:
+            text += f""",
+mean{k} AS (
+  SELECT p, e, list(CAST(floor(m) AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT p, e, i, CAST(sum(x[i + 1]) AS DOUBLE) / count(*) AS m
+    FROM near{k}, (SELECT unnest(range((SELECT max(len(x)) FROM cut))) AS i) GROUP BY p, e, i) GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.e, COALESCE(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)"""
+    return text + f""",
+coded AS (
+  SELECT r, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document, of which the row with the largest id stays."""
+    return dedup.find_copies(table(spark, sf_dir, "documents"), largest=True).withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
+WINDOW same AS (PARTITION BY body)
+"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op8_decontamination": op8_decontamination, "op4_lm_scoring": op4_lm_scoring, "op6_toxicity": op6_toxicity, "op10_jaccard_join": op10_jaccard_join, "op2_sharding": op2_sharding, "op5_pii": op5_pii, "op7_chat_formatting": op7_chat_formatting, "op9_fingerprints": op9_fingerprints, "op11_hard_negatives": op11_hard_negatives, "op12_vector_codes": op12_vector_codes, "op13_exact_dedup": op13_exact_dedup}
+ORACLES = {"op7_chat_formatting": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_exact_dedup": OP13_SQL}
