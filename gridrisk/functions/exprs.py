@@ -37,10 +37,10 @@ def real(name: str, scaled: bool = False) -> Column:
 
 
 def whole(name: str) -> Column:
-    """The column as int, null where it is no number. As a database casts: halves in text go away from zero, halves in
-    doubles to the even neighbour."""
+    """The column as int, null where it is no number. As a database casts: halves in text and decimals go away from zero,
+    halves in doubles to the even neighbour."""
     number = F.col(name).try_cast("double")
-    return F.when(F.typeof(F.col(name)) == "string", F.round(number)).otherwise(F.rint(number)).try_cast("int")
+    return F.when(F.typeof(F.col(name)).rlike("^(string|decimal)"), F.round(number)).otherwise(F.rint(number)).try_cast("int")
 
 
 def weather_class(score: Column) -> Column:

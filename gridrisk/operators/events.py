@@ -81,12 +81,20 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", F.date_format("date", "yyyy-MM"))
 
 
+def _spot(events: DataFrame, *names: str) -> DataFrame:
+    return events.select(*names, cell(F.col("x5179"), 100).alias("cx"), cell(F.col("y5179"), 100).alias("cy"))
+
+
+def _around(spots: DataFrame, radius: int) -> DataFrame:
+    """spots (cx, cy) with grid_id: a row for each cell within radius cells."""
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
+    df = spots.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
+    return df.withColumn("grid_id", F.concat_ws("_", F.col("cx") + F.col("dx"), F.col("cy") + F.col("dy"))).drop("dx", "dy")
+
+
 def buffer_matches(events: DataFrame, radius: int) -> DataFrame:
     """Per event the ids of all cells within radius cells. events: objt_id, x5179, y5179."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    df = events.select("objt_id", "occu_year", cell(F.col("x5179"), 100).alias("cx"), cell(F.col("y5179"), 100).alias("cy")).withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    df = df.where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
-    return df.select("objt_id", "occu_year", F.concat_ws("_", F.col("cx") + F.col("dx"), F.col("cy") + F.col("dy")).alias("grid_id"))
+    return _around(_spot(events, "objt_id", "occu_year"), radius).drop("cx", "cy")
 
 
 def buffer_label(master: DataFrame, events: DataFrame, radius: int = 5) -> DataFrame:
@@ -97,9 +105,9 @@ def buffer_label(master: DataFrame, events: DataFrame, radius: int = 5) -> DataF
 
 def buffer_report(master: DataFrame, events: DataFrame, radius: int = 5) -> DataFrame:
     """Per year: events, matched events, their share in %, and matched cells in all and on average."""
-    known = master.select("grid_id").distinct()
-    found = buffer_matches(events, radius).join(known, "grid_id").groupBy("objt_id", "occu_year").agg(F.count("*").alias("cells"))
-    df = events.select("objt_id", "occu_year").join(found, ["objt_id", "occu_year"], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+    at, known = _spot(events, "occu_year"), master.select("grid_id").distinct()
+    found = _around(at.select("cx", "cy").distinct(), radius).join(known, "grid_id").groupBy("cx", "cy").agg(F.count("*").alias("cells"))
+    df = at.join(found, ["cx", "cy"], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
     return df.groupBy("occu_year").agg(F.count("*").alias("events"), F.count_if(F.col("cells") > 0).alias("matched"), (100.0 * F.count_if(F.col("cells") > 0) / F.count("*")).alias("matched_pct"), F.sum("cells").alias("cells_sum"), F.avg("cells").alias("cells_mean"))
 
 

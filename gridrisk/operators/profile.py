@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +18,6 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFr
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keep), columns, "variable", "value")
 
 
-#: Ranges of values that a group's rows are dealt to.
-RANGES = 64
-
-
 def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """a with the other columns of b where the keys agree, nulls too."""
     b = b.withColumnsRenamed({k: f"__{k}" for k in keys})
@@ -33,35 +27,55 @@ def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, same).drop(*[f"__{k}" for k in keys])
 
 
-def ranked(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
-    """Per group and distinct ``value``: n, ``below`` (rows of the group with less) and ``total`` (rows of the group), and
-    each of the named sums, with ``below_`` and ``total_`` of it. All steps use the same columns of the counts, so that
-    Spark makes these once. Groups are cut into ranges of values at approximate quantiles and ranked range by range, so a
-    group of any size makes many tasks, none of which holds more than a range; the counts are exact. Nulls are left out."""
-    after = {"n": "", **{name: f"_{name}" for name in sums}}  # behind total, inside, before and below
-    counts = rows.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"), *[c.alias(name) for name, c in sums.items()])
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 50 * RANGES).alias("cuts"), *[F.sum(c).alias(f"total{x}") for c, x in after.items()])
-    placed = _beside(counts, cuts, by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    sizes = placed.groupBy(*by, "range").agg(*[F.sum(c).alias(f"inside{x}") for c, x in after.items()])
-    # A group has RANGES rows here.
-    earlier = Window.partitionBy(*by).orderBy("range")
-    sizes = sizes.select(*by, "range", *[(F.sum(f"inside{x}").over(earlier) - F.col(f"inside{x}")).alias(f"before{x}") for x in after.values()])
-    out = _beside(placed, sizes, [*by, "range"])
-    lower = Window.partitionBy(*by, "range").orderBy("value")
-    out = out.withColumns({f"below{x}": F.col(f"before{x}") + F.sum(c).over(lower) - F.col(c) for c, x in after.items()})
-    return out.drop("range", *[f"before{x}" for x in after.values()])
+#: Approximate quantiles are wrong by at most one of so many parts of a group's rows; brackets are three such parts wide
+#: on either side.
+ACCURACY = 10_000
+
+
+def refined(rows: DataFrame, by: list[str], shares: list[float], few: bool = True, whole: dict[str, Column] | None = None, **sums: Column) -> DataFrame:
+    """Per group and share p of its rows the values around the exact quantile, in two passes over rows, with columns p,
+    value, n, ``below`` (rows of the group with less) and ``total`` (rows of the group), and each of the named sums, with
+    ``below_`` and ``total_`` of it. Nulls are left out.
+
+    The first pass brackets each quantile by approximate ones and totals the groups. The second counts each value within a
+    bracket, and what lies on either side of it as one row: that row's value is the one next to the bracket. Tasks count
+    before anything is sent, so all that goes through exchanges are sketches and the distinct values inside brackets, at
+    most 6 in ACCURACY of a group's rows for each share; no task gets more than these. few: the groups are columns, or
+    columns by a label, so their brackets are broadcast; other groups join by a shuffle. whole: further aggregates over a
+    group's values, which every row of the group gets.
+    """
+    rows, after = rows.where("value IS NOT NULL"), {"n": "", **{name: f"_{name}" for name in sums}}  # behind below and total
+    around = {p: (max(p - 3 / ACCURACY, 0.0), min(p + 3 / ACCURACY, 1.0)) for p in shares}
+    edges = sorted({e for ends in around.values() for e in ends})
+    counted = {"n": F.count("*"), **sums}
+    over = {f"total{after[name]}": c for name, c in counted.items()} | (whole or {})
+    groups = rows.groupBy(*by).agg(F.percentile_approx("value", edges, ACCURACY).alias("edges"), *[c.alias(name) for name, c in over.items()])
+    ends = [F.struct(F.lit(p).alias("p"), F.col("edges")[edges.index(low)].alias("low"), F.col("edges")[edges.index(high)].alias("high")) for p, (low, high) in around.items()]
+    brackets = groups.select(*by, *over, F.inline(F.array(*ends)))
+    side = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
+    near = _beside(rows, F.broadcast(brackets) if few else brackets, by).withColumn("side", side)
+    near = near.groupBy(*by, "p", "side", F.when(F.col("side") == 0, F.col("value")).alias("inside")).agg(
+        F.min("value").alias("least"), F.max("value").alias("greatest"), *[c.alias(name) for name, c in counted.items()], *[F.max(name).alias(name) for name in over]
+    )
+    near = near.withColumn("value", F.when(F.col("side") < 0, F.col("greatest")).otherwise(F.col("least")))
+    lower = Window.partitionBy(*by, "p").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return near.withColumns({f"below{x}": F.sum(name).over(lower) - F.col(name) for name, x in after.items()}).drop("inside", "least", "greatest")
 
 
 def quantile_columns(shares: dict[str, float]) -> list[Column]:
-    """Aggregates over ``ranked`` rows of a group: exact quantiles, linear between neighbours, by name."""
+    """Aggregates over ``refined`` rows of a group: exact quantiles, linear between neighbours, by name. The row of all
+    values on one side of a bracket stands for the one next to it only."""
+    first, last = F.col("below"), F.col("below") + F.col("n") - 1
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col("value")))
+    def at(p: float, rank: Column) -> Column:
+        here = (F.col("p") == p) & (first <= rank) & (rank <= last)
+        sure = (F.col("side") == 0) | ((F.col("side") < 0) & (rank == last)) | ((F.col("side") > 0) & (rank == first))
+        return F.max(F.when(here & F.when(sure, True).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("boolean")), F.col("value")))
 
     out = []
     for name, p in shares.items():
         rank = F.lit(p) * (F.col("total") - 1)
-        low, high, part = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
+        low, high, part = at(p, F.floor(rank)), at(p, F.ceil(rank)), F.max(F.when(F.col("p") == p, rank - F.floor(rank)))
         out.append((low + (high - low) * part).alias(name))
     return out
 
@@ -69,7 +83,7 @@ def quantile_columns(shares: dict[str, float]) -> list[Column]:
 def quantiles(rows: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
     """Per group and share ``p`` the exact quantile ``q`` of value."""
     named = {f"q{k}": p for k, p in enumerate(shares)}
-    wide = ranked(rows, by).groupBy(*by).agg(*quantile_columns(named))
+    wide = refined(rows, by, shares).groupBy(*by).agg(*quantile_columns(named))
     return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.col(n).alias("q")) for n, p in named.items()])))
 
 
@@ -77,49 +91,91 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def describe(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """Per variable (and group): n, mean, std, min, quartiles, max of the values present."""
-    keys, rows = ["variable", *by], long_form(df, columns, by).where("value IS NOT NULL")
-    rest = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    middle = ranked(rows, keys).groupBy(*keys).agg(*quantile_columns(QUARTILES))
-    return _beside(rest, middle, keys).select(*keys, "n", "mean", "std", "min", *QUARTILES, "max")
+    """Per variable (and group, of few): n, mean, std, min, quartiles, max of the values present."""
+    keys = ["variable", *by]
+    spread = {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value")}
+    near = refined(long_form(df, columns, by), keys, [*QUARTILES.values()], whole=spread)
+    return near.groupBy(*keys).agg(F.max("total").alias("n"), *[F.max(x).alias(x) for x in ("mean", "std", "min")], *quantile_columns(QUARTILES), F.max("max").alias("max"))
 
 
 def captured(share: float) -> Column:
-    """Aggregate over ``ranked`` rows with pos: the positives in the top share."""
+    """Aggregate over rows ``refined`` around 1 - share, with pos: the positives in the top share."""
     top = (F.col("total") - F.col("below")) / F.col("total")
-    return F.coalesce(F.max(F.when(top <= share, F.col("total_pos") - F.col("below_pos"))), F.lit(0))
+    return F.coalesce(F.max(F.when((F.col("p") == 1 - share) & (top <= share), F.col("total_pos") - F.col("below_pos"))), F.lit(0))
 
 
-def lift(df: DataFrame, columns: list[str], label: str = "fire_label", shares: tuple = (0.1, 0.2)) -> DataFrame:
+def lift(df: DataFrame, columns: list[str], label: str = "fire_label", shares: tuple = (0.1, 0.2), counted: bool = False) -> DataFrame:
     """Share of positives in the top shares by score. A row is in the top p if the rows scored as high or higher are at
-    most p of all."""
-    scores = ranked(long_form(df, columns, [label]), ["variable"], pos=F.count_if(F.col(label) == 1))
-    total, mean = F.max("total_pos"), lambda w: F.sum(F.col("value") * w) / F.nullif(F.sum(w), F.lit(0))
+    most p of all. counted: also the rows that have a value, as row_count."""
+    positive = F.col(label) == 1
+    means = {"positive_mean": F.avg(F.when(positive, F.col("value"))), "negative_mean": F.avg(F.when(positive, None).otherwise(F.col("value")))}
+    near = refined(long_form(df, columns, [label]), ["variable"], [1 - p for p in shares], whole=means, pos=F.count_if(positive))
+    total = F.max("total_pos")
     out = [F.try_divide(captured(p), total).alias(f"top{int(p * 100)}_capture") for p in shares]
-    return scores.groupBy("variable").agg(total.alias("positives"), *out, mean(F.col("pos")).alias("positive_mean"), mean(F.col("n") - F.col("pos")).alias("negative_mean"))
-
-
-def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(x, y, r) of all pairs from one aggregate."""
-    wide = df.agg(*[E.correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(rows))
+    rows = [F.max("total").alias("row_count")] if counted else []
+    return near.groupBy("variable").agg(*rows, total.alias("positives"), *out, *[F.max(m).alias(m) for m in means])
+
+
+#: Columns by columns that are correlated at a time: so many that Spark still generates code for their sums.
+TILE = 4
+#: Of a sum of squares, what rounding may leave of no variance at all.
+NOISE = 1e-12
+
+
+def _pair_sums(a: Column, b: Column) -> list[Column]:
+    """Counts and sums over the rows where both are present."""
+    both = [F.when((a * b).isNotNull(), x) for x in (a, b)]
+    return [F.count(a * b), *map(F.sum, both), F.sum(both[0] * both[0]), F.sum(both[1] * both[1]), F.sum(a * b)]
+
+
+def _r(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
+    vx, vy = xx - x * x / n, yy - y * y / n
+    return F.when((vx > NOISE * xx) & (vy > NOISE * yy), (xy - x * y / n) / (F.sqrt(vx) * F.sqrt(vy)))
+
+
+def correlations(df: DataFrame, xs: list[str], ys: list[str] | None = None) -> DataFrame:
+    """(x, y, r): Pearson of each of xs with each of ys, or without these of all pairs of xs, each once, x before y. A pair
+    counts the rows where both are present; r is null where one does not vary there.
+
+    Columns are taken about their means and cut into tiles. A row becomes one row per pair of tiles, whose sums are added
+    up by tasks before they are sent, so any number of columns takes two passes and sends a row per pair of tiles.
+    """
+    names = [*xs, *(y for y in ys or () if y not in xs)]
+    value = {c: F.col(c).cast("double") for c in names}
+    means = df.agg(*[F.avg(value[c]).alias(f"mean_{k}") for k, c in enumerate(names)])
+    about = df.select(*[value[c].alias(f"c{k}") for k, c in enumerate(names)]).crossJoin(F.broadcast(means))  # one row
+    tiled = lambda side: [side[k : k + TILE] for k in range(0, len(side), TILE)]
+    left, right = tiled(xs), tiled(xs if ys is None else ys)
+    place, none = {c: k for k, c in enumerate(names)}, F.lit(None).cast("double")
+    shifted = lambda c: F.col(f"c{place[c]}") - F.col(f"mean_{place[c]}")
+    arrays = lambda tiles: F.array(*[F.array(*map(shifted, t), *[none] * (TILE - len(t))) for t in tiles])
+    pairs = [(i, j) for i in range(len(left)) for j in range(len(right)) if ys is not None or i <= j]
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    rows = about.select(arrays(left).alias("left"), arrays(right).alias("right"), F.explode(every).alias("pair")).select("pair.i", "pair.j", F.col("left")[F.col("pair.i")].alias("a"), F.col("right")[F.col("pair.j")].alias("b"))
+    cells = [(u, v) for u in range(TILE) for v in range(TILE)]
+    rows = rows.select("i", "j", *[F.col("a")[u].alias(f"a{u}") for u in range(TILE)], *[F.col("b")[v].alias(f"b{v}") for v in range(TILE)])
+    sums = rows.groupBy("i", "j").agg(*[c.alias(f"s{u}{v}{k}") for u, v in cells for k, c in enumerate(_pair_sums(F.col(f"a{u}"), F.col(f"b{v}")))])
+    listed = lambda tiles: F.array(*[F.lit(c) for t in tiles for c in [*t, *[None] * (TILE - len(t))]])
+    at = lambda tiles, tile, k: F.get(listed(tiles), F.col(tile) * TILE + k)
+    found = [F.struct(at(left, "i", u).alias("x"), at(right, "j", v).alias("y"), F.lit(u <= v).alias("upper"), _r(*[F.col(f"s{u}{v}{k}") for k in range(6)]).alias("r")) for u, v in cells]
+    out = sums.select("i", "j", F.inline(F.array(*found))).where("x IS NOT NULL AND y IS NOT NULL")
+    return (out if ys is not None else out.where("i < j OR upper")).select("x", "y", "r")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    half = correlations(df, list(combinations_with_replacement(columns, 2)))
-    return half.unionByName(half.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
+    half = correlations(df, columns)
+    both = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return half.select("r", F.inline(both)).select("x", "y", "r")
 
 
 def strong_pairs(df: DataFrame, columns: list[str], least: float = 0.3) -> DataFrame:
-    pairs = [(a, b) for a, b in combinations_with_replacement(columns, 2) if a != b]
-    return correlations(df, pairs).where(F.abs("r") >= least)
+    return correlations(df, columns).where((F.col("x") != F.col("y")) & (F.abs("r") >= least))
 
 
 def categories(df: DataFrame, column: str, scores: list[str], label: str = "fire_label", top: int = 20) -> DataFrame:
     out = df.groupBy(F.col(column).cast("string").alias("category")).agg(F.count("*").alias("row_count"), F.count_if(F.col(label) == 1).alias("positive_count"), *[F.avg(s).alias(f"avg_{s}") for s in scores])
     out = out.withColumn("positive_rate", F.col("positive_count") / F.col("row_count"))
-    return out.orderBy(F.desc("positive_count"), F.desc("row_count"), "category").limit(top)
+    return out.orderBy(F.desc("positive_count"), F.desc("positive_rate"), F.desc("row_count"), "category").limit(top)
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -131,11 +187,11 @@ def missing(df: DataFrame) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fences at 1.5 IQR; the ratio is over all rows, nulls included."""
     rows = long_form(df, columns)
-    q = ranked(rows, ["variable"]).groupBy("variable").agg(*quantile_columns({"q1": 0.25, "q3": 0.75}))
-    q = rows.groupBy("variable").agg(F.count("*").alias("rows")).join(q, "variable", "left")
+    q = refined(rows, ["variable"], [0.25, 0.75]).groupBy("variable").agg(*quantile_columns({"q1": 0.25, "q3": 0.75}))
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")}).withColumns({"lower": F.col("q1") - 1.5 * F.col("iqr"), "upper": F.col("q3") + 1.5 * F.col("iqr")})
+    fences, outside = ("q1", "q3", "iqr", "lower", "upper"), (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     # One row per column: the fences are small by construction.
-    out = rows.join(F.broadcast(q), "variable").groupBy("variable", "q1", "q3", "iqr", "lower", "upper", "rows").agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("outliers"))
+    out = rows.join(F.broadcast(q), "variable", "left").groupBy("variable").agg(*[F.max(c).alias(c) for c in fences], F.count_if(outside).alias("outliers"), F.count("*").alias("rows"))
     return out.withColumn("outlier_pct", 100.0 * F.col("outliers") / F.col("rows")).drop("rows")
 
 
@@ -146,10 +202,9 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median, biased skewness, excess kurtosis, and a word for the skew."""
-    rows = long_form(df, columns).where(F.col("value").isNotNull())
-    out = rows.groupBy("variable").agg(F.avg("value").alias("mean"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"))
-    out = out.join(ranked(rows, ["variable"]).groupBy("variable").agg(*quantile_columns({"median": 0.5})), "variable")
-    out = out.select("variable", "mean", "median", "skew", "kurt")
+    shape = {"mean": F.avg("value"), "skew": F.skewness("value"), "kurt": F.kurtosis("value")}
+    out = refined(long_form(df, columns), ["variable"], [0.5], whole=shape).groupBy("variable")
+    out = out.agg(F.max("mean").alias("mean"), *quantile_columns({"median": 0.5}), F.max("skew").alias("skew"), F.max("kurt").alias("kurt"))
     return out.withColumn("shape", E.cases([(F.col("skew") > 0.5, "right"), (F.col("skew") < -0.5, "left")], "symmetric"))
 
 
@@ -171,7 +226,7 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, the last values inside 1.5 IQR, and the count outside, per group."""
     rows = df.select(F.col(by).alias("grp"), F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
-    q = ranked(rows, ["grp"]).groupBy("grp").agg(*quantile_columns(QUARTILES))
+    q = refined(rows, ["grp"], [*QUARTILES.values()], few=False).groupBy("grp").agg(*quantile_columns(QUARTILES))
     q = q.withColumns({"lo": F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")), "hi": F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))})
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
     return rows.join(q, "grp").groupBy("grp", "q25", "q50", "q75").agg(F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))

@@ -32,18 +32,28 @@ def terrain_wind(weather: DataFrame, cells: DataFrame, mode: str = "from") -> Da
     return _with_terrain(df, mode).select(*TERRAIN)
 
 
+#: Weather columns that the final dataset leaves out.
+NOT_FINAL = ("month_num", "day_num", "td_mean", "td_min", "wind_uu_mean", "wind_vv_mean", "wind_theta_deg", "rn_class", "rn_class1", "rn_class2", "rne_temp", "predwi", "predwi_class")
+INDEX = ("grid_id", "date", "month", "day_weight", "dwi", "dwi_n", "fmi", "fmi_n", "tmi_base_n", "tmi_p", "pei", "ffdri", "pffdri")
+
+
 def in_one_pass(weather: DataFrame, forest: DataFrame, cells: DataFrame, exposure: DataFrame, mode: str = "from") -> DataFrame:
     """The columns of ``final_dataset`` straight from weather features and static cells: the fact is read and shuffled
-    once and never joined to itself. Weather cells that are not among cells stay, with null terrain; static rows once per
+    once and never joined to itself. Weather cells that are not among cells stay, with null terrain; cells once per
     cell."""
+    return wide(weather, forest, cells, exposure, mode).drop(*NOT_FINAL, "in_cells")
+
+
+def wide(weather: DataFrame, forest: DataFrame, cells: DataFrame, exposure: DataFrame, mode: str = "from") -> DataFrame:
+    """Every column of weather, terrain, forest, exposure and indices side by side; in_cells: whether terrain is known."""
     df = _with_terrain(weather.join(cells.withColumn("in_cells", F.lit(True)), "grid_id", "left"), mode)
-    df = df.withColumns({c: F.when(F.col("in_cells"), F.col(c)) for c in TERRAIN[3:]}).drop("in_cells")
+    df = df.withColumns({c: F.when(F.col("in_cells"), F.col(c)) for c in TERRAIN[3:]})
     df = df.join(forest, "grid_id", "left").join(exposure.drop("forest_contact"), "grid_id", "left")
     weight = F.col("day_weight")
     return df.withColumns({
         "ffdri": E.composite(F.col("dwi"), F.col("fmi"), F.col("tmi_base_n") * 10.0, weight),
         "pffdri": E.power_composite(F.col("dwi_n"), F.col("fmi_n"), F.col("tmi_p"), F.col("pei"), weight),
-    }).drop("month_num", "day_num", "td_mean", "td_min", "wind_uu_mean", "wind_vv_mean", "wind_theta_deg", "rn_class", "rn_class1", "rn_class2", "rne_temp", "predwi", "predwi_class")
+    })
 
 
 def index(weather: DataFrame, forest: DataFrame, terrain: DataFrame, exposure: DataFrame) -> DataFrame:
@@ -76,7 +86,7 @@ def validation(df: DataFrame, score: str, label: str, cut: float) -> DataFrame:
 def top_hit_rate(df: DataFrame, score: str, label: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
     """Per share k the part of the positives that lie in the top k of the rows by score. Rows of equal score are in together
     if all rows scored as high make at most that share."""
-    ranked = profile.ranked(profile.long_form(df, [score], [label]), ["variable"], pos=F.count_if(F.col(label) == 1))
+    ranked = profile.refined(profile.long_form(df, [score], [label]), ["variable"], [1 - k for k in shares], pos=F.count_if(F.col(label) == 1))
     rates = F.array(*[F.struct(F.lit(k).alias("share"), F.try_divide(profile.captured(k), F.max("total_pos")).alias("hit_rate")) for k in shares])
     return ranked.agg(rates.alias("r")).select(F.inline("r"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrisk.functions import exprs as E
+from gridrisk.operators import profile
 
 
 def forest(master: DataFrame) -> DataFrame:
@@ -18,12 +19,14 @@ def forest(master: DataFrame) -> DataFrame:
 def exposure(master: DataFrame) -> DataFrame:
     """Normalised by global 95th percentiles over all rows, duplicated cells included; a zero percentile counts as 1."""
     df = master.select("grid_id", F.coalesce(E.real("pole_count"), F.lit(0.0)).alias("pole_count"), E.real("nearest_road_dist").alias("nearest_road_dist"), E.real("nearest_river_dist").alias("nearest_river_dist"), E.whole("is_forest").alias("is_forest"))
-    high = lambda c: F.coalesce(F.nullif(F.percentile(c, 0.95), F.lit(0.0)), F.lit(1.0))
-    stats = df.agg(high("pole_count").alias("q_pole"), high("nearest_road_dist").alias("q_road"), high("nearest_river_dist").alias("q_river"))
+    measured = ("pole_count", "nearest_road_dist", "nearest_river_dist")
+    q = profile.quantiles(profile.long_form(df, [*measured]), ["variable"], [0.95])
+    high = lambda c: F.coalesce(F.nullif(F.max(F.when(F.col("variable") == c, F.col("q"))), F.lit(0.0)), F.lit(1.0))
+    stats = q.agg(*[high(c).alias(f"q_{c}") for c in measured])
     df = df.crossJoin(F.broadcast(stats)).withColumns({  # one row
-        "pole_n": E.unit(F.col("pole_count") / F.col("q_pole")),
-        "road_prox": 1.0 - E.unit(F.col("nearest_road_dist") / F.col("q_road")),
-        "river_far": E.unit(F.col("nearest_river_dist") / F.col("q_river")),
+        "pole_n": E.unit(F.col("pole_count") / F.col("q_pole_count")),
+        "road_prox": 1.0 - E.unit(F.col("nearest_road_dist") / F.col("q_nearest_road_dist")),
+        "river_far": E.unit(F.col("nearest_river_dist") / F.col("q_nearest_river_dist")),
         "forest_contact": F.when(F.col("is_forest") == 1, 1.0).otherwise(0.0),
     })
     df = df.withColumn("pei", E.exposure(F.col("pole_n"), F.col("road_prox"), F.col("river_far"), F.col("forest_contact")))

@@ -68,7 +68,7 @@ def rankings(sample: DataFrame, scores: list[str], label: str = "fire_label", to
     means = lifted.select(F.lit("positive_mean").alias("ranking"), "variable", F.col("positive_mean").alias("value"), F.col("positive_mean").alias("by"))
     share = 100.0 * F.col("top10_capture")
     tops = lifted.select(F.lit("top10_capture").alias("ranking"), "variable", share.alias("value"), share.alias("by"))
-    r = profile.correlations(sample, [(c, label) for c in scores]).select(F.lit("label_correlation").alias("ranking"), F.col("x").alias("variable"), F.col("r").alias("value"), F.abs("r").alias("by"))
+    r = profile.correlations(sample, scores, [label]).select(F.lit("label_correlation").alias("ranking"), F.col("x").alias("variable"), F.col("r").alias("value"), F.abs("r").alias("by"))
     every = means.unionByName(tops).unionByName(r)
     # A row per score: an array by ranking holds them all.
     best = every.groupBy("ranking").agg(F.array_sort(F.collect_list(F.struct((-F.col("by")).alias("down"), "variable", "value"))).alias("rows"))

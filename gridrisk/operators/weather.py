@@ -27,14 +27,17 @@ def base(weather: DataFrame, scaled: bool = True) -> DataFrame:
     )
 
 
-def _lag(column: str, days: int) -> Column:
-    return F.lag(column, days).over(Window.partitionBy("grid_id").orderBy("date"))
+def _lag(column: str, days: int, *chunk: str) -> Column:
+    return F.lag(column, days).over(Window.partitionBy("grid_id", *chunk).orderBy("date"))
 
 
-def with_lags(df: DataFrame) -> DataFrame:
+def with_lags(df: DataFrame, *chunk: str) -> DataFrame:
     """Lags 1 to 4 of date and humidity and 1 to 2 of rain: one exchange, one sort. hm_used k is the humidity of k days
-    ago, or today's where that day is missing; grade k likewise, or 0."""
-    df = df.select("*", *[_lag("date", k).alias(f"lag_date{k}") for k in range(1, 5)], *[_lag("hm_mean", k).alias(f"hm_lag{k}") for k in range(1, 5)], *[_lag("rn_day_mean", k).alias(f"rn_lag{k}") for k in (1, 2)])
+    ago, or today's where that day is missing; grade k likewise, or 0. chunk: columns whose change ends the history."""
+    df = df.select(
+        "*", *[_lag("date", k, *chunk).alias(f"lag_date{k}") for k in range(1, 5)],
+        *[_lag("hm_mean", k, *chunk).alias(f"hm_lag{k}") for k in range(1, 5)], *[_lag("rn_day_mean", k, *chunk).alias(f"rn_lag{k}") for k in (1, 2)],
+    )
     follows = lambda k: F.datediff("date", f"lag_date{k}") == k
     return df.select(
         "*",
@@ -44,12 +47,31 @@ def with_lags(df: DataFrame) -> DataFrame:
     )
 
 
-def features(weather: DataFrame, scaled: bool = True, months: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+#: What to do with a second row of a cell and date, which shifts the lags of later days.
+REPEATS = ("keep", "mark", "fail")
+
+
+def features(
+    weather: DataFrame, scaled: bool = True, months: list[str] | None = None, start: str | None = None, end: str | None = None,
+    *, chunk: str | None = None, repeats: str = "keep",
+) -> DataFrame:
     """The daily features. months, start and end: which days to keep. The lags see LOOKBACK days before these, which is
-    all that they use, so no other day is read."""
+    all that they use, so no other day is read. chunk: 'month' or 'year', for days that see no history before their own,
+    as in runs chunk by chunk; nothing before the window is read then. repeats: rows that repeat a cell and date are kept,
+    marked in a column ``repeated``, or end the job; the lags' own exchange finds them."""
+    if repeats not in REPEATS or chunk not in (None, "month", "year"):
+        raise ValueError(f"repeats is one of {REPEATS}, chunk month, year or None")
     if months or start or end:
-        weather = readers.with_lookback(weather, LOOKBACK, months, start, end)
-    df = with_lags(base(weather, scaled))
+        weather = readers.in_dates(weather, months, start, end) if chunk else readers.with_lookback(weather, LOOKBACK, months, start, end)
+    df = base(weather, scaled)
+    if chunk:
+        # The cell's own exchange serves the lags within its chunks, and joins by cell later on.
+        df = df.repartition("grid_id").withColumn("chunk", F.col("month") if chunk == "month" else F.substring("month", 1, 4))
+    df = with_lags(df, *(["chunk"] if chunk else []))
+    again = F.coalesce(F.col("lag_date1") == F.col("date"), F.lit(False))
+    if repeats == "fail":
+        what = F.concat(F.lit("two rows of a cell and date: "), F.col("grid_id"), F.lit(" "), F.col("date").cast("string"))
+        df = df.withColumn("date", F.when(again, F.raise_error(what).cast("date")).otherwise(F.col("date")))
     df = df.withColumns({
         "effective_humidity": E.effective_humidity(F.col("hm_mean"), [F.col(f"hm_lag{k}_used") for k in range(1, 5)]),
         "rne_temp": F.col("rn_class") + F.col("rn_class1") + F.col("rn_class2"),
@@ -59,15 +81,13 @@ def features(weather: DataFrame, scaled: bool = True, months: list[str] | None =
     df = df.withColumns({"rne": E.rain_effect(F.col("rne_temp")), "predwi": E.weather_score(F.col("ta_mean"), F.col("hm_mean"), F.col("effective_humidity"), F.col("wind_ws_mean"))})
     df = df.withColumn("predwi_class", E.weather_class(F.col("predwi")))
     df = df.withColumn("dwi", F.col("predwi_class").cast("double") * F.col("rne")).withColumn("dwi_n", F.col("dwi") / 10.0)
-    return readers.in_dates(df.select(*FEATURES), months, start, end)
+    marks = [again.alias("repeated")] if repeats == "mark" else []
+    return readers.in_dates(df.select(*FEATURES, *marks), months, start, end)
 
 
 def features_by_chunk(weather: DataFrame, scaled: bool = True, months: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """As ``features``, but the first days of a month see no history before it."""
-    df = base(readers.in_dates(weather, months, start, end) if months or start or end else weather, scaled)
-    df = df.withColumn("grid_id", F.concat_ws("@", "grid_id", "month"))
-    out = features(df.drop("month", "month_num", "day_num"), scaled=False)
-    return out.withColumn("grid_id", F.substring_index("grid_id", "@", 1))
+    return features(weather, scaled, months, start, end, chunk="month")
 
 
 def official(weather: DataFrame, static: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ STEPS = {
     "fired": "SELECT DISTINCT TRY_CAST(occu_date AS DATE) AS date FROM season0",
     "flagged": "SELECT d.*, CASE WHEN f.date IS NULL THEN 0 ELSE 1 END AS fire FROM day d LEFT JOIN fired f ON d.date = f.date",
     "near": "SELECT s.objt_id, s.occu_year, (CAST(floor(x5179 / 100) AS BIGINT) + dx) || '_' || (CAST(floor(y5179 / 100) AS BIGINT) + dy) AS grid_id FROM season s, range(-{r}, {r1}) a(dx), range(-{r}, {r1}) b(dy) WHERE dx * dx + dy * dy <= {r} * {r}".replace("{r1}", "3").replace("{r}", "2"),
-    "near5": "SELECT (CAST(floor(x5179 / 100) AS BIGINT) + dx) || '_' || (CAST(floor(y5179 / 100) AS BIGINT) + dy) AS grid_id FROM season s, range(-5, 6) a(dx), range(-5, 6) b(dy) WHERE dx * dx + dy * dy <= 25",
+    "near1": "SELECT (CAST(floor(x5179 / 100) AS BIGINT) + dx) || '_' || (CAST(floor(y5179 / 100) AS BIGINT) + dy) AS grid_id FROM season s, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx * dx + dy * dy <= 1 AND objt_id LIKE '%7'",
 }
 USES = {k: {n for n in STEPS if n != k and f" {n} " in f" {v.replace(',', ' ').replace(')', ' ').replace(chr(10), ' ')} "} for k, v in STEPS.items()}
 
@@ -186,7 +186,7 @@ ORACLES = {
     "terrain_wind_to": q(f"SELECT grid_id, date, {r('Dr')}, ROUND(Rm * Ws * Dr * Da, 6) + 0 AS ywi, ROUND(0.55e0 * tmi_base_n + 0.25e0 * {UNIT.format('slope / 35e0')} + 0.2e0 * (Rm * Ws * Dr * Da), 6) + 0 AS tmi_p FROM tb").replace("- 270e0", "- 90e0"),
     "risk_index": q(f"SELECT grid_id, date, month, {r('day_weight dwi dwi_n fmi fmi_n tmi_base_n tmi_p pei ffdri pffdri')} FROM idx"),
     "final_dataset": q(f"SELECT grid_id, date, month, is_forest, forest_type_code, age_class_code, tree_height_code, {r('day_weight ta_mean ta_max hm_mean hm_min wind_ws_mean wind_ws_max wind_wd_sin_mean wind_wd_cos_mean rn_day_mean rn_day_max effective_humidity rne dwi dwi_n fmi fmi_n elevation slope aspect_sin aspect_cos aspect_deg tmi_base_n tmi_p ywi Rm Ws Dr Da pole_count pole_n nearest_road_dist nearest_river_dist road_prox river_far pei ffdri pffdri')} FROM fin"),
-    "final_with_target": q("SELECT fire_label, COUNT(*) AS n, ROUND(AVG(pffdri), 6) AS avg_pffdri FROM (SELECT f.*, l.fire_label FROM fin f LEFT JOIN (SELECT DISTINCT grid_id, CASE WHEN grid_id IN (SELECT grid_id FROM near5 ) THEN 1 ELSE 0 END AS fire_label FROM fx_master_grid ) l ON f.grid_id = l.grid_id) GROUP BY fire_label"),
+    "final_with_target": q("SELECT fire_label, COUNT(*) AS n, ROUND(AVG(pffdri), 6) AS avg_pffdri FROM (SELECT f.*, l.fire_label FROM fin f LEFT JOIN (SELECT DISTINCT grid_id, CASE WHEN grid_id IN (SELECT grid_id FROM near1 ) THEN 1 ELSE 0 END AS fire_label FROM fx_master_grid ) l ON f.grid_id = l.grid_id) GROUP BY fire_label"),
     "official_index": q(OFFICIAL),
     "crs_transform": q("SELECT objt_id, ROUND(x5179, 4) AS x5179, ROUND(y5179, 4) AS y5179 FROM fire"),
     "cell_assign": q("SELECT DISTINCT grid_id, CAST(split_part(grid_id, '_', 1) AS BIGINT) * 100 + 50 AS cx, CAST(split_part(grid_id, '_', 2) AS BIGINT) * 100 + 50 AS cy, CAST(floor(grid_x * 100 / 500) AS BIGINT) AS x500, CAST(floor(grid_y * 100 / 2000) AS BIGINT) AS y2000 FROM fx_master_grid"),
@@ -207,9 +207,9 @@ ORACLES = {
     "lift": q(LIFT),
     "label_corr": q(f"SELECT x AS variable, r, abs(r) AS abs_r FROM ({_pairs('smp', [(c, 'fire_label') for c in SCORES])})"),
     "corr_matrix": _pairs("lineitem", [(a, b) for a in LINES for b in LINES]),
-    "corr_pairs": f"SELECT * FROM ({_pairs('lineitem', [(a, b) for i, a in enumerate(LINES) for b in LINES[i + 1 :]])}) WHERE abs(r) >= 0.3",
+    "corr_pairs": f"SELECT * FROM ({_pairs('(SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem)', [(a, b) for i, a in enumerate(LINES) for b in [*LINES, 'revenue'][i + 1 :]])}) WHERE abs(r) >= 0.3",
     "corr_pairs_weather": q(f"SELECT * FROM ({_pairs('wb', [(a, b) for i, a in enumerate(WEATHER_COLUMNS) for b in WEATHER_COLUMNS[i + 1 :]])}) WHERE abs(r) >= 0.3"),
-    "category_top": q("SELECT CAST(forest_type_code AS VARCHAR) AS category, COUNT(*) AS row_count, COUNT(*) FILTER (fire_label = 1) AS positive_count, ROUND(AVG(ffdri), 6) AS avg_ffdri, ROUND(AVG(pffdri), 6) AS avg_pffdri, ROUND(COUNT(*) FILTER (fire_label = 1) / CAST(COUNT(*) AS DOUBLE), 6) AS positive_rate FROM smp GROUP BY forest_type_code ORDER BY positive_count DESC, row_count DESC, category LIMIT 20"),
+    "category_top": q("SELECT CAST(forest_type_code AS VARCHAR) AS category, COUNT(*) AS row_count, COUNT(*) FILTER (fire_label = 1) AS positive_count, ROUND(AVG(ffdri), 6) AS avg_ffdri, ROUND(AVG(pffdri), 6) AS avg_pffdri, ROUND(COUNT(*) FILTER (fire_label = 1) / CAST(COUNT(*) AS DOUBLE), 6) AS positive_rate FROM smp GROUP BY forest_type_code ORDER BY positive_count DESC, positive_rate DESC, row_count DESC, category LIMIT 20"),
     "metric_ranking": q(f"SELECT variable, positive_mean, ROUND(100e0 * c, 6) AS capture_pct FROM (SELECT *, t AS c FROM ({LIFT.replace('ROUND(SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos), 6) AS top10_capture', 'SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos) AS t')})) ORDER BY c DESC, variable LIMIT 4"),
     "rankings": q(f"WITH l AS ({LIFT.replace('ROUND(SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos), 6)', 'SUM(CASE WHEN cd <= 0.1 THEN pos ELSE 0 END) / SUM(pos)').replace('ROUND(SUM(value * pos) / SUM(pos), 6) + 0', 'SUM(value * pos) / SUM(pos)')}), e AS (SELECT 'positive_mean' AS ranking, variable, positive_mean AS value, positive_mean AS rank_by FROM l UNION ALL SELECT 'top10_capture', variable, 100e0 * top10_capture, 100e0 * top10_capture FROM l UNION ALL SELECT 'label_correlation', x, r, abs(r) FROM ({_pairs('smp', [(c, 'fire_label') for c in SCORES])})) SELECT ranking, CAST(row_number() OVER (PARTITION BY ranking ORDER BY rank_by DESC, variable) AS INTEGER) AS place, variable, ROUND(value, 6) + 0 AS value FROM e"),
     "missing_profile": q("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, COUNT(*) - COUNT({c}) AS missing, ROUND(100e0 * (COUNT(*) - COUNT({c})) / COUNT(*), 6) AS missing_pct FROM fx_master_grid " for c in ["grid_id", "grid_x", "grid_y", "pole_count", "is_forest", "forest_type_code", "age_class_code", "tree_height_code", *ATTRIBUTES, "city_name"]) + ") WHERE missing > 0"),

@@ -213,7 +213,7 @@ def final_in_one_pass(s, d):
 @query
 def final_with_target(s, d):
     w, m = _features(s, d), fx.master_grid(s, d)
-    label = events.buffer_label(m.select("grid_id").distinct(), _seasonal(s, d))
+    label = events.buffer_label(m.select("grid_id").distinct(), _seasonal(s, d).where("objt_id LIKE '%7'"), radius=1)
     return risk.final_dataset(w, static.forest(m), risk.terrain_wind(w, _cells(s, d)), static.exposure(m), _index(s, d), label).groupBy("fire_label").agg(F.count("*").alias("n"), F.avg("pffdri").alias("avg_pffdri"))
 
 
@@ -320,7 +320,7 @@ def lift(s, d):
 
 @query
 def label_corr(s, d):
-    out = profile.correlations(_sample(s, d), [(c, "fire_label") for c in SCORES])
+    out = profile.correlations(_sample(s, d), SCORES, ["fire_label"])
     return out.select(F.col("x").alias("variable"), "r", F.abs("r").alias("abs_r"))
 
 
@@ -331,7 +331,8 @@ def corr_matrix(s, d):
 
 @query
 def corr_pairs(s, d):
-    return profile.strong_pairs(fx.table(s, d, "lineitem"), LINE_NUMBERS)
+    lines = fx.table(s, d, "lineitem").withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return profile.strong_pairs(lines, [*LINE_NUMBERS, "revenue"])
 
 
 @query

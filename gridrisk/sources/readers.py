@@ -34,16 +34,26 @@ def read_source(spark: SparkSession, name: str, path: str | None = None) -> Data
 DECODERS = {"utf-8-sig": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR"}
 
 
-def read_events_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header, in an encoding; without one, UTF-8 if all of the text is valid so, else cp949, which holds
-    EUC-KR. For other encodings than Unicode the session is set to admit all of Java's."""
-    if encoding is None:
-        valid = spark.read.text(path).agg(F.every(F.is_valid_utf8("value"))).first()[0]
-        encoding = "cp949" if valid is False else "utf-8-sig"
+def _csv(spark: SparkSession, paths: str | list[str], encoding: str) -> DataFrame:
     name = DECODERS.get(encoding.lower(), encoding)
     if not name.upper().startswith("UTF"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.csv(path, header=True, encoding=name)
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the lazy read needs it later, so it stays
+    return spark.read.csv(paths, header=True, encoding=name, multiLine=True, escape='"')
+
+
+def read_events_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """CSV files with a header, in an encoding; without one each file of a folder is decided for itself: UTF-8 if all of
+    its text is valid so, else cp949, which holds EUC-KR. Files may lack columns that others have, and quoted values may
+    hold line breaks; a file is one task's, as such breaks allow no cut. For other encodings than Unicode the session is
+    set to admit all of Java's. A row per file passes through the driver."""
+    if encoding is not None:
+        return _csv(spark, path, encoding)
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.every(F.is_valid_utf8("value")).alias("valid"))
+    files = lines.collect()
+    parts = [_csv(spark, [r.file for r in files if r.valid is valid], name) for valid, name in ((True, "utf-8-sig"), (False, "cp949")) if any(r.valid is valid for r in files)]
+    if not parts:
+        return _csv(spark, path, "utf-8-sig")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def require_columns(df: DataFrame, required: list[str], name: str) -> DataFrame:
