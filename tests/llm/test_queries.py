@@ -18,6 +18,7 @@ DOCS = [
     (66, text(0, 20)), (67, text(0, 20)), (67, text(0, 20)), (None, "no id a.b@c.org 4111 1111 1111 1111"), (None, None), (68, "é▁𝄞 <|im_end|> token=b7db7aa4a5fcc78305 +1 (017) 555-7713"),
 ]
 LABELS = [(k, int(k % 3 > 0), int(k % 7 == 0)) for k in range(60)] + [(None, 1, 1), (62, 0, None), (5, 1, 0)]
+VECTORS = [(k, [((k * 7 + j * 3) % 11 - 5) / 16 for j in range(16)], k % 3) for k in range(0, 300, 2)] + [(None, None, None), (301, [0.5], 1), (302, None, 1)]
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo <|im_end|>"), (2, None, None, None), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
 
 
@@ -30,6 +31,7 @@ def folders(spark, tmp_path_factory):
         "documents": docs,
         "labels": spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"),
         "benchmark": spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string"),
+        "embeddings": spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int"),
         "conversations": spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string"),
     }
     for name, df in tables.items():
@@ -48,7 +50,7 @@ def test_empty_tables_give_no_rows(spark, folders, name):
     assert QUERIES[name](spark, f"{folders}/empty").count() == (1 if name == "op7_chat_formatting" else 0)  # conversation -1
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op7_chat_formatting", "op8_decontamination")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op7_chat_formatting", "op8_decontamination", "op11_hard_negatives", "op12_vector_codes")])
 def test_each_row_has_a_result(odd, name):
     assert sorted(map(str, odd[name]["doc_id"].astype("Int64"))) == sorted("<NA>" if i is None else str(i) for i, _ in DOCS)
 
