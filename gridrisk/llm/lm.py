@@ -394,8 +394,9 @@ def score_texts(texts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) ->
     return in_arrow(texts.select("key", "text"), score, "key long, n_tokens long, hot_known long, hot_log double, model_log double")
 
 
-def score_corpus(docs: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", texts_per_range: int = 5_000, **training) -> DataFrame:
-    """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def score_corpus(docs: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", tokens_per_range: int = 2_000_000, **training) -> DataFrame:
+    """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score and score. Rare tokens are summed
+    in ranges of their hashes that get so many tokens at most on average, frequent ones in tasks of texts."""
     texts = docs.select(F.col(f"`{id_col}`"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("key"), F.coalesce(learning, F.lit(True)).alias("learning"), F.col(f"`{text_col}`").alias("text"))
     learnt = texts.where("learning")
     counts = stored(count_tokens(learnt, F.col("text")), "lm-counts")
@@ -403,11 +404,12 @@ def score_corpus(docs: DataFrame, learning: Column, id_col: str = "doc_id", text
     triples = count_triples(learnt, F.col("text"), vocabulary)
     model = train_nce(triples, vocabulary, **training)
     discard(triples, counts)
-    ranges = max(16, docs.count() // texts_per_range)
     keyed = texts.select(id_col, "key", "learning")
     # Equal rows share a key: each adds the same to the sums, which are parted again.
     alike = [F.first(c).alias(c) for c in ("n_tokens", "hot_known", "hot_log", "model_log")]
-    scored = score_texts(texts, vocabulary, model).groupBy("key").agg(F.count("*").alias("rows"), *alike)
+    scored = stored(score_texts(texts, vocabulary, model).groupBy("key").agg(F.count("*").alias("rows"), *alike), "lm-scored")
+    tokens = scored.agg(F.sum(F.col("rows") * F.col("n_tokens"))).first()[0] or 0
+    ranges = max(16, tokens // tokens_per_range)
     found = keyed.join(scored, "key").join(rare_sums(texts, vocabulary, ranges), "key", "left")
     rare = F.coalesce(F.col("rare_log") / F.col("rows"), F.lit(0.0))
     rare_known = F.coalesce((F.col("rare_known") / F.col("rows")).cast("long"), F.lit(0))
