@@ -6,6 +6,8 @@ symmetric difference of at most (m + n) / 9. Documents with equal sets are one c
 
 1. Sieve. Sets sorted by hash that link share at least l shingles of their first n - ceil(0.8 n) + l. Every class posts
    these with l = n / 10, 30 % of its shingles. A class stays if enough of what it posted is posted by another class.
+   No range gets a shingle that very many classes hold: a sample of classes tells which these are, they count as shared
+   wherever they occur, and their classes learn of them where they are read.
 2. Frequencies. Classes that stay post whole sets, so each learns which of its shingles others hold, and how many. Shingles
    that no other class holds count as the rarest. In order of frequency, two sets that link share one of their first
    n - ceil(0.8 n) + 1, the prefix; a class with fewer shared shingles than ceil(0.8 n) links with nothing.
@@ -42,6 +44,12 @@ from gridrisk.llm.text import GOLD, mixed, shingle_sets
 WIDTH = 5
 #: Shingles that a range of the hash space gets on average, and that a task deals out at a time.
 TOKENS_PER_RANGE = 1_000_000
+#: A shingle of so many classes, or of a millionth of all postings, is hot: it is found in a sample and sent to no range.
+HOT_CLASSES = TOKENS_PER_RANGE // 4
+#: Classes of a hot shingle that the sample has on average; half as many make it known.
+SAMPLED = 64
+#: What a hot shingle counts as, for all classes that hold it.
+HOT = 2**31 - 1
 #: Units that one task of a hot shingle looks at for each unit outside the shingle's largest component.
 CHUNK = 1_000
 SKETCH = 8  # longs
@@ -89,9 +97,65 @@ def measured(texts: DataFrame) -> DataFrame:
     return in_arrow(texts.select("id", "copy", "text"), measure, f"id {kind}, copy long, n int, cls long, posts binary")
 
 
-def dealt(sets: DataFrame, ranges: int) -> DataFrame:
+def hot_tokens(sets: DataFrame, total: float, least: int | None = None) -> np.ndarray:
+    """The tokens, sorted, that surely have many classes: least of them, by default HOT_CLASSES or a millionth of total,
+    all postings. They come from a sample of classes by their hash, so one with few more than that may be missing, which
+    costs memory and no result; at most some two million are found. Each has two classes at least."""
+    least = least or max(HOT_CLASSES, int(total / 1_000_000))
+    one_of = max(1, least // SAMPLED)
+    chosen = sets.where(F.pmod(F.xxhash64("cls", F.lit("hot")), F.lit(one_of)) == 0)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flat = np.frombuffer(tokens, np.uint64)
+                yield pa.RecordBatch.from_arrays([signed(flat), pa.array(np.full(len(flat), key))], names=["token", "cls"])
+
+    rows = in_arrow(chosen.select("cls", "tokens"), spread, "token long, cls long").distinct().groupBy("token").agg(F.count("*").alias("classes"))
+    found = rows.where(F.col("classes") >= max(2, least // one_of // 2)).select("token").toArrow()
+    return np.sort(found["token"].to_numpy().view(np.uint64)) if found.num_rows else np.empty(0, np.uint64)
+
+
+def is_hot(flat: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(flat), bool)
+    return hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
+
+
+def held_hot(sets: DataFrame, shared) -> DataFrame:
+    """cls, n and those of its tokens that are hot, once for each class that has any. shared: the broadcast hot tokens."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            rows = []
+            for key, n, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                flat = np.frombuffer(tokens, np.uint64)
+                if (own := is_hot(flat, hot)).any():
+                    rows.append((key, n, flat[own].tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["cls", "n", "tokens"])
+
+    return in_arrow(sets.select("cls", "n", "tokens"), task, "cls long, n int, tokens binary").dropDuplicates(["cls"])
+
+
+def hot_blocks(sets: DataFrame, shared, ranges: int, columns: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple]) -> DataFrame:
+    """Blocks (range, block) by range of classes for the hot tokens alone; columns makes a block of classes, sizes and
+    their hot tokens."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, size = (batch.column(k).to_numpy() for k in range(2))
+            tokens = [np.frombuffer(t, np.uint64) for t in batch.column(2).to_pylist()]
+            for r, o in by_class(key, ranges):
+                yield block_row(r, *columns(key[o], size[o], [tokens[k] for k in o]))
+
+    return in_arrow(held_hot(sets, shared), task, "range int, block binary")
+
+
+def dealt(sets: DataFrame, ranges: int, shared) -> DataFrame:
     """sets: cls, n, tokens (binary). Blocks (range, block) by range of the hash space; a block is the classes, their sizes
-    and how many tokens each has in the range, then the tokens."""
+    and how many tokens each has in the range, then the tokens. Hot tokens (shared, a broadcast) are left out."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,6 +167,9 @@ def dealt(sets: DataFrame, ranges: int) -> DataFrame:
                     held, end = held + len(tokens[end]), end + 1
                 flat = np.concatenate(tokens[start:end])
                 owner = np.repeat(np.arange(end - start), [len(t) for t in tokens[start:end]])
+                if len(shared.value):
+                    cold = ~is_hot(flat, shared.value)
+                    flat, owner = flat[cold], owner[cold]
                 at = (mixed(flat) >> np.uint64(32)).astype(np.int64) * ranges >> 32
                 order = np.argsort(at, kind="stable")
                 bounds = np.searchsorted(at[order], np.arange(ranges + 1))
@@ -168,8 +235,13 @@ def block_row(r: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b"".join(c.tobytes() for c in columns)], pa.binary())], names=["range", "block"])
 
 
-def sieved(prints: DataFrame, ranges: int) -> DataFrame:
-    """prints: as measured. (cls, n) of the classes that may link."""
+def with_hot(blocks: DataFrame, more: Callable[[], DataFrame], hot: np.ndarray, ranges: int) -> DataFrame:
+    """blocks, with those of the hot tokens if there are any, by range."""
+    return (blocks.unionByName(more()) if len(hot) else blocks).repartitionById(ranges, "range")
+
+
+def sieved(prints: DataFrame, ranges: int, total: float, least: int | None = None) -> DataFrame:
+    """prints: as measured. (cls, n) of the classes that may link. total: all postings; least: as for hot_tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found := held_by_two(batches):
@@ -186,8 +258,11 @@ def sieved(prints: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[kept]), pa.array(n[kept])], names=["cls", "n"])
 
     posts = prints.where("posts IS NOT NULL").select("cls", "n", F.col("posts").alias("tokens"))
-    counts = in_arrow(dealt(posts, ranges), count, "range int, block binary").repartitionById(ranges, "range")
-    return in_arrow(counts, choose, "cls long, n int")
+    hot = hot_tokens(posts, total, least)
+    shared = prints.sparkSession.sparkContext.broadcast(hot)
+    each = lambda key, size, tokens: (key, size.astype(np.int32), np.array([len(t) for t in tokens], np.int32))
+    counts = in_arrow(dealt(posts, ranges, shared), count, "range int, block binary")
+    return in_arrow(with_hot(counts, lambda: hot_blocks(posts, shared, ranges, each), hot, ranges), choose, "cls long, n int")
 
 
 def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,16 +285,17 @@ def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
 
-def with_prefixes(sets: DataFrame, ranges: int) -> DataFrame:
+def with_prefixes(sets: DataFrame, ranges: int, total: float, least: int | None = None) -> DataFrame:
     """sets: cls, n, tokens. Of the classes of which enough is shared: cls, n, alone (how many shingles no other class
-    holds), prefix (those of the prefix that others hold, rarest first) and the longs of the sketch."""
+    holds), prefix (those of the prefix that others hold, rarest first) and the longs of the sketch. Hot shingles count as
+    the most frequent, for all classes alike, so their order is one and the same. total, least: as for hot_tokens."""
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (found := held_by_two(batches)):
             return
         token, key, size, many = found
         for r, o in by_class(key, ranges):
-            yield block_row(r, key[o], token[o], size[o].astype(np.int32), np.minimum(many[o], 2**31 - 1).astype(np.int32))
+            yield block_row(r, key[o], token[o], size[o].astype(np.int32), np.minimum(many[o], HOT).astype(np.int32))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (found := gathered(batches, (np.int64, np.uint64, np.int32, np.int32))):
@@ -244,7 +320,13 @@ def with_prefixes(sets: DataFrame, ranges: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * SKETCH)
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists], names=["cls", "n", "alone", *SKETCHES, "prefix"])
 
-    blocks = in_arrow(dealt(sets, ranges), reply, "range int, block binary").repartitionById(ranges, "range")
+    def each(key: np.ndarray, size: np.ndarray, tokens: list[np.ndarray]) -> tuple:
+        n = [len(t) for t in tokens]
+        return np.repeat(key, n), np.concatenate(tokens), np.repeat(size, n).astype(np.int32), np.full(sum(n), HOT, np.int32)
+
+    hot = hot_tokens(sets, total, least)
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
+    blocks = with_hot(in_arrow(dealt(sets, ranges, shared), reply, "range int, block binary"), lambda: hot_blocks(sets, shared, ranges, each), hot, ranges)
     return in_arrow(blocks, choose, f"cls long, n int, alone int, {', '.join(f'{s} long' for s in SKETCHES)}, prefix array<long>")
 
 
@@ -354,21 +436,22 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_classes: int | None = None) -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``component`` (equal for all documents reachable by links) and
-    ``component_id`` (the least id of the component)."""
+    ``component_id`` (the least id of the component). hot_classes: of how many classes a shingle is hot, see hot_tokens;
+    it changes no result."""
     text = F.col(f"`{text_col}`")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
     # A word has some six bytes, so this is near the number of shingles.
     shingles = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 6
     ranges = lambda share: max(1, round(shingles * share / TOKENS_PER_RANGE))
     prints = stored(measured(texts), "prints")
-    kept = stored(sieved(prints, ranges(0.3)), "sieved")
+    kept = stored(sieved(prints, ranges(0.3), 0.3 * shingles, hot_classes), "sieved")
     # One text for each class, of rows that posted: exact copies are few there.
     wanted = prints.where("posts IS NOT NULL").join(hinted(kept.select("cls")), "cls", "left_semi").groupBy("cls").agg(F.min("copy").alias("copy"))
     wanted = stored(wanted.select("copy").distinct(), "wanted")
     whole = stored(whole_sets(texts, wanted), "whole-sets")
-    able = stored(with_prefixes(whole, ranges(0.3)), "prefixes")
+    able = stored(with_prefixes(whole, ranges(0.3), shingles, hot_classes), "prefixes")
     groups = able.groupBy("n", "prefix").agg(F.min("cls").alias("gid"))
     members = stored(able.join(groups, ["n", "prefix"]), "members")
     alike = whole.join(hinted(able.select("cls")), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
