@@ -55,8 +55,11 @@ def _binned(firsts: Column) -> Column:
 
 
 def _densified(bins: Column, firsts: Column) -> Column:
-    """Each empty bin probes bins by a hash of (bin, attempt), alike for all documents, until one is not empty. Where
-    PROBES attempts fail, few bins are filled, and the filled bin with the least hash of (bin, filled bin) is taken."""
+    """Each empty bin has an order of all bins, alike for all documents, and takes the first that is not empty: first come
+    the bins that PROBES hashes of (bin, attempt) name, then all bins by their hash with the empty one. The order is of
+    random bins throughout, so two documents that fill the same bins take the same one, whichever part of the order it
+    comes from, and any filled bin is as likely as another. The second part is what keeps an order finite: with f of BINS
+    bins filled it is reached by a share (1 - f / BINS) ** PROBES of the empty ones."""
 
     def fill(i: Column) -> Column:
         probes = [F.get(bins, F.xxhash64(i, F.lit(k)).bitwiseAND(BINS - 1).cast("int")) for k in range(PROBES)]
@@ -103,20 +106,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), fit))
 
 
-def with_following(df: DataFrame, id_col: str, columns: dict[str, str], rows_per_bucket: int = 2000, most_buckets: int = 1024) -> DataFrame:
+def _place(cuts: list, key: Column) -> Column:
+    """How many of the sorted cuts are at most key, looked up in two steps of about the square root of their number."""
+    width = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    if not parts:
+        return F.lit(0)
+    part = F.size(F.filter(F.array(*[F.lit(p[0]) for p in parts]), lambda c: c <= key))
+    inside = F.size(F.filter(F.get(F.array(*[F.array(*map(F.lit, p)) for p in parts]), part - 1), lambda c: c <= key))
+    return F.when(part == 0, 0).otherwise((part - 1) * width + inside)
+
+
+def with_following(df: DataFrame, id_col: str, columns: dict[str, str], rows_per_bucket: int = 2000, most_buckets: int = 16_384) -> DataFrame:
     """df with columns of the row that follows in descending order of the id; the first row follows the last.
 
     columns: of df, to the new names. Rows are dealt into ranges of ids (ids of equal value stay together), and each
-    range gets the first row of the next range as a guest, so no task sees more than a range. Equal ids follow by the
-    hash of the row; null ids come last.
+    range gets the first row of the next range as a guest, so no task sees more than a range, and sorts it with spilling.
+    Equal ids follow by the hash of the row; null ids come last. most_buckets bounds what the plan holds: a range of 100 TB
+    is 6 GB then.
     """
     bucket, guest, tie, new = (fresh_name(df, n) for n in ("bucket", "guest", "tie", "target"))
     key = F.col(f"`{id_col}`")
     n = df.count()
     buckets = max(1, min(most_buckets, n // rows_per_bucket))
     cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0))
-    df = df.withColumn(bucket, F.when(key.isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c <= key))))
+    df = df.withColumn(bucket, F.when(key.isNull(), -1).otherwise(_place(sorted(set(cuts)), key)))
     tops = sorted((r[0], r[1]) for r in df.groupBy(bucket).agg(F.max(key)).collect())
     # The first row of a range is the guest of the range above it, the very first one of the lowest.
     to = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
