@@ -112,35 +112,51 @@ def build_items(rows: list, width: int) -> Items | None:
     return Items(width, np.array([r["item_id"] for r in kept]), np.array([r["n_words"] for r in kept]), prints, shingles, weights, every, power, marks, tables)
 
 
+#: Places of item shingles that are looked at together.
+HITS = 4_096
+
+
 def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """Best windows per item: (item place, start, words, Hamming distance, similarity)."""
-    place = np.minimum(np.searchsorted(items.every, shingles), len(items.every) - 1)
-    known = items.every[place] == shingles
-    each = np.where(known, parts(items.power[place]), 0)
-    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(votes(shingles) * each[:, None], 0)])
+    """Best windows per item: (item place, start, words, Hamming distance, similarity). hits: where shingles of items are,
+    in order. Running sums have a row for each hit, not each word, and hits are taken HITS at a time with their
+    surroundings, so a text of any length needs memory in proportion to its shingles only."""
+    spans = {int(size): min(int(size) - items.width + 1, len(shingles)) for size in np.unique(items.sizes)}  # shingles in a window, or in all of a shorter text
+    of_size = {size: np.flatnonzero(items.sizes == size) for size in spans}
+    widest, last = max(spans.values()), dict.fromkeys(spans, -1)
     best: dict[int, tuple] = {}
-    for size in np.unique(items.sizes):
-        span = min(int(size) - items.width + 1, len(shingles))  # shingles in a window, or in all of a shorter document
-        starts = np.unique((hits[:, None] - np.arange(span)).ravel())
-        starts = starts[(starts >= 0) & (starts + span <= len(shingles))]
-        for some in np.array_split(starts, max(1, len(starts) // 4096)):
-            prints = packed(sums[some + span] - sums[some])
-            of_size = np.flatnonzero(items.sizes == size)
-            found = np.zeros((len(some), len(of_size)), bool)
-            for block in range(BLOCKS):
-                value = (prints >> np.uint64(block * BITS_PER_BLOCK)).astype(np.int64) & ((1 << BITS_PER_BLOCK) - 1)
-                found |= items.tables[block][value][:, of_size]
-            at, which = np.nonzero(found)
-            far = np.bitwise_count(prints[at] ^ items.prints[of_size[which]])
-            for a, w, d in zip(at[far <= RADIUS], which[far <= RADIUS], far[far <= RADIUS], strict=True):
-                item, start = int(of_size[w]), int(some[a])
-                held = np.isin(items.shingles[item], shingles[start : start + span])
-                share = float((items.weights[item] * held).sum() / items.weights[item].sum())
-                if share >= similarity - 1e-12 and (item not in best or (-share, start) < (-best[item][4], best[item][1])):
-                    best[item] = (item, start, span + items.width - 1, int(d), share)
+    for at in range(0, len(hits), HITS):
+        some = hits[at : at + HITS]
+        around = hits[np.searchsorted(hits, some[0] - widest) : np.searchsorted(hits, some[-1] + widest + 1)]
+        each = parts(items.power[np.searchsorted(items.every, shingles[around])])
+        sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(votes(shingles[around]) * each[:, None], 0)])
+        for size, span in spans.items():
+            starts = np.unique((some[:, None] - np.arange(span)).ravel())
+            starts = starts[(starts > last[size]) & (starts >= 0) & (starts + span <= len(shingles))]
+            if not len(starts):
+                continue
+            last[size] = int(starts[-1])
+            for few in np.array_split(starts, max(1, len(starts) // 4096)):
+                prints = packed(sums[np.searchsorted(around, few + span)] - sums[np.searchsorted(around, few)])
+                _weigh(items, of_size[size], shingles, few, span, prints, similarity, best)
     return [best[k] for k in sorted(best)]
 
 
+def _weigh(items: Items, of_size: np.ndarray, shingles: np.ndarray, starts: np.ndarray, span: int, prints: np.ndarray, similarity: float, best: dict[int, tuple]) -> None:
+    """Puts the windows at starts that hold an item of one size into best."""
+    found = np.zeros((len(starts), len(of_size)), bool)
+    for block in range(BLOCKS):
+        value = (prints >> np.uint64(block * BITS_PER_BLOCK)).astype(np.int64) & ((1 << BITS_PER_BLOCK) - 1)
+        found |= items.tables[block][value][:, of_size]
+    at, which = np.nonzero(found)
+    far = np.bitwise_count(prints[at] ^ items.prints[of_size[which]])
+    for a, w, d in zip(at[far <= RADIUS], which[far <= RADIUS], far[far <= RADIUS], strict=True):
+        item, start = int(of_size[w]), int(starts[a])
+        held = np.isin(items.shingles[item], shingles[start : start + span])
+        share = float((items.weights[item] * held).sum() / items.weights[item].sum())
+        if share >= similarity - 1e-12 and (item not in best or (-share, start) < (-best[item][4], best[item][1])):
+            best[item] = (item, start, span + items.width - 1, int(d), share)
+
+
 def item_rows(benchmark: DataFrame) -> DataFrame:
     """Items with words: item_id, width (WIDTH, or the number of words of shorter items), n_words, shingles (all, as
     little-endian bytes) and kinds (the distinct ones, by value as unsigned numbers)."""
