@@ -17,7 +17,8 @@ BROADCAST_CELLS = 500_000
 
 @dataclass(frozen=True)
 class Run:
-    """Where a run reads and writes. months, start and end limit it. chunk: 'month' or 'year' gives the first days of a
+    """Where a run reads and writes; weather is a path, or with fact_table a table's name, as ``sinks.replace_fact`` stores
+    it so that the run needs no exchange of the fact at all. months, start and end limit it. chunk: 'month' or 'year' gives the first days of a
     chunk no history, as runs chunk by chunk do. target_sizes: cell sizes of the targets, in metres. parts: a folder of
     part files with numbers up to most_part, that replace the weather fact first. repeats: what to do with a second row of
     a cell and date, 'keep' or 'fail'. broadcast_cells: see BROADCAST_CELLS."""
@@ -42,12 +43,17 @@ class Run:
     most_part: int = 721
     repeats: str = "keep"
     broadcast_cells: int = BROADCAST_CELLS
+    fact_table: bool = False
 
 
 def _window(run: Run) -> dict:
     return {"months": run.months, "start": run.start, "end": run.end}
 
 
+def fact_of(spark: SparkSession, run: Run) -> DataFrame:
+    return spark.table(run.weather) if run.fact_table else readers.read_tree(spark, run.weather)
+
+
 def final_of(fact: DataFrame, master: DataFrame, run: Run) -> DataFrame:
     """The final dataset of a run as one plan: the fact is shuffled once, by cell."""
     days = weather.features(fact, **_window(run), chunk=run.chunk, repeats=run.repeats)
@@ -93,7 +99,7 @@ def run_all(spark: SparkSession, run: Run) -> dict[str, sinks.Written]:
     if run.parts:
         loaded = readers.read_parts(spark, run.parts, run.most_part).drop("filename")
         sinks.write_months(loaded.withColumn("month", F.date_format("date", "yyyy-MM")), run.weather, "all", run.codec, run.level)
-    fact, master = readers.read_tree(spark, run.weather), readers.read_source(spark, "master_grid", run.master)
+    fact, master = fact_of(spark, run), readers.read_source(spark, "master_grid", run.master)
     readers.require_columns(fact, ["grid_id", "date", "month", *weather.REALS], "weather")
     readers.require_columns(master, ["grid_id", "pole_count", "is_forest", "forest_type_code", "elevation", "slope", "aspect_sin", "aspect_cos", "city_name"], "master grid")
     out = {}

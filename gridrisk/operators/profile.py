@@ -232,14 +232,28 @@ def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     return rows.join(q, "grp").groupBy("grp", "q25", "q50", "q75").agg(F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))
 
 
-def dry_streak(daily: DataFrame, rain: str = "rn_day_mean", limit: float = 1.0) -> DataFrame:
-    """``streak``: consecutive rows with less rain than limit up to each row, by group ``grid_id``; a missing value ends
-    a streak. Islands are numbered by a running count of wet rows."""
-    dry = F.when(F.col(rain) < limit, 1).otherwise(0)
-    order = Window.partitionBy("grid_id").orderBy("date")
-    df = daily.withColumn("dry", dry).withColumn("island", F.sum(1 - F.col("dry")).over(order))
-    island = Window.partitionBy("grid_id", "island").orderBy("date")
-    return df.withColumn("streak", F.sum("dry").over(island)).drop("dry", "island")
+def dry_streak(daily: DataFrame, rain: str = "rn_day_mean", limit: float = 1.0, *, reset_at_gaps: bool = False, days: int = 1024) -> DataFrame:
+    """``streak``: consecutive rows with less rain than limit up to each row, by ``grid_id`` and ``date``; a missing value
+    ends a streak, and with reset_at_gaps a missing day does.
+
+    A series is cut into ranges of so many days, which are counted apart; what a range carries into the next comes from one
+    row per range. So tasks follow the rows, not the series, however long one is."""
+    row, wet = Window.partitionBy("grid_id", "range").orderBy("date"), F.when(F.col(rain) < limit, 0).otherwise(1)
+    df = daily.withColumns({"range": F.floor(F.unix_date("date") / days), "wet": wet})
+    missed = F.datediff("date", F.lag("date").over(row)) > 1 if reset_at_gaps else F.lit(False)
+    df = df.withColumn("break", F.when((F.col("wet") == 1) | missed, 1).otherwise(0)).withColumn("island", F.sum("break").over(row))
+    island = Window.partitionBy("grid_id", "range", "island").orderBy("date")
+    df = df.withColumn("streak", F.sum(1 - F.col("wet")).over(island))
+    ranges = df.groupBy("grid_id", "range").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("streak", "date").alias("tail"), (F.max("island") > 0).alias("broken"))
+    # A row per range: the carry of a range is the last broken range's tail and the rows of the whole ranges since.
+    before = Window.partitionBy("grid_id").orderBy("range")
+    follows = F.datediff("first", F.lag("last").over(before)) == 1 if reset_at_gaps else F.lag("last").over(before).isNotNull()
+    after = F.lag("broken").over(before)
+    step = F.when(F.coalesce(follows, F.lit(False)), F.when(after, F.lag("tail").over(before)).otherwise(F.lag("n").over(before))).otherwise(0)
+    ranges = ranges.withColumns({"step": step, "new": F.when(F.coalesce(follows & ~after, F.lit(False)), 0).otherwise(1)}).withColumn("chain", F.sum("new").over(before))
+    carry = ranges.select("grid_id", "range", F.sum("step").over(Window.partitionBy("grid_id", "chain").orderBy("range")).alias("carry"))
+    out = _beside(df, carry, ["grid_id", "range"])
+    return out.withColumn("streak", F.col("streak") + F.when(F.col("island") == 0, F.col("carry")).otherwise(0)).drop("range", "wet", "break", "island", "carry")
 
 
 def binned_rate(df: DataFrame, bin_: Column, label: str) -> DataFrame:

@@ -28,7 +28,8 @@ def negatives(final: DataFrame, target: DataFrame, cut: int, seed: int = 42) ->
 def labelled(final: DataFrame, target: DataFrame, ratio: int = 10, most: int = 200_000, seed: int = 42, keys: DataFrame | None = None) -> DataFrame:
     """Positives and sampled negatives; target columns of the negatives are null but for label and count. One pass over
     the keys counts both kinds, one over final joins the target and keeps what is positive or drawn. keys: a table with
-    the keys of final's rows that is cheaper to make than final."""
+    the keys of final's rows that is cheaper to make than final; it must have a key as often as final has it, so where
+    static rows of a cell fan out in final, the raw fact would give a greater share of negatives."""
     final = final.drop(*[c for c in target.columns if c not in KEY])
     hit = "__hit"
     marked = target.withColumn(hit, F.lit(True))

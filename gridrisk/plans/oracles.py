@@ -242,3 +242,31 @@ ORACLES = {
 }
 ORACLES["final_in_one_pass"] = ORACLES["final_dataset"]
 ORACLES["risk_index_joined"] = ORACLES["risk_index"]
+
+FINAL_NUMBERS = (
+    "day_weight ta_mean ta_max hm_mean hm_min wind_ws_mean wind_ws_max wind_wd_sin_mean wind_wd_cos_mean rn_day_mean rn_day_max effective_humidity rne dwi dwi_n is_forest forest_type_code "
+    "age_class_code tree_height_code fmi fmi_n elevation slope aspect_sin aspect_cos aspect_deg tmi_base_n tmi_p ywi Rm Ws Dr Da pole_count pole_n nearest_road_dist nearest_river_dist road_prox "
+    "river_far pei ffdri pffdri"
+).split()
+
+
+def _matrix(source: str, columns: list[str]) -> str:
+    """Every pair of columns from one pass: a struct per pair, unnested, and the other way round."""
+    pairs = ", ".join(f"{{'x': '{a}', 'y': '{b}', 'r': CORR({a}, {b})}}" for i, a in enumerate(columns) for b in columns[i:])
+    half = f"SELECT unnest([{pairs}]) AS u FROM {source} "
+    both = "unnest(CASE WHEN u.x = u.y THEN [[u.x, u.y]] ELSE [[u.x, u.y], [u.y, u.x]] END) AS n"
+    return f"SELECT n[1] AS x, n[2] AS y, ROUND(CASE WHEN isfinite(r) THEN r END, 6) + 0 AS r FROM (SELECT u.r AS r, {both} FROM ({half}))"
+
+
+ORACLES["corr_matrix_final"] = q(_matrix("fin", FINAL_NUMBERS))
+ORACLES["sample_feature_summary"] = q(
+    f"SELECT variable, fire_label, COUNT(*) AS row_count, {DESCRIBED.removeprefix('COUNT(value) AS n, ').replace('AS q50', 'AS median')} FROM ({_long('smp', FINAL_NUMBERS, 'fire_label, ')}) GROUP BY variable, fire_label"
+)
+ORACLES["sample_month_summary"] = q(
+    "SELECT month, COUNT(*) AS row_count, COUNT(*) FILTER (fire_label = 1) AS positive_rows, ROUND(AVG(CAST(fire_label AS DOUBLE)), 6) AS positive_rate, ROUND(AVG(pffdri), 6) AS avg_pffdri, "
+    "ROUND(AVG(ffdri), 6) AS avg_ffdri FROM smp GROUP BY month ORDER BY positive_rows DESC, AVG(CAST(fire_label AS DOUBLE)) DESC, row_count DESC, month LIMIT 30"
+)
+ORACLES["dry_streak_reset"] = q(
+    "SELECT grid_id, date, CAST(SUM(dry) OVER (PARTITION BY grid_id, island ORDER BY date) AS BIGINT) AS streak FROM (SELECT *, SUM(stop) OVER (PARTITION BY grid_id ORDER BY date) AS island FROM ("
+    "SELECT grid_id, date, CASE WHEN rn_day_mean < 1 THEN 1 ELSE 0 END AS dry, CASE WHEN rn_day_mean < 1 AND date - LAG(date) OVER (PARTITION BY grid_id ORDER BY date) <= 1 THEN 0 ELSE 1 END AS stop FROM wb ))"
+)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridrisk.functions import exprs as E
-from gridrisk.operators import events, profile, risk, sample, static, summaries, weather
+from gridrisk.operators import events, profile, reports, risk, sample, static, summaries, weather
 from gridrisk.plans import fixtures as fx
 from gridrisk.sources import readers
 
@@ -329,6 +329,31 @@ def corr_matrix(s, d):
     return profile.correlation_matrix(fx.table(s, d, "lineitem"), LINE_NUMBERS)
 
 
+#: Every number of the final dataset.
+FINAL_NUMBERS = [
+    "day_weight", "ta_mean", "ta_max", "hm_mean", "hm_min", "wind_ws_mean", "wind_ws_max", "wind_wd_sin_mean", "wind_wd_cos_mean", "rn_day_mean", "rn_day_max", "effective_humidity",
+    "rne", "dwi", "dwi_n", "is_forest", "forest_type_code", "age_class_code", "tree_height_code", "fmi", "fmi_n", "elevation", "slope", "aspect_sin", "aspect_cos", "aspect_deg", "tmi_base_n",
+    "tmi_p", "ywi", "Rm", "Ws", "Dr", "Da", "pole_count", "pole_n", "nearest_road_dist", "nearest_river_dist", "road_prox", "river_far", "pei", "ffdri", "pffdri",
+]
+
+
+@query
+def corr_matrix_final(s, d):
+    """All 42 numeric columns of the final dataset by each other, in long form."""
+    return profile.correlation_matrix(_final(s, d), FINAL_NUMBERS)
+
+
+@query
+def sample_feature_summary(s, d):
+    """Every number of the labelled sample by label, as the reports have it."""
+    return reports.feature_summary(_sample(s, d), FINAL_NUMBERS)
+
+
+@query
+def sample_month_summary(s, d):
+    return reports.category_summary(_sample(s, d), "month", 30)
+
+
 @query
 def corr_pairs(s, d):
     lines = fx.table(s, d, "lineitem").withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
@@ -421,6 +446,12 @@ def dry_streak(s, d):
     return _daily(s, d).select("grid_id", "date", "streak")
 
 
+@query
+def dry_streak_reset(s, d):
+    """Streaks that end where a day is missing, over ranges of 100 days."""
+    return profile.dry_streak(weather.base(fx.weather(s, d)), reset_at_gaps=True, days=100).select("grid_id", "date", "streak")
+
+
 @query
 def streak_fire_rate(s, d):
     df = _daily(s, d).join(_fire_days(s, d), "date", "left").withColumn("fire", F.coalesce("fire", F.lit(0)))

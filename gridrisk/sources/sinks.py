@@ -14,6 +14,14 @@ def replace_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
+def replace_fact(df: DataFrame, name: str, buckets: int) -> None:
+    """A table of days by cell, partitioned by month and bucketed by cell, with a file per month and bucket. Lags over the
+    table need no exchange, and neither do joins of such tables by cell and date where the session sets
+    spark.sql.requireAllClusterKeysForCoPartition to false."""
+    rows = df.repartition(buckets, "grid_id")
+    rows.write.mode("overwrite").partitionBy("month").bucketBy(buckets, "grid_id").sortBy("date").saveAsTable(name)
+
+
 def append_table(df: DataFrame, name: str) -> None:
     df.write.mode("append").saveAsTable(name)
 

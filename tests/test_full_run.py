@@ -94,6 +94,31 @@ def test_stage_shuffles_the_fact_once(spark, sources):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_a_stored_fact_needs_no_exchange(spark, sources, ran, tmp_path):
+    fact, master = readers.read_tree(spark, sources.weather), spark.read.parquet(sources.master)
+    parts = static.forest(master), static.terrain_cells(master, sources.full_weight, sources.half_weight), static.exposure(master)
+    sinks.replace_fact(fact, "gridrisk_fact_test", 4)
+    sinks.replace_fact(weather.features(fact), "gridrisk_features_test", 4)
+    try:
+        stored = spark.table("gridrisk_fact_test")
+        scan = "gridrisk_fact_test"
+        for months in (None, ["1996-03"]):
+            plan = weather.features(stored, months=months)._jdf.queryExecution().executedPlan().toString()
+            assert scan in plan and "Exchange" not in plan and (months is None or "PartitionFilters: [month" in plan or "PartitionFilters: [((month" in plan)
+        plan = full_run.stage_of(stored, *parts, sources, True)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index(scan)].rsplit("Window", 1)[1]
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        both = stored.hint("merge").join(spark.table("gridrisk_features_test").select("grid_id", "date", "dwi"), ["grid_id", "date"])
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == fact.count()
+        run = dataclasses.replace(sources, weather="gridrisk_fact_test", fact_table=True, out=f"{tmp_path}/out", events=None)
+        got = contents(spark, full_run.run_all(spark, run))
+        assert all(got[n] == ran[1][n] for n in got)
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        for name in ("gridrisk_fact_test", "gridrisk_features_test"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_static_duplicates_fan_out_in_indices_only(spark, sources, tmp_path):
     master = spark.read.parquet(sources.master)
     twice = master.unionByName(master.withColumn("pole_count", F.coalesce("pole_count", F.lit(0)) + 1).where("grid_id LIKE '10003%'"))

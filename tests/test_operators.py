@@ -14,7 +14,7 @@ from gridrisk.sources import readers, sinks
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["month_summary", "lag_gap_guard", "exposure_score", "event_cells", "iqr_outliers", "moments", "top_rest"])
+@pytest.mark.parametrize("name", ["month_summary", "lag_gap_guard", "exposure_score", "event_cells", "iqr_outliers", "moments", "top_rest", "describe", "box_stats", "corr_matrix", "corr_pairs", "dry_streak", "dry_streak_reset", "buffer_report", "lift", "sample_feature_summary", "sample_month_summary", "corr_matrix_final"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "supplier", "nation", "customer", "events"):

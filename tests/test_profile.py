@@ -112,6 +112,27 @@ def test_tiles_are_code_generated(values):
     assert sums and all("*(" in line for line in sums), sums
 
 
+@pytest.mark.parametrize("reset", [False, True])
+@pytest.mark.parametrize("days", [1, 3, 7, 1024])
+def test_streaks_cut_at_ranges_equal_a_loop(spark, reset, days):
+    rng, rows = np.random.default_rng(days), []
+    for cell in "abcd":
+        at, wet = 9000, {"a": 0.0, "b": 0.05, "c": 0.3, "d": 0.9}[cell]
+        for _ in range(60):
+            at += 1 if rng.random() < 0.9 else int(rng.integers(2, 9))
+            rows.append((cell, at, None if rng.random() < 0.02 else float(5 * (rng.random() < wet))))
+    df = spark.createDataFrame(rows, "grid_id string, day int, rn_day_mean double").withColumn("date", F.date_from_unix_date("day")).repartition(5)
+    got = {(r.grid_id, r.day): r.streak for r in profile.dry_streak(df, reset_at_gaps=reset, days=days).collect()}
+    last, streak = None, 0
+    for cell, at, rain in rows:
+        if last is None or last[0] != cell or (reset and at - last[1] > 1):
+            streak = 0
+        streak = streak + 1 if rain is not None and rain < 1 else 0
+        assert got[cell, at] == streak, (cell, at)
+        last = cell, at
+    assert len(got) == len(rows)
+
+
 @pytest.fixture(scope="module")
 def reported(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("report")
