@@ -49,34 +49,31 @@ def refined(rows: DataFrame, by: list[str], shares: list[float], few: bool = Tru
     edges = sorted({e for ends in around.values() for e in ends})
     counted = {"n": F.count("*"), **sums}
     over = {f"total{after[name]}": c for name, c in counted.items()} | (whole or {})
-    groups = rows.groupBy(*by).agg(F.percentile_approx("value", edges, ACCURACY).alias("edges"), *[c.alias(name) for name, c in over.items()])
-    ends = [F.struct(F.lit(p).alias("p"), F.col("edges")[edges.index(low)].alias("low"), F.col("edges")[edges.index(high)].alias("high")) for p, (low, high) in around.items()]
-    brackets = groups.select(*by, *over, F.inline(F.array(*ends)))
-    side = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
-    near = _beside(rows, F.broadcast(brackets) if few else brackets, by).withColumn("side", side)
-    near = near.groupBy(*by, "p", "side", F.when(F.col("side") == 0, F.col("value")).alias("inside")).agg(
-        F.min("value").alias("least"), F.max("value").alias("greatest"), *[c.alias(name) for name, c in counted.items()], *[F.max(name).alias(name) for name in over]
+    groups = rows.groupBy(*by).agg(F.expr(f"percentile_approx(value, array({', '.join(f'{e!r}D' for e in edges)}), {ACCURACY}) AS edges"), *[c.alias(name) for name, c in over.items()])
+    ends = ", ".join(f"named_struct('p', {p!r}D, 'low', edges[{edges.index(low)}], 'high', edges[{edges.index(high)}])" for p, (low, high) in around.items())
+    brackets = groups.select(*by, *over, F.expr(f"inline(array({ends}))"))
+    near = _beside(rows, F.broadcast(brackets) if few else brackets, by).withColumn("side", F.expr("CASE WHEN value < low THEN -1 WHEN value > high THEN 1 ELSE 0 END"))
+    near = near.groupBy(*by, "p", "side", F.expr("CASE WHEN side = 0 THEN value END AS inside")).agg(
+        F.expr("CASE WHEN side < 0 THEN max(value) ELSE min(value) END AS value"), *[c.alias(name) for name, c in counted.items()], *[F.max(name).alias(name) for name in over]
     )
-    near = near.withColumn("value", F.when(F.col("side") < 0, F.col("greatest")).otherwise(F.col("least")))
-    lower = Window.partitionBy(*by, "p").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return near.withColumns({f"below{x}": F.sum(name).over(lower) - F.col(name) for name, x in after.items()}).drop("inside", "least", "greatest")
+    lower = ", ".join(f"`{k}`" for k in [*by, "p"])
+    below = [F.expr(f"sum({name}) OVER (PARTITION BY {lower} ORDER BY value ROWS UNBOUNDED PRECEDING) - {name} AS below{x}") for name, x in after.items()]
+    return near.select(*by, "p", "side", "value", *after, *over, *below)
 
 
 def quantile_columns(shares: dict[str, float]) -> list[Column]:
     """Aggregates over ``refined`` rows of a group: exact quantiles, linear between neighbours, by name. The row of all
     values on one side of a bracket stands for the one next to it only."""
-    first, last = F.col("below"), F.col("below") + F.col("n") - 1
 
-    def at(p: float, rank: Column) -> Column:
-        here = (F.col("p") == p) & (first <= rank) & (rank <= last)
-        sure = (F.col("side") == 0) | ((F.col("side") < 0) & (rank == last)) | ((F.col("side") > 0) & (rank == first))
-        return F.max(F.when(here & F.when(sure, True).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("boolean")), F.col("value")))
+    def at(p: float, rank: str) -> str:
+        sure = f"side = 0 OR (side < 0 AND {rank} = below + n - 1) OR (side > 0 AND {rank} = below)"
+        return f"max(CASE WHEN p = {p!r}D AND below <= {rank} AND {rank} < below + n THEN CASE WHEN {sure} THEN value ELSE raise_error('a quantile lies outside its bracket') END END)"
 
     out = []
     for name, p in shares.items():
-        rank = F.lit(p) * (F.col("total") - 1)
-        low, high, part = at(p, F.floor(rank)), at(p, F.ceil(rank)), F.max(F.when(F.col("p") == p, rank - F.floor(rank)))
-        out.append((low + (high - low) * part).alias(name))
+        rank = f"({p!r}D * (total - 1))"
+        low, high, part = at(p, f"floor({rank})"), at(p, f"ceil({rank})"), f"max(CASE WHEN p = {p!r}D THEN {rank} - floor({rank}) END)"
+        out.append(F.expr(f"{low} + ({high} - {low}) * {part}").alias(name))
     return out
 
 

@@ -21,8 +21,7 @@ def exposure(master: DataFrame) -> DataFrame:
     df = master.select("grid_id", F.coalesce(E.real("pole_count"), F.lit(0.0)).alias("pole_count"), E.real("nearest_road_dist").alias("nearest_road_dist"), E.real("nearest_river_dist").alias("nearest_river_dist"), E.whole("is_forest").alias("is_forest"))
     measured = ("pole_count", "nearest_road_dist", "nearest_river_dist")
     q = profile.quantiles(profile.long_form(df, [*measured]), ["variable"], [0.95])
-    high = lambda c: F.coalesce(F.nullif(F.max(F.when(F.col("variable") == c, F.col("q"))), F.lit(0.0)), F.lit(1.0))
-    stats = q.agg(*[high(c).alias(f"q_{c}") for c in measured])
+    stats = q.agg(*[F.expr(f"coalesce(nullif(max(CASE WHEN variable = '{c}' THEN q END), 0D), 1D) AS q_{c}") for c in measured])
     df = df.crossJoin(F.broadcast(stats)).withColumns({  # one row
         "pole_n": E.unit(F.col("pole_count") / F.col("q_pole_count")),
         "road_prox": 1.0 - E.unit(F.col("nearest_road_dist") / F.col("q_nearest_road_dist")),
