@@ -113,21 +113,22 @@ def lift(df: DataFrame, columns: list[str], label: str = "fire_label", shares: t
     return near.groupBy("variable").agg(*rows, total.alias("positives"), *out, *[F.max(m).alias(m) for m in means])
 
 
-#: Columns by columns that are correlated at a time: so many that Spark still generates code for their sums.
-TILE = 4
+#: Columns by columns that are correlated at a time: so few that Spark still generates code for their sums.
+TILE = 3
 #: Of a sum of squares, what rounding may leave of no variance at all.
 NOISE = 1e-12
 
 
-def _pair_sums(a: Column, b: Column) -> list[Column]:
-    """Counts and sums over the rows where both are present."""
-    both = [F.when((a * b).isNotNull(), x) for x in (a, b)]
-    return [F.count(a * b), *map(F.sum, both), F.sum(both[0] * both[0]), F.sum(both[1] * both[1]), F.sum(a * b)]
+def _pair_sums(a: str, b: str) -> dict[str, str]:
+    """SQL of counts and sums over the rows where both are present."""
+    x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+    return {"n": f"count({a} * {b})", "x": f"sum({x})", "y": f"sum({y})", "xx": f"sum({x} * {a})", "yy": f"sum({y} * {b})", "xy": f"sum({a} * {b})"}
 
 
-def _r(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    vx, vy = xx - x * x / n, yy - y * y / n
-    return F.when((vx > NOISE * xx) & (vy > NOISE * yy), (xy - x * y / n) / (F.sqrt(vx) * F.sqrt(vy)))
+def _r(cell: str) -> str:
+    n, x, y, xx, yy, xy = (f"{s}_{cell}" for s in ("n", "x", "y", "xx", "yy", "xy"))
+    vx, vy = f"({xx} - {x} * {x} / {n})", f"({yy} - {y} * {y} / {n})"
+    return f"CASE WHEN {vx} > {NOISE}D * {xx} AND {vy} > {NOISE}D * {yy} THEN ({xy} - {x} * {y} / {n}) / (sqrt({vx}) * sqrt({vy})) END"
 
 
 def correlations(df: DataFrame, xs: list[str], ys: list[str] | None = None) -> DataFrame:
@@ -138,24 +139,22 @@ def correlations(df: DataFrame, xs: list[str], ys: list[str] | None = None) -> D
     up by tasks before they are sent, so any number of columns takes two passes and sends a row per pair of tiles.
     """
     names = [*xs, *(y for y in ys or () if y not in xs)]
-    value = {c: F.col(c).cast("double") for c in names}
-    means = df.agg(*[F.avg(value[c]).alias(f"mean_{k}") for k, c in enumerate(names)])
-    about = df.select(*[value[c].alias(f"c{k}") for k, c in enumerate(names)]).crossJoin(F.broadcast(means))  # one row
-    tiled = lambda side: [side[k : k + TILE] for k in range(0, len(side), TILE)]
-    left, right = tiled(xs), tiled(xs if ys is None else ys)
-    place, none = {c: k for k, c in enumerate(names)}, F.lit(None).cast("double")
-    shifted = lambda c: F.col(f"c{place[c]}") - F.col(f"mean_{place[c]}")
-    arrays = lambda tiles: F.array(*[F.array(*map(shifted, t), *[none] * (TILE - len(t))) for t in tiles])
-    pairs = [(i, j) for i in range(len(left)) for j in range(len(right)) if ys is not None or i <= j]
-    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    rows = about.select(arrays(left).alias("left"), arrays(right).alias("right"), F.explode(every).alias("pair")).select("pair.i", "pair.j", F.col("left")[F.col("pair.i")].alias("a"), F.col("right")[F.col("pair.j")].alias("b"))
+    value = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+    means = value.agg(*[F.expr(f"avg(c{k}) AS mean_{k}") for k in range(len(names))])
+    about = value.crossJoin(F.broadcast(means))  # one row
+    tiled = lambda side: [[*side[k : k + TILE], *[None] * TILE][:TILE] for k in range(0, len(side), TILE)]
+    left, right, place = tiled(xs), tiled(xs if ys is None else ys), {c: k for k, c in enumerate(names)}
+    shifted = lambda c: "CAST(NULL AS DOUBLE)" if c is None else f"c{place[c]} - mean_{place[c]}"
+    arrays = lambda tiles: f"array({', '.join('array(' + ', '.join(map(shifted, t)) + ')' for t in tiles)})"
+    pairs = ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(len(left)) for j in range(len(right)) if ys is not None or i <= j)
+    rows = about.selectExpr(f"{arrays(left)} AS l", f"{arrays(right)} AS r", f"inline(array({pairs}))").selectExpr("i", "j", "l[i] AS a", "r[j] AS b")
+    rows = rows.selectExpr("i", "j", *[f"a[{u}] AS a{u}" for u in range(TILE)], *[f"b[{v}] AS b{v}" for v in range(TILE)])
     cells = [(u, v) for u in range(TILE) for v in range(TILE)]
-    rows = rows.select("i", "j", *[F.col("a")[u].alias(f"a{u}") for u in range(TILE)], *[F.col("b")[v].alias(f"b{v}") for v in range(TILE)])
-    sums = rows.groupBy("i", "j").agg(*[c.alias(f"s{u}{v}{k}") for u, v in cells for k, c in enumerate(_pair_sums(F.col(f"a{u}"), F.col(f"b{v}")))])
-    listed = lambda tiles: F.array(*[F.lit(c) for t in tiles for c in [*t, *[None] * (TILE - len(t))]])
-    at = lambda tiles, tile, k: F.get(listed(tiles), F.col(tile) * TILE + k)
-    found = [F.struct(at(left, "i", u).alias("x"), at(right, "j", v).alias("y"), F.lit(u <= v).alias("upper"), _r(*[F.col(f"s{u}{v}{k}") for k in range(6)]).alias("r")) for u, v in cells]
-    out = sums.select("i", "j", F.inline(F.array(*found))).where("x IS NOT NULL AND y IS NOT NULL")
+    sums = rows.groupBy("i", "j").agg(*[F.expr(f"{sql} AS {s}_{u}{v}") for u, v in cells for s, sql in _pair_sums(f"a{u}", f"b{v}").items()])
+    listed = lambda tiles: F.array(*[F.lit(c) for t in tiles for c in t])
+    found = ", ".join(f"named_struct('u', i * {TILE} + {u}, 'v', j * {TILE} + {v}, 'upper', {str(u <= v).lower()}, 'r', {_r(f'{u}{v}')})" for u, v in cells)
+    out = sums.selectExpr("i", "j", f"inline(array({found}))").select("*", F.get(listed(left), F.col("u")).alias("x"), F.get(listed(right), F.col("v")).alias("y"))
+    out = out.where("x IS NOT NULL AND y IS NOT NULL")
     return (out if ys is not None else out.where("i < j OR upper")).select("x", "y", "r")
 
 
