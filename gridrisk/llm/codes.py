@@ -71,7 +71,7 @@ def encode(rows: DataFrame, books: np.ndarray) -> DataFrame:
     n_parts, _, width = books.shape
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = [Gnat(b) for b in books]
+        trees = [Gnat(b) for b in books if len(b)]  # without entries there are no rows
         for batch in batches:
             cut = _parts(batch, n_parts * width, n_parts)
             code, error = np.empty((len(cut), n_parts), np.uint8), np.zeros(len(cut), np.int64)
