@@ -104,4 +104,4 @@ def test_threshold_and_lift(spark):
 
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
-    assert profile.correlations(df, [("a", "b")]).first().r is None
+    assert profile.correlations(df, ["a"], ["b"]).first().r is None
