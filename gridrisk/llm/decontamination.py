@@ -85,10 +85,17 @@ class Items:
     every: np.ndarray  # sorted distinct shingles
     power: np.ndarray  # their weights
     filter: np.ndarray  # which top 20 bits of a shingle occur
-    tables: np.ndarray  # blocks x values x items: within RADIUS // BLOCKS bits of the item's block
+    tables: dict[int, tuple]  # by size: the items' places, and blocks x values x items, within RADIUS // BLOCKS bits of the item's block
+    least: dict[int, int]  # by size: shingles of items that a window needs to hold one of them
 
 
-def build_items(rows: list, width: int) -> Items | None:
+def least_held(weights: np.ndarray, similarity: float) -> int:
+    """How many shingles of these weights it takes at least to reach the similarity."""
+    reached = np.cumsum(np.sort(weights)[::-1])
+    return int(np.searchsorted(reached, similarity * reached[-1] - 1e-9)) + 1
+
+
+def build_items(rows: list, width: int, similarity: float) -> Items | None:
     """rows: items of a width, as item_rows gives them, with the list of weights of their distinct shingles."""
     kept = [r for r in rows if r["width"] == width]
     if not kept:
@@ -109,7 +116,10 @@ def build_items(rows: list, width: int) -> Items | None:
             tables[block, own ^ flip, np.arange(len(kept))] = True
     marks = np.zeros(1 << 20, bool)
     marks[(every >> np.uint64(44)).astype(np.int64)] = True
-    return Items(width, np.array([r["item_id"] for r in kept]), np.array([r["n_words"] for r in kept]), prints, shingles, weights, every, power, marks, tables)
+    sizes = np.array([r["n_words"] for r in kept])
+    by_size = {int(size): (at := np.flatnonzero(sizes == size), np.ascontiguousarray(tables[:, :, at])) for size in np.unique(sizes)}
+    least = {size: min(least_held(weights[k], similarity) for k in at) for size, (at, _) in by_size.items()}
+    return Items(width, np.array([r["item_id"] for r in kept]), sizes, prints, shingles, weights, every, power, marks, by_size, least)
 
 
 #: Places of item shingles that are looked at together.
@@ -120,8 +130,7 @@ def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: floa
     """Best windows per item: (item place, start, words, Hamming distance, similarity). hits: where shingles of items are,
     in order. Running sums have a row for each hit, not each word, and hits are taken HITS at a time with their
     surroundings, so a text of any length needs memory in proportion to its shingles only."""
-    spans = {int(size): min(int(size) - items.width + 1, len(shingles)) for size in np.unique(items.sizes)}  # shingles in a window, or in all of a shorter text
-    of_size = {size: np.flatnonzero(items.sizes == size) for size in spans}
+    spans = {size: min(size - items.width + 1, len(shingles)) for size in items.tables}  # shingles in a window, or in all of a shorter text
     widest, last = max(spans.values()), dict.fromkeys(spans, -1)
     best: dict[int, tuple] = {}
     for at in range(0, len(hits), HITS):
@@ -136,17 +145,20 @@ def match(items: Items, shingles: np.ndarray, hits: np.ndarray, similarity: floa
                 continue
             last[size] = int(starts[-1])
             for few in np.array_split(starts, max(1, len(starts) // 4096)):
-                prints = packed(sums[np.searchsorted(around, few + span)] - sums[np.searchsorted(around, few)])
-                _weigh(items, of_size[size], shingles, few, span, prints, similarity, best)
+                low, high = np.searchsorted(around, few), np.searchsorted(around, few + span)
+                enough = high - low >= items.least[size]  # other windows can't be verified
+                prints = packed(sums[high[enough]] - sums[low[enough]])
+                _weigh(items, size, shingles, few[enough], span, prints, similarity, best)
     return [best[k] for k in sorted(best)]
 
 
-def _weigh(items: Items, of_size: np.ndarray, shingles: np.ndarray, starts: np.ndarray, span: int, prints: np.ndarray, similarity: float, best: dict[int, tuple]) -> None:
-    """Puts the windows at starts that hold an item of one size into best."""
+def _weigh(items: Items, size: int, shingles: np.ndarray, starts: np.ndarray, span: int, prints: np.ndarray, similarity: float, best: dict[int, tuple]) -> None:
+    """Puts the windows at starts that hold an item of this size into best."""
+    of_size, tables = items.tables[size]
     found = np.zeros((len(starts), len(of_size)), bool)
     for block in range(BLOCKS):
         value = (prints >> np.uint64(block * BITS_PER_BLOCK)).astype(np.int64) & ((1 << BITS_PER_BLOCK) - 1)
-        found |= items.tables[block][value][:, of_size]
+        found |= tables[block][value]
     at, which = np.nonzero(found)
     far = np.bitwise_count(prints[at] ^ items.prints[of_size[which]])
     for a, w, d in zip(at[far <= RADIUS], which[far <= RADIUS], far[far <= RADIUS], strict=True):
@@ -204,7 +216,7 @@ def _match_block(source: DataFrame, rows: list, similarity: float, schema: str)
     shared = source.sparkSession.sparkContext.broadcast([r.asDict() for r in rows])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [x for width in range(1, WIDTH + 1) if (x := build_items(shared.value, width))]
+        built = [x for width in range(1, WIDTH + 1) if (x := build_items(shared.value, width, similarity))]
         known = Normalised()
         for batch in batches:
             out = []

@@ -251,7 +251,7 @@ def test_leaks_without_the_common_preamble():
     cut = [decontamination.windows(decontamination.word_hashes([w.encode() for w in t], decontamination.Normalised()), 5).astype("<u8") for t in items]
     every, df = np.unique(np.concatenate([np.unique(c) for c in cut]), return_counts=True)
     rows = [{"item_id": k, "width": 5, "n_words": 50, "shingles": c.tobytes(), "weights": 1 / df[np.searchsorted(every, np.unique(c))]} for k, c in enumerate(cut)]
-    built = decontamination.build_items(rows, 5)
+    built = decontamination.build_items(rows, 5, 0.8)
     for k, t in enumerate(items):
         doc = [f"a{k}x{j}" for j in range(50)] + t[25:] + [f"b{k}x{j}" for j in range(50)]
         shingles = decontamination.windows(decontamination.word_hashes([w.encode() for w in doc], decontamination.Normalised()), 5)
