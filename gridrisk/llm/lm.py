@@ -16,8 +16,8 @@ tables: one product for each preceding class, and the logarithm of the normalise
 of classes by matrix products.
 
 Counts of rare tokens reach the texts without a join on words: each task packs (token hash, text, count) into blocks by
-hash range; a range holds all of a token's occurrences, learning and held out, so it computes the counts and gives each
-text the sum of log10(c + 1) and the number of known tokens. Tokens of the hot list (HOT commonest) never travel: their
+hash range; a range holds all of a token's occurrences, learning and held out, so it computes the counts and answers each
+block with its texts' sums of log10(c + 1) and numbers of known tokens; the replies to a batch of texts meet in one task. Tokens of the hot list (HOT commonest) never travel: their
 exact counts are broadcast, at most HOT of them.
 
 Defined results: null and empty texts are one end token; texts are keyed by a hash of id and text, so repeated rows have
@@ -297,8 +297,9 @@ def log_normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
 
 
 def _packed(shared, ranges: int):
-    """Tasks that turn (key, learning, text) into blocks (range, block) of rare tokens; a block holds the hashes, then
-    the text keys, then the counts, negative where the text is held out."""
+    """Tasks that turn (key, learning, text) into blocks (range, origin, block) of rare tokens; a block holds the hashes,
+    then the text keys, text after text, then the counts, negative where the text is held out. The origin is the same for
+    all blocks of a batch of texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, known = shared.value.hot, Hashes()
@@ -314,46 +315,67 @@ def _packed(shared, ranges: int):
                 continue
             h, k, c = np.concatenate(hashes), np.concatenate(keys), np.concatenate(counts).astype(np.int32)
             at = (h >> np.uint64(32)).astype(np.int64) * ranges >> 32
-            order = np.argsort(at, kind="stable")
+            order, origin = np.argsort(at, kind="stable"), pa.array(k[:1])
             bounds = np.searchsorted(at[order], np.arange(ranges + 1))
             for r in np.flatnonzero(np.diff(bounds)):
                 o = order[bounds[r] : bounds[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([h[o].tobytes() + k[o].tobytes() + c[o].tobytes()], pa.binary())], names=["range", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), origin, pa.array([h[o].tobytes() + k[o].tobytes() + c[o].tobytes()], pa.binary())], names=["range", "origin", "block"])
 
     return pack
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text of a range: the sum of log10(c + 1) over its rare tokens and how many are known; a row with a null key
-    has what the range counts in all."""
-    parts = [[], [], []]
+    """Counts the tokens of a range and answers each of its blocks by one reply to the origin: the text keys, then the sums
+    of log10(c + 1) over the text's tokens in the block, then how many of these are known."""
+    origins, parts = [], [[], [], []]
     for batch in batches:
-        for block in batch.column(1):
+        origins += batch.column(1).to_pylist()
+        for block in batch.column(2):
             raw = block.as_buffer()
             n = raw.size // 20
             parts[0].append(np.frombuffer(raw, np.uint64, n))
             parts[1].append(np.frombuffer(raw, np.int64, n, 8 * n))
             parts[2].append(np.frombuffer(raw, np.int32, n, 16 * n))
-    if not parts[0]:
+    if not origins:
         return
+    bounds = np.cumsum([0, *map(len, parts[0])])
     h, k, c = (np.concatenate(x) for x in parts)
     del parts
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    token = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-    c = c[order]
+    token = np.unique(h, return_inverse=True)[1]
     learnt = np.bincount(token, np.maximum(c, 0))
-    times = np.abs(c)
+    times = np.abs(c).astype(np.int64)
     value, known = times * np.log10(learnt + 1)[token], times * (learnt > 0)[token]
-    texts, at = np.unique(k[order], return_inverse=True)
-    yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.bincount(at, value)), pa.array(np.bincount(at, known).astype(np.int64))], names=["key", "rare_log", "rare_known"])
+    for origin, start, end in zip(origins, bounds, bounds[1:], strict=False):
+        keys = k[start:end]
+        firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        raw = keys[firsts].tobytes() + np.add.reduceat(value[start:end], firsts).tobytes() + np.add.reduceat(known[start:end], firsts).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([origin], pa.int64()), pa.array([raw], pa.binary())], names=["origin", "block"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text key the sums over all replies; a task holds one sum per text and a batch of replies."""
+    keys, logs, known = np.empty(0, np.int64), np.empty(0), np.empty(0)
+    for batch in batches:
+        parts = [[keys], [logs], [known]]
+        for block in batch.column(1):
+            raw = block.as_buffer()
+            n = raw.size // 24
+            parts[0].append(np.frombuffer(raw, np.int64, n))
+            parts[1].append(np.frombuffer(raw, np.float64, n, 8 * n))
+            parts[2].append(np.frombuffer(raw, np.int64, n, 16 * n))
+        keys, at = np.unique(np.concatenate(parts[0]), return_inverse=True)
+        logs, known = (np.bincount(at, np.concatenate(x), len(keys)) for x in parts[1:])
+    if len(keys):
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(logs), pa.array(known.astype(np.int64))], names=["key", "rare_log", "rare_known"])
 
 
 def rare_sums(texts: DataFrame, vocabulary: Vocabulary, ranges: int) -> DataFrame:
-    """texts: key, learning, text. Per key: rare_log and rare_known."""
+    """texts: key, learning, text. Per key: rare_log and rare_known. Origins only say which sums meet early: the last
+    grouping adds up what any of them hold of a key."""
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    blocks = in_arrow(texts.select("key", "learning", "text"), _packed(shared, ranges), "range int, block binary")
-    sums = in_arrow(blocks.repartitionById(ranges, "range"), _summed, "key long, rare_log double, rare_known long")
+    blocks = in_arrow(texts.select("key", "learning", "text"), _packed(shared, ranges), "range int, origin long, block binary")
+    replies = in_arrow(blocks.repartitionById(ranges, "range"), _summed, "origin long, block binary")
+    sums = in_arrow(replies.repartition(ranges, "origin"), _merged, "key long, rare_log double, rare_known long")
     return sums.groupBy("key").agg(F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"))
 
 
