@@ -115,20 +115,19 @@ def lift(df: DataFrame, columns: list[str], label: str = "fire_label", shares: t
 
 #: Columns by columns that are correlated at a time: so few that Spark still generates code for their sums.
 TILE = 3
-#: Of a sum of squares, what rounding may leave of no variance at all.
-NOISE = 1e-12
 
 
 def _pair_sums(a: str, b: str) -> dict[str, str]:
-    """SQL of counts and sums over the rows where both are present."""
+    """SQL of counts, sums and ends over the rows where both are present. Only the ends tell for sure that a column does
+    not vary there: what rounding leaves of its variance grows with the rows."""
     x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
-    return {"n": f"count({a} * {b})", "x": f"sum({x})", "y": f"sum({y})", "xx": f"sum({x} * {a})", "yy": f"sum({y} * {b})", "xy": f"sum({a} * {b})"}
+    return {"n": f"count({a} * {b})", "x": f"sum({x})", "y": f"sum({y})", "xx": f"sum({x} * {a})", "yy": f"sum({y} * {b})", "xy": f"sum({a} * {b})", "x0": f"min({x})", "x1": f"max({x})", "y0": f"min({y})", "y1": f"max({y})"}
 
 
 def _r(cell: str) -> str:
-    n, x, y, xx, yy, xy = (f"{s}_{cell}" for s in ("n", "x", "y", "xx", "yy", "xy"))
+    n, x, y, xx, yy, xy, x0, x1, y0, y1 = (f"{s}_{cell}" for s in ("n", "x", "y", "xx", "yy", "xy", "x0", "x1", "y0", "y1"))
     vx, vy = f"({xx} - {x} * {x} / {n})", f"({yy} - {y} * {y} / {n})"
-    return f"CASE WHEN {vx} > {NOISE}D * {xx} AND {vy} > {NOISE}D * {yy} THEN ({xy} - {x} * {y} / {n}) / (sqrt({vx}) * sqrt({vy})) END"
+    return f"CASE WHEN {x0} < {x1} AND {y0} < {y1} AND {vx} > 0 AND {vy} > 0 THEN ({xy} - {x} * {y} / {n}) / (sqrt({vx}) * sqrt({vy})) END"
 
 
 def correlations(df: DataFrame, xs: list[str], ys: list[str] | None = None) -> DataFrame:

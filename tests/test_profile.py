@@ -188,3 +188,12 @@ def test_reports_replace_earlier_ones_and_refuse_an_empty_window(spark, reported
 
     with pytest.raises(ValueError, match="no rows"):
         reports.run_reports(spark, dataclasses.replace(report, start="2001-01-01"))
+
+
+def test_constant_over_many_rows(spark):
+    """One column is constant where the other is present, over so many rows that rounding adds up."""
+    def r(third):
+        rows = spark.range(0, 3_000_000, 1, 3).selectExpr(f"CASE WHEN id % {third} = 0 THEN 0 WHEN id % 31 = 5 THEN NULL ELSE 1 END AS flag", f"CASE WHEN id % {third} != 0 THEN id % 5 END AS code")
+        return [x.r for x in profile.correlations(rows, ["flag"], ["code"]).collect()]
+
+    assert [r(k) for k in range(3, 9)] == [[None]] * 6
