@@ -99,7 +99,7 @@ def buffer_matches(events: DataFrame, radius: int) -> DataFrame:
 
 def buffer_label(master: DataFrame, events: DataFrame, radius: int = 5) -> DataFrame:
     """master with fire_label: whether any event lies within radius cells."""
-    hit = buffer_matches(events, radius).select("grid_id").distinct().withColumn("hit", F.lit(1))
+    hit = _around(_spot(events).distinct(), radius).select("grid_id").distinct().withColumn("hit", F.lit(1))
     return master.join(hit, "grid_id", "left").withColumn("fire_label", F.coalesce("hit", F.lit(0))).drop("hit")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridrisk.functions import exprs as E
 from gridrisk.functions.projection import to_metres
-from gridrisk.operators import profile, risk, sample, static, weather
+from gridrisk.operators import events, profile, risk, sample, static, weather
 from gridrisk.plans import fixtures as fx
 from gridrisk.sources import readers, sinks
 
@@ -105,3 +105,15 @@ def test_threshold_and_lift(spark):
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert profile.correlations(df, ["a"], ["b"]).first().r is None
+
+
+def test_target_of_every_event(spark):
+    """The label comes from all events of the season and all cells within five of one."""
+    m, fires = fx.master_grid(spark, "/root/testdata/sf0.01"), events.project(events.seasonal(fx.fire_history(spark, "/root/testdata/sf0.01"), fx.START_YEAR, fx.END_YEAR))
+    near = {(x.cx + i, x.cy + j) for x in events._spot(fires).distinct().collect() for i in range(-5, 6) for j in range(-5, 6) if i * i + j * j <= 25}
+    days = {r.grid_id: r.n for r in fx.weather(spark, "/root/testdata/sf0.01").groupBy("grid_id").agg(F.count("*").alias("n")).collect()}
+    want = {}
+    for cell in {r.grid_id for r in m.select("grid_id").collect()}:
+        label = int(tuple(map(int, cell.split("_"))) in near)
+        want[label] = want.get(label, 0) + days.get(cell, 0)
+    assert {r.fire_label: r.n for r in entry.queries()["final_with_target"](spark, "/root/testdata/sf0.01").collect()} == want
