@@ -9,26 +9,35 @@ from gridrisk.functions import exprs as E
 from gridrisk.operators import profile
 
 TERRAIN = ("grid_id", "date", "month", "elevation", "slope", "aspect_sin", "aspect_cos", "aspect_deg", "tmi_base_n", "tmi_p", "ywi", "Rm", "Ws", "Dr", "Da")
+#: Those of them that a day without a cell would have too.
+OF_DAY = ("tmi_p", "ywi", "Ws", "Dr", "Da")
 
 
-def _with_terrain(df: DataFrame, mode: str) -> DataFrame:
-    """df (weather features with cell attributes) with terrain and wind scores, row by row."""
-    df = df.withColumn("aspect_deg", E.bearing(F.col("aspect_sin"), F.col("aspect_cos")))
+def _of_cells(cells: DataFrame) -> DataFrame:
+    """Cells with what terrain scores owe to them alone, so that it is made once per cell and not once per day."""
+    df = cells.withColumn("aspect_deg", E.bearing(F.col("aspect_sin"), F.col("aspect_cos")))
     df = df.withColumns({
         "aspect_sin": F.sin(F.radians("aspect_deg")),
         "aspect_cos": F.cos(F.radians("aspect_deg")),
+        "tmi_base_n": E.unit(0.5 * E.unit(F.col("elevation") / 1000.0) + 0.5 * ((1.0 - F.cos(F.radians("aspect_deg"))) / 2.0)),
+    })
+    return df.withColumn("tmi_still", 0.55 * F.col("tmi_base_n") + 0.25 * E.unit(F.col("slope") / 35.0))
+
+
+def _with_terrain(df: DataFrame, mode: str) -> DataFrame:
+    """df (weather features beside ``_of_cells``) with terrain and wind scores, row by row."""
+    df = df.withColumns({
         "Ws": E.unit((F.col("wind_ws_max") - 7.0) / 4.0),
         "Dr": E.alignment(F.col("wind_theta_deg"), 270.0 if mode == "from" else 90.0),
         "Da": E.unit((40.0 - F.col("effective_humidity")) / 15.0),
-        "tmi_base_n": E.unit(0.5 * E.unit(F.col("elevation") / 1000.0) + 0.5 * ((1.0 - F.cos(F.radians("aspect_deg"))) / 2.0)),
     })
     df = df.withColumn("ywi", F.col("Rm") * F.col("Ws") * F.col("Dr") * F.col("Da"))
-    return df.withColumn("tmi_p", 0.55 * F.col("tmi_base_n") + 0.25 * E.unit(F.col("slope") / 35.0) + 0.20 * F.col("ywi"))
+    return df.withColumn("tmi_p", F.col("tmi_still") + 0.20 * F.col("ywi")).drop("tmi_still")
 
 
 def terrain_wind(weather: DataFrame, cells: DataFrame, mode: str = "from") -> DataFrame:
     """weather: features. mode: whether bearings say where the wind comes 'from' or blows 'to'."""
-    df = weather.select("grid_id", "date", "month", "wind_ws_max", "wind_theta_deg", "effective_humidity").join(cells, "grid_id")
+    df = weather.select("grid_id", "date", "month", "wind_ws_max", "wind_theta_deg", "effective_humidity").join(_of_cells(cells), "grid_id")
     return _with_terrain(df, mode).select(*TERRAIN)
 
 
@@ -46,9 +55,13 @@ def in_one_pass(weather: DataFrame, forest: DataFrame, cells: DataFrame, exposur
 
 def wide(weather: DataFrame, forest: DataFrame, cells: DataFrame, exposure: DataFrame, mode: str = "from") -> DataFrame:
     """Every column of weather, terrain, forest, exposure and indices side by side; in_cells: whether terrain is known."""
-    df = _with_terrain(weather.join(cells.withColumn("in_cells", F.lit(True)), "grid_id", "left"), mode)
-    df = df.withColumns({c: F.when(F.col("in_cells"), F.col(c)) for c in TERRAIN[3:]})
+    df = _with_terrain(weather.join(_of_cells(cells).withColumn("in_cells", F.lit(True)), "grid_id", "left"), mode)
+    df = df.withColumns({c: F.when(F.col("in_cells"), F.col(c)) for c in OF_DAY})
     df = df.join(forest, "grid_id", "left").join(exposure.drop("forest_contact"), "grid_id", "left")
+    return _with_indices(df)
+
+
+def _with_indices(df: DataFrame) -> DataFrame:
     weight = F.col("day_weight")
     return df.withColumns({
         "ffdri": E.composite(F.col("dwi"), F.col("fmi"), F.col("tmi_base_n") * 10.0, weight),

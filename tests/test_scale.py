@@ -28,3 +28,15 @@ def test_rounds_as_sql(spark):
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0", [v]).fetchone()[0] for v in values]
     odd = Q.rounded(spark.createDataFrame([(None, 1), (float("inf"), 2), (float("nan"), 3)], "v double, k int")).orderBy("k").collect()
     assert odd[0].v is None and odd[1].v == float("inf") and odd[2].v != odd[2].v
+
+
+def test_methods_short_enough_to_compile(spark):
+    """Java leaves methods of more than 8,000 bytes to its interpreter."""
+    text, before = io.StringIO(), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with redirect_stdout(text):
+            entry.queries()["final_in_one_pass"](spark, SF).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue()))) < 8000
