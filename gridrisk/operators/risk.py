@@ -80,11 +80,15 @@ def index(weather: DataFrame, forest: DataFrame, terrain: DataFrame, exposure: D
     )
 
 
-def final_dataset(weather: DataFrame, forest: DataFrame, terrain: DataFrame, exposure: DataFrame, indices: DataFrame, target: DataFrame | None = None) -> DataFrame:
-    """All features side by side; target, if given, is joined by cell only."""
+def final_dataset(weather: DataFrame, forest: DataFrame, terrain: DataFrame, exposure: DataFrame, indices: DataFrame | None = None, target: DataFrame | None = None) -> DataFrame:
+    """All features side by side. Indices that are not stored are made of the joined columns, which takes no further join of
+    the fact; target, if given, is joined by cell only."""
     w = weather.select("grid_id", "date", "month", "day_weight", "ta_mean", "ta_max", "hm_mean", "hm_min", "wind_ws_mean", "wind_ws_max", "wind_wd_sin_mean", "wind_wd_cos_mean", "rn_day_mean", "rn_day_max", "effective_humidity", "rne", "dwi", "dwi_n")
-    df = w.join(terrain.drop("month"), ["grid_id", "date"], "left").join(indices.select("grid_id", "date", "ffdri", "pffdri"), ["grid_id", "date"], "left")
+    df = w.join(terrain.drop("month"), ["grid_id", "date"], "left")
+    if indices is not None:
+        df = df.join(indices.select("grid_id", "date", "ffdri", "pffdri"), ["grid_id", "date"], "left")
     df = df.join(forest, "grid_id", "left").join(exposure.drop("forest_contact"), "grid_id", "left")
+    df = _with_indices(df) if indices is None else df
     return df.join(target, "grid_id", "left") if target is not None else df
 
 

@@ -217,8 +217,7 @@ def risk_index_joined(s, d):
 def final_dataset(s, d):
     """The join form, for stored inputs."""
     w, m = _features(s, d), fx.master_grid(s, d)
-    forest, exposure, terrain = static.forest(m), static.exposure(m), risk.terrain_wind(w, _cells(s, d))
-    return risk.final_dataset(w, forest, terrain, exposure, risk.index(w, forest, terrain, exposure))
+    return risk.final_dataset(w, static.forest(m), risk.terrain_wind(w, _cells(s, d)), static.exposure(m))
 
 
 @query

@@ -40,3 +40,8 @@ def test_methods_short_enough_to_compile(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue()))) < 8000
+
+
+def test_final_dataset_joins_days_once(spark):
+    plan = _plan(entry.queries()["final_dataset"](spark, SF))
+    assert len(re.findall(r"Join \[grid_id#\d+, date#\d+\]", plan)) == 1
