@@ -78,6 +78,11 @@ def _sample(s: SparkSession, d: str) -> DataFrame:
     return sample.labelled(_final(s, d), _target(s, d, 500), ratio=2, keys=fx.weather(s, d))
 
 
+def _stored_sample(s: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    """The sample's label and columns, made once for a query that reads them more than once."""
+    return sample.kept(_sample(s, d).select("fire_label", *columns))
+
+
 def _seasonal(s: SparkSession, d: str) -> DataFrame:
     return events.project(events.seasonal(fx.fire_history(s, d), fx.START_YEAR, fx.END_YEAR))
 
@@ -325,17 +330,17 @@ def month_label_counts(s, d):
 
 @query
 def variable_profile(s, d):
-    return profile.describe(_sample(s, d), SCORES, ["fire_label"])
+    return profile.describe(_stored_sample(s, d, SCORES), SCORES, ["fire_label"])
 
 
 @query
 def lift(s, d):
-    return profile.lift(_sample(s, d), SCORES)
+    return profile.lift(_stored_sample(s, d, SCORES), SCORES)
 
 
 @query
 def label_corr(s, d):
-    out = profile.correlations(_sample(s, d), SCORES, ["fire_label"])
+    out = profile.correlations(_stored_sample(s, d, SCORES), SCORES, ["fire_label"])
     return out.select(F.col("x").alias("variable"), "r", F.abs("r").alias("abs_r"))
 
 
@@ -388,13 +393,13 @@ def category_top(s, d):
 
 @query
 def metric_ranking(s, d):
-    ranks = profile.lift(_sample(s, d), SCORES).select("variable", "positive_mean", (100.0 * F.col("top10_capture")).alias("capture_pct"))
+    ranks = profile.lift(_stored_sample(s, d, SCORES), SCORES).select("variable", "positive_mean", (100.0 * F.col("top10_capture")).alias("capture_pct"))
     return ranks.orderBy(F.desc("capture_pct"), "variable").limit(4)
 
 
 @query
 def rankings(s, d):
-    return summaries.rankings(_sample(s, d), SCORES)
+    return summaries.rankings(_stored_sample(s, d, SCORES), SCORES)
 
 
 @query

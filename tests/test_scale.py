@@ -45,3 +45,8 @@ def test_methods_short_enough_to_compile(spark):
 def test_final_dataset_joins_days_once(spark):
     plan = _plan(entry.queries()["final_dataset"](spark, SF))
     assert len(re.findall(r"Join \[grid_id#\d+, date#\d+\]", plan)) == 1
+
+
+def test_reports_read_a_stored_sample(spark):
+    for name in ("rankings", "sample_feature_summary"):
+        assert "lineitem" not in _plan(entry.queries()[name](spark, SF))
