@@ -366,7 +366,7 @@ def corr_matrix_final(s, d):
 @query
 def sample_feature_summary(s, d):
     """Every number of the labelled sample by label, as the reports have it."""
-    return reports.feature_summary(_sample(s, d), FINAL_NUMBERS)
+    return reports.feature_summary(_stored_sample(s, d, FINAL_NUMBERS), FINAL_NUMBERS)
 
 
 @query
