@@ -29,20 +29,32 @@ def labelled(final: DataFrame, target: DataFrame, ratio: int = 10, most: int = 2
     """Positives and sampled negatives; target columns of the negatives are null but for label and count. One pass over
     the keys counts both kinds, one over final joins the target and keeps what is positive or drawn. keys: a table with
     the keys of final's rows that is cheaper to make than final; it must have a key as often as final has it, so where
-    static rows of a cell fan out in final, the raw fact would give a greater share of negatives."""
+    static rows of a cell fan out in final, the raw fact would give a greater share of negatives. Only rows of cells with
+    events and drawn rows are sent to the join with the target."""
     final = final.drop(*[c for c in target.columns if c not in KEY])
-    hit = "__hit"
+    hit, near = "__hit", "__near"
     marked = target.withColumn(hit, F.lit(True))
-    counted = (final if keys is None else keys).select(*KEY).join(marked.select(*KEY, hit), KEY, "left")
+    # A row per cell that has events, at most the cells of the grid: other rows have no target and need not be joined.
+    cells = F.broadcast(target.select("grid_id").distinct().withColumn(near, F.lit(True)))
+    counted = (final if keys is None else keys).select(*KEY).join(cells, "grid_id", "left")
+    counted = counted.groupBy(*[F.when(F.col(near), F.col(k)).alias(k) for k in KEY]).agg(F.count("*").alias("n"))
+    counted = counted.join(target.groupBy(*KEY).agg(F.count("*").alias("hits")), KEY, "left")
     # A row with several targets is counted for each of them: it is a positive as often.
-    n, yes = counted.agg(F.count("*"), F.count(hit)).first()
+    n, yes = counted.agg(F.sum(F.col("n") * F.coalesce("hits", F.lit(1))), F.coalesce(F.sum(F.col("n") * F.col("hits")), F.lit(0))).first()
     if not n:
         raise ValueError("no rows of the final dataset in this window")
     drawn = hash_bucket([F.col("grid_id"), F.col("date").cast("string")], seed) < threshold(n, yes, ratio, most)
-    out = final.join(marked, KEY, "left").where(F.col(hit) | drawn).drop(hit)
+    out = final.join(cells, "grid_id", "left").where(F.col(near) | drawn).drop(near)
+    out = out.join(marked, KEY, "left").where(F.col(hit) | drawn).drop(hit)
     return out.withColumns({"fire_label": F.coalesce("fire_label", F.lit(0)), "fire_count": F.coalesce("fire_count", F.lit(0).cast("long"))})
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, made now and once, for those who read them more than once: stored in the session's checkpoint folder, or else
+    by the executors. A sample is small beside the fact that it is drawn from."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
 def label_counts(sample: DataFrame, by_month: bool = False) -> DataFrame:
     keys = ["month", "fire_label"] if by_month else ["fire_label"]
     more = [] if by_month else [F.countDistinct("date").alias("date_count"), F.min("date").alias("min_date"), F.max("date").alias("max_date")]

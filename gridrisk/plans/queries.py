@@ -525,7 +525,7 @@ def validation_metrics(s, d):
 
 @query
 def top_hit_rate(s, d):
-    return risk.top_hit_rate(_sample(s, d), "ffdri", "fire_label", (0.05, 0.1, 0.3))
+    return risk.top_hit_rate(_stored_sample(s, d, ["ffdri"]), "ffdri", "fire_label", (0.05, 0.1, 0.3))
 
 
 @query

@@ -50,3 +50,13 @@ def test_final_dataset_joins_days_once(spark):
 def test_reports_read_a_stored_sample(spark):
     for name in ("rankings", "sample_feature_summary"):
         assert "lineitem" not in _plan(entry.queries()[name](spark, SF))
+
+
+def test_sample_sends_rows_of_event_cells_only(spark):
+    final, target = Q._final(spark, SF).select("grid_id", "date", "ffdri"), Q._target(spark, SF, 500)
+    out = sample.labelled(final, target, ratio=2, keys=fx.weather(spark, SF))
+    assert "__near" in out._jdf.queryExecution().optimizedPlan().toString()
+    # A cell and date with two targets counts twice, as its rows do.
+    days = final.select("grid_id", "date").limit(40).localCheckpoint()
+    twice = days.limit(3).localCheckpoint().crossJoin(spark.range(2)).select("date", "grid_id", F.lit(1).alias("fire_label"), F.lit(1).cast("long").alias("fire_count"))
+    assert sample.labelled(days, twice, ratio=1000).count() == 43
