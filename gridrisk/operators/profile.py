@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridrisk.functions import exprs as E
+from gridrisk.operators import pairs
 
 
 def numeric_columns(df: DataFrame, skip: list[str] = ()) -> list[str]:
@@ -113,48 +114,34 @@ def lift(df: DataFrame, columns: list[str], label: str = "fire_label", shares: t
     return near.groupBy("variable").agg(*rows, total.alias("positives"), *out, *[F.max(m).alias(m) for m in means])
 
 
-#: Columns by columns that are correlated at a time: so few that Spark still generates code for their sums.
-TILE = 3
-
-
-def _pair_sums(a: str, b: str) -> dict[str, str]:
-    """SQL of counts, sums and ends over the rows where both are present. Only the ends tell for sure that a column does
-    not vary there: what rounding leaves of its variance grows with the rows."""
-    x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
-    return {"n": f"count({a} * {b})", "x": f"sum({x})", "y": f"sum({y})", "xx": f"sum({x} * {a})", "yy": f"sum({y} * {b})", "xy": f"sum({a} * {b})", "x0": f"min({x})", "x1": f"max({x})", "y0": f"min({y})", "y1": f"max({y})"}
-
-
-def _r(cell: str) -> str:
-    n, x, y, xx, yy, xy, x0, x1, y0, y1 = (f"{s}_{cell}" for s in ("n", "x", "y", "xx", "yy", "xy", "x0", "x1", "y0", "y1"))
-    vx, vy = f"({xx} - {x} * {x} / {n})", f"({yy} - {y} * {y} / {n})"
-    return f"CASE WHEN {x0} < {x1} AND {y0} < {y1} AND {vx} > 0 AND {vy} > 0 THEN ({xy} - {x} * {y} / {n}) / (sqrt({vx}) * sqrt({vy})) END"
+#: Pearson of moments; only the ends tell for sure that a column does not vary: what rounding leaves of its variance grows
+#: with the rows.
+_R = "CASE WHEN x0 < x1 AND y0 < y1 AND xx > 0 AND yy > 0 THEN xy / (sqrt(xx) * sqrt(yy)) END"
 
 
 def correlations(df: DataFrame, xs: list[str], ys: list[str] | None = None) -> DataFrame:
     """(x, y, r): Pearson of each of xs with each of ys, or without these of all pairs of xs, each once, x before y. A pair
-    counts the rows where both are present; r is null where one does not vary there.
+    counts the rows where both are present; r is null where one does not vary there, or where a value is not finite.
 
-    Columns are taken about their means and cut into tiles. A row becomes one row per pair of tiles, whose sums are added
-    up by tasks before they are sent, so any number of columns takes two passes and sends a row per pair of tiles.
+    One pass: tasks add up the moments of all pairs by products of matrices and send a row per pair, whatever their number
+    of rows. These rows are joined about the means of all tasks, so no difference of great sums is taken.
     """
     names = [*xs, *(y for y in ys or () if y not in xs)]
-    value = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
-    means = value.agg(*[F.expr(f"avg(c{k}) AS mean_{k}") for k in range(len(names))])
-    about = value.crossJoin(F.broadcast(means))  # one row
-    tiled = lambda side: [[*side[k : k + TILE], *[None] * TILE][:TILE] for k in range(0, len(side), TILE)]
-    left, right, place = tiled(xs), tiled(xs if ys is None else ys), {c: k for k, c in enumerate(names)}
-    shifted = lambda c: "CAST(NULL AS DOUBLE)" if c is None else f"c{place[c]} - mean_{place[c]}"
-    arrays = lambda tiles: f"array({', '.join('array(' + ', '.join(map(shifted, t)) + ')' for t in tiles)})"
-    pairs = ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(len(left)) for j in range(len(right)) if ys is not None or i <= j)
-    rows = about.selectExpr(f"{arrays(left)} AS l", f"{arrays(right)} AS r", f"inline(array({pairs}))").selectExpr("i", "j", "l[i] AS a", "r[j] AS b")
-    rows = rows.selectExpr("i", "j", *[f"a[{u}] AS a{u}" for u in range(TILE)], *[f"b[{v}] AS b{v}" for v in range(TILE)])
-    cells = [(u, v) for u in range(TILE) for v in range(TILE)]
-    sums = rows.groupBy("i", "j").agg(*[F.expr(f"{sql} AS {s}_{u}{v}") for u, v in cells for s, sql in _pair_sums(f"a{u}", f"b{v}").items()])
-    listed = lambda tiles: F.array(*[F.lit(c) for t in tiles for c in t])
-    found = ", ".join(f"named_struct('u', i * {TILE} + {u}, 'v', j * {TILE} + {v}, 'upper', {str(u <= v).lower()}, 'r', {_r(f'{u}{v}')})" for u, v in cells)
-    out = sums.selectExpr("i", "j", f"inline(array({found}))").select("*", F.get(listed(left), F.col("u")).alias("x"), F.get(listed(right), F.col("v")).alias("y"))
-    out = out.where("x IS NOT NULL AND y IS NOT NULL")
-    return (out if ys is not None else out.where("i < j OR upper")).select("x", "y", "r")
+    right = xs if ys is None else ys
+    # Taken through a function, the array is made by methods of its own: beside what makes its values, Java may find one too
+    # long to compile.
+    value = df.select(F.transform(F.array(*[F.col(c).cast("double") for c in names]), lambda v: v).alias("value"))
+    tasks = value.mapInArrow(pairs.moments([names.index(x) for x in xs], [names.index(y) for y in right], ys is None), pairs.SCHEMA)
+    pair = Window.partitionBy("i", "j")
+    base = lambda c: F.min(F.when(F.col("n") > 0, F.col(f"base_{c}"))).over(pair)
+    tasks = tasks.withColumns({c: F.col(c) + (F.col(f"base_{c}") - base(c)) for c in ("x", "y")})
+    off = {f"d{c}": F.col(c) - F.try_divide(F.sum(F.col("n") * F.col(c)).over(pair), F.sum("n").over(pair)) for c in ("x", "y")}
+    about = {a + b: F.sum(F.col(a + b) + F.col("n") * F.col(f"d{a}") * F.col(f"d{b}")) for a, b in ("xx", "yy", "xy")}
+    ends = {"x0": F.min("x0"), "x1": F.max("x1"), "y0": F.min("y0"), "y1": F.max("y1")}
+    out = tasks.withColumns(off).groupBy("i", "j").agg(*[a.alias(c) for c, a in (about | ends).items()])
+    listed = lambda side: F.array(*[F.lit(c) for c in side])
+    r = F.expr(_R)
+    return out.select(F.get(listed(xs), F.col("i")).alias("x"), F.get(listed(right), F.col("j")).alias("y"), F.when(F.abs(r) < float("inf"), r).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -197,3 +197,74 @@ def test_constant_over_many_rows(spark):
         return [x.r for x in profile.correlations(rows, ["flag"], ["code"]).collect()]
 
     assert [r(k) for k in range(3, 9)] == [[None]] * 6
+
+
+def test_correlations_read_rows_once(spark):
+    """No row is repeated for pairs of columns, whatever their number: tasks send their moments of each pair only."""
+    rows, names = spark.range(0, 30_000, 1, 3), [f"c{k}" for k in range(42)]
+    df = rows.select(*[(F.xxhash64(F.lit(k), "id") % 1000).alias(c) for k, c in enumerate(names)])
+    out = profile.correlations(df, names)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Range (") == 1 and "Generate" not in plan, plan
+    assert out.count() == 42 * 43 // 2
+
+
+def test_correlation_matrix_of_final_is_compiled(spark):
+    """Java leaves methods of more than 8,000 bytes to its interpreter; joins that become broadcasts make longer ones."""
+    import contextlib
+    import io
+    import re
+
+    from gridrisk.plans import queries as Q
+
+    df, text = profile.correlations(Q._final(spark, "/root/testdata/sf0.001"), Q.FINAL_NUMBERS), io.StringIO()
+    df.collect()
+    with contextlib.redirect_stdout(text):
+        df.explain("codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue()))) < 8000
+
+
+def test_correlations_of_uneven_tasks(spark):
+    """Tasks of several batches whose means lie far apart, values that are seen to vary in one row only, pairs that are
+    never both present, and values that are not finite where the other column is absent or present."""
+    n = 9000
+    at = np.arange(n)
+    plain = pd.DataFrame({
+        "far": 1e9 + np.where(at < 6000, 0.0, 1e3) + RNG.normal(size=n), "late": np.where(at == 1777, 1.0, 0.0), "same": 0.1, "first": np.where(at < 3000, at, np.nan),
+        "last": np.where(at >= 6000, RNG.normal(size=n), np.nan), "level": np.where(at < 3000, 2.5, RNG.normal(size=n)), "odd": RNG.normal(size=n),
+    })
+    plain["near"] = plain["far"] + RNG.normal(size=n)
+    plain.loc[7000, "odd"] = np.inf
+    columns = ", ".join(f"{c} double" for c in plain)
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in plain.itertuples(index=False)], columns).coalesce(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = {(r.x, r.y): r.r for r in profile.correlations(df, list(plain)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == 36
+    for (x, y), r in got.items():
+        both = plain[[x, y]].dropna() if x != y else plain[[x]].dropna().assign(again=lambda d: d[x])  # noqa: B023
+        a, b = (both.iloc[:, k].to_numpy() for k in (0, 1))
+        if len(a) == 0 or not np.isfinite(both.to_numpy()).all() or a.min() == a.max() or b.min() == b.max():
+            assert r is None, (x, y, r)
+        else:
+            assert abs(r - np.corrcoef(a, b)[0, 1]) < 1e-9, (x, y, r)
+    assert got["first", "odd"] is not None and got["last", "odd"] is None and got["first", "level"] is None and got["late", "level"] is not None
+
+
+def test_moments_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from gridrisk.operators import pairs
+
+    sent = cloudpickle.dumps(pairs.moments([0, 1], [0, 1], True))
+    code = "import pickle, sys, pyarrow as pa; task = pickle.load(sys.stdin.buffer); b = pa.record_batch([pa.array([[1.0, 2.0], [2.0, 5.0]])], ['value']); print(next(task(iter([b]))).num_rows, 'gridrisk' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd=tmp_path, env=env)
+    assert out.stdout.split() == [b"3", b"False"], out.stderr
